@@ -12,6 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tavola.operators import reports as R
+from tavola.operators import views as V
 from tavola.sources.domain import Domain
 
 QueryFn = Callable[[Domain], DataFrame]
@@ -38,6 +39,22 @@ register("slowest_dish", R.slowest_dish)
 register("orders_by_hour", R.orders_by_hour)
 register("customer_spend", R.customer_spend)
 
+# phase 2: joins and views
+register("daily_reservations", V.daily_reservations)
+register("table_availability", V.table_availability)
+register("customer_activity", V.customer_activity)
+register("safe_customers", V.safe_customers)
+register("customer_directory", V.customer_directory)
+register("menu_catalog", V.menu_catalog)
+register("floor_view", V.floor_view)
+register("dashboard_floor", V.dashboard_floor)
+register("split_payments", V.split_payments)
+register("invoice_list", V.invoice_list)
+register("receipt_items", V.receipt_items)
+register("receipt_change", V.receipt_change)
+register("active_order_lines", V.active_order_lines)
+register("payment_methods", V.payment_methods)
+
 
 def run(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return CATALOG[name](Domain(spark, sf_dir))
