@@ -13,6 +13,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tavola.operators import reports as R
 from tavola.operators import views as V
+from tavola.operators import lookups as L
+from tavola.operators import basket as B
+from tavola.operators import insights as I
 from tavola.sources.domain import Domain
 
 QueryFn = Callable[[Domain], DataFrame]
@@ -55,6 +58,27 @@ register("receipt_change", V.receipt_change)
 register("active_order_lines", V.active_order_lines)
 register("payment_methods", V.payment_methods)
 
+# phase 3: scalar rules, searches, sorts
+register("discount_pct", L.customer_discounts)
+register("service_charge", L.invoice_service_charges)
+register("format_vnd", L.invoice_amount_text)
+register("order_prep_time", L.order_prep_time)
+register("points_tier", L.customer_tiers)
+register("leaderboard", L.leaderboard)
+register("customer_search", L.customer_search)
+register("invoice_search", L.invoice_search)
+register("menu_search", L.menu_search)
+register("customer_sorted", L.customer_sorted)
+register("category_list", L.category_list)
+
+# phase 4: pair mining, KPIs, insights
+register("basket_pairs", B.basket_pairs)
+register("basket_rules", B.basket_rules)
+register("basket_fpgrowth", B.basket_fpgrowth)
+register("kpis", I.kpis)
+register("insights_rules", I.insights_rules)
+register("insights_dashboard", I.insights_dashboard)
+
 
 def run(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return CATALOG[name](Domain(spark, sf_dir))
