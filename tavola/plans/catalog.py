@@ -16,6 +16,7 @@ from tavola.operators import views as V
 from tavola.operators import lookups as L
 from tavola.operators import basket as B
 from tavola.operators import insights as I
+from tavola.operators import jobs as J
 from tavola.sources.domain import Domain
 
 QueryFn = Callable[[Domain], DataFrame]
@@ -79,6 +80,19 @@ register("kpis", I.kpis)
 register("insights_rules", I.insights_rules)
 register("insights_dashboard", I.insights_dashboard)
 
+# phase 5: set-based jobs
+register("reservation_admission", J.reservation_admission)
+register("reservation_batch", J.reservation_batch)
+register("invoice_batch", J.invoice_batch)
+register("checkout_batch", J.checkout_batch)
+register("loyalty_accrual", J.loyalty_accrual)
+register("cart_upsert", J.cart_upsert)
+register("menu_upsert", J.menu_upsert)
+register("customer_update", J.customer_update)
+register("guarded_delete", J.guarded_delete)
+register("duplicate_contacts", J.duplicate_contacts)
+register("table_clear", J.table_clear)
+
 
 def run(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return CATALOG[name](Domain(spark, sf_dir))

@@ -124,6 +124,41 @@ CTES: dict[str, str] = {
                {_RSTAT} AS status,
                ts - to_hours(CAST(event_id % 72 AS BIGINT)) AS created_at
         FROM events WHERE event_type IN ('signup', 'purchase')""",
+    # request batches of the set-based jobs
+    "reservation_requests": """
+        SELECT event_id AS request_id, user_id AS customer_id,
+               (event_id * 7 + user_id) % (SELECT n FROM table_count) AS table_id,
+               event_id % 25 AS staff_id, ts AS date_time,
+               CAST(CAST(floor(value) AS INTEGER) % 10 + 1 AS INTEGER) AS guest_count
+        FROM events WHERE event_type = 'view'""",
+    "invoice_requests": f"""
+        SELECT o.order_id, {_method('o.order_id + 2')} AS payment_method,
+               CAST(CASE WHEN c.loyalty_points IS NULL THEN 0 WHEN c.loyalty_points >= 1000 THEN 10
+                         WHEN c.loyalty_points >= 500 THEN 7 WHEN c.loyalty_points >= 200 THEN 5 ELSE 0 END AS DECIMAL(5,2)) AS discount_pct
+        FROM dine_orders o LEFT JOIN customers c ON o.customer_id = c.customer_id""",
+    "order_requests": """
+        SELECT event_id AS request_id, user_id % (SELECT n FROM table_count) AS table_id,
+               CASE WHEN event_id % 3 = 0 THEN NULL ELSE user_id END AS customer_id,
+               event_id % 25 AS staff_id,
+               CAST(CASE WHEN event_id % 17 = 0 THEN 0 WHEN event_id % 2 = 0 THEN 2 ELSE 1 END AS INTEGER) AS item_count
+        FROM events WHERE event_type = 'click'""",
+    "menu_upserts": """
+        SELECT p_partkey AS request_id, p_partkey AS dish_id,
+               CASE WHEN p_partkey % 2 = 0 THEN lower(p_type) ELSE p_brand END AS category
+        FROM part""",
+    "customer_updates": """
+        SELECT event_id AS request_id, user_id AS customer_id, CAST(NULL AS VARCHAR) AS name, CAST(NULL AS VARCHAR) AS phone,
+               CASE WHEN event_id % 3 = 0 THEN 'new' || CAST(event_id AS VARCHAR) || '@mail.example' END AS email,
+               CAST(NULL AS VARCHAR) AS address,
+               CASE WHEN event_id % 2 = 0 THEN CAST(floor(value) AS INTEGER) END AS points,
+               CASE WHEN event_id % 5 = 0 THEN false END AS is_active
+        FROM events WHERE event_type = 'signup'""",
+    "customer_inserts": """
+        SELECT event_id AS request_id, 'Guest ' || CAST(event_id AS VARCHAR) AS name,
+               '09' || lpad(CAST(event_id % ((SELECT count(*) FROM customer) * 2) AS VARCHAR), 8, '0') AS phone,
+               CASE WHEN event_id % 4 = 0 THEN NULL
+                    ELSE 'guest' || CAST(event_id % ((SELECT count(*) FROM customer) * 3) AS VARCHAR) || '@mail.example' END AS email
+        FROM events WHERE event_type = 'error'""",
 }
 
 

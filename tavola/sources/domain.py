@@ -290,3 +290,98 @@ class Domain:
             pick(RESERVATION_STATUSES, (eid + uid) % 4).alias("status"),
             (F.col("ts") - F.make_dt_interval(F.lit(0), (eid % 72).cast("int"), F.lit(0), F.lit(0))).alias("created_at"),
         )
+
+    # ------------------------------------------------------- request batches
+    # The set-based jobs take a batch of requests; these batches are derived
+    # from the driver tables too, so their size grows with the data.
+    def part_count(self) -> Column:
+        return self.raw("part").select(F.count(F.lit(1))).scalar()
+
+    @cached_property
+    def reservation_requests(self) -> DataFrame:
+        """Booking attempts: ``events`` of type view."""
+        e = self.raw("events").where(F.col("event_type") == "view")
+        eid, uid = F.col("event_id"), F.col("user_id")
+        return e.select(
+            eid.alias("request_id"),
+            uid.alias("customer_id"),
+            ((eid * 7 + uid) % self.table_count()).alias("table_id"),
+            (eid % 25).alias("staff_id"),
+            F.col("ts").alias("date_time"),
+            (F.floor(F.col("value")).cast("int") % 10 + 1).alias("guest_count"),
+        )
+
+    @cached_property
+    def invoice_requests(self) -> DataFrame:
+        """One billing request per order; discount from the customer's loyalty points (walk-ins: 0)."""
+        from tavola.functions.scalar import discount_pct
+
+        o = self.dine_orders.select("order_id", "customer_id")
+        c = self.customers.select("customer_id", "loyalty_points")
+        return o.join(c, "customer_id", "left").select(
+            "order_id",
+            pick(PAYMENT_METHODS, (F.col("order_id") + 2) % 4).alias("payment_method"),
+            F.when(F.col("loyalty_points").isNull(), dec("0.00"))
+            .otherwise(discount_pct(F.col("loyalty_points"))).cast("decimal(5,2)").alias("discount_pct"),
+        )
+
+    @cached_property
+    def order_requests(self) -> DataFrame:
+        """Cart submissions: ``events`` of type click, one or two items (none every 17th)."""
+        e = self.raw("events").where(F.col("event_type") == "click")
+        eid, uid = F.col("event_id"), F.col("user_id")
+        m = self.part_count()
+        first = F.struct(((eid * 13) % m).alias("dish_id"), (F.floor(F.col("value")).cast("int") % 3 + 1).alias("quantity"))
+        second = F.struct(((eid * 13 + 7) % m).alias("dish_id"), F.lit(1).alias("quantity"))
+        items = (
+            F.when(eid % 17 == 0, F.array().cast("array<struct<dish_id:bigint,quantity:int>>"))
+            .when(eid % 2 == 0, F.array(first, second))
+            .otherwise(F.array(first))
+        )
+        return e.select(
+            eid.alias("request_id"),
+            (uid % self.table_count()).alias("table_id"),
+            F.when(eid % 3 == 0, F.lit(None).cast("long")).otherwise(uid).alias("customer_id"),
+            (eid % 25).alias("staff_id"),
+            items.alias("items"),
+        )
+
+    @cached_property
+    def menu_upserts(self) -> DataFrame:
+        """Category re-assignment per dish: even keys name an existing category in lower case, odd a brand."""
+        p = self.raw("part")
+        return p.select(
+            F.col("p_partkey").alias("request_id"),
+            F.col("p_partkey").alias("dish_id"),
+            F.when(F.col("p_partkey") % 2 == 0, F.lower("p_type")).otherwise(F.col("p_brand")).alias("category"),
+        )
+
+    @cached_property
+    def customer_updates(self) -> DataFrame:
+        """Partial customer updates (NULL = leave unchanged): ``events`` of type signup."""
+        e = self.raw("events").where(F.col("event_type") == "signup")
+        eid = F.col("event_id")
+        return e.select(
+            eid.alias("request_id"),
+            F.col("user_id").alias("customer_id"),
+            F.lit(None).cast("string").alias("name"),
+            F.lit(None).cast("string").alias("phone"),
+            F.when(eid % 3 == 0, F.concat(F.lit("new"), eid.cast("string"), F.lit("@mail.example"))).alias("email"),
+            F.lit(None).cast("string").alias("address"),
+            F.when(eid % 2 == 0, F.floor(F.col("value")).cast("int")).alias("points"),
+            F.when(eid % 5 == 0, F.lit(False)).alias("is_active"),
+        )
+
+    @cached_property
+    def customer_inserts(self) -> DataFrame:
+        """New-customer requests: ``events`` of type error; contacts may repeat existing or earlier ones."""
+        e = self.raw("events").where(F.col("event_type") == "error")
+        eid = F.col("event_id")
+        n = self.raw("customer").select(F.count(F.lit(1))).scalar()
+        return e.select(
+            eid.alias("request_id"),
+            F.concat(F.lit("Guest "), eid.cast("string")).alias("name"),
+            F.concat(F.lit("09"), F.lpad((eid % (n * 2)).cast("string"), 8, "0")).alias("phone"),
+            F.when(eid % 4 == 0, F.lit(None).cast("string"))
+            .otherwise(F.concat(F.lit("guest"), (eid % (n * 3)).cast("string"), F.lit("@mail.example"))).alias("email"),
+        )
