@@ -17,6 +17,8 @@ from tavola.operators import lookups as L
 from tavola.operators import basket as B
 from tavola.operators import insights as I
 from tavola.operators import jobs as J
+from tavola.operators import changes as C
+from tavola.operators import quality as Q
 from tavola.sources.domain import Domain
 
 QueryFn = Callable[[Domain], DataFrame]
@@ -93,6 +95,15 @@ register("guarded_delete", J.guarded_delete)
 register("duplicate_contacts", J.duplicate_contacts)
 register("table_clear", J.table_clear)
 
+# phase 6: data quality and change-driven rules (batch twins of the streams)
+register("constraint_report", Q.constraint_report)
+register("table_state", C.table_state)
+register("status_log", C.status_log)
+register("reservation_completed", C.reservation_completed)
+register("price_snapshot", C.price_snapshot)
+register("maintenance_reject", C.maintenance_reject)
+register("customer_audit", C.customer_audit)
+
 
 def run(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return CATALOG[name](Domain(spark, sf_dir))

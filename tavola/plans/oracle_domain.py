@@ -124,6 +124,12 @@ CTES: dict[str, str] = {
                {_RSTAT} AS status,
                ts - to_hours(CAST(event_id % 72 AS BIGINT)) AS created_at
         FROM events WHERE event_type IN ('signup', 'purchase')""",
+    "table_events": """
+        SELECT user_id % (SELECT n FROM table_count) AS table_id, ts AS changed_at, event_id AS seq,
+               CASE event_type WHEN 'click' THEN 'occupied' WHEN 'purchase' THEN 'available'
+                               WHEN 'error' THEN 'available' WHEN 'signup' THEN 'reserved' END AS new_status,
+               'user' || CAST(user_id AS VARCHAR) AS changed_by
+        FROM events WHERE event_type IN ('click', 'purchase', 'error', 'signup')""",
     # request batches of the set-based jobs
     "reservation_requests": """
         SELECT event_id AS request_id, user_id AS customer_id,
