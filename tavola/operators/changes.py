@@ -24,11 +24,12 @@ def event_status(event_type: Column) -> Column:
     return expr
 
 
-def table_events(d: Domain, events: DataFrame | None = None) -> DataFrame:
+def table_events(d: Domain, events: DataFrame | None = None, table_count=None) -> DataFrame:
     """Table status changes derived from ``events``: (table_id, ts, seq, new_status, changed_by)."""
     e = events if events is not None else d.raw("events")
+    n = table_count if table_count is not None else d.table_count()
     out = e.select(
-        (F.col("user_id") % d.table_count()).alias("table_id"),
+        (F.col("user_id") % n).alias("table_id"),
         F.col("ts").alias("changed_at"),
         F.col("event_id").alias("seq"),
         event_status(F.col("event_type")).alias("new_status"),
@@ -76,9 +77,9 @@ def reservation_completed(d: Domain) -> DataFrame:
 
 
 # ------------------------------------------------------------------------ I4
-def incoming_lines(d: Domain) -> DataFrame:
+def incoming_lines(d: Domain, lines: DataFrame | None = None) -> DataFrame:
     """Order lines as submitted: price missing (NULL) on returned lines, 0 on first lines of flag A."""
-    li = d.order_details
+    li = lines if lines is not None else d.order_details
     price = (
         F.when(F.col("return_flag") == "R", F.lit(None).cast("decimal(10,2)"))
         .when((F.col("return_flag") == "A") & (F.col("line_number") == 1), F.lit(0).cast("decimal(10,2)"))
@@ -102,11 +103,33 @@ def price_snapshot(d: Domain) -> DataFrame:
     return apply_price_snapshot(incoming_lines(d), d.menu_items)
 
 
+def hourly_activity(d: Domain, events: DataFrame | None = None) -> DataFrame:
+    """Per hour of the feed: orders opened / closed / cancelled, reservations, views, total value."""
+    e = events if events is not None else d.raw("events")
+    return activity_aggregate(e.withColumn("ts", F.col("ts").cast("timestamp")).groupBy(F.window("ts", "1 hour")))
+
+
+def activity_aggregate(grouped) -> DataFrame:
+    def n(kind: str) -> Column:
+        return F.count(F.when(F.col("event_type") == kind, F.lit(1)))
+
+    return grouped.agg(
+        n("click").alias("orders_opened"), n("purchase").alias("orders_closed"), n("error").alias("orders_cancelled"),
+        n("signup").alias("reservations"), n("view").alias("views"),
+        F.round(F.sum("value"), 6).alias("total_value"),
+    ).select(
+        F.col("window.start").cast("timestamp_ntz").alias("window_start"),
+        F.col("window.end").cast("timestamp_ntz").alias("window_end"),
+        "orders_opened", "orders_closed", "orders_cancelled", "reservations", "views", "total_value",
+    )
+
+
 # ------------------------------------------------------------------------ I7
-def maintenance_reject(d: Domain) -> DataFrame:
+def maintenance_reject(d: Domain, requests: DataFrame | None = None) -> DataFrame:
     """Reservation requests split by the maintenance rule (the only rule of that trigger)."""
     t = d.dining_tables.select("table_id", F.lower("status").alias("table_status"))
-    j = d.reservation_requests.join(t, "table_id", "left")
+    req = requests if requests is not None else d.reservation_requests
+    j = req.join(t, "table_id", "left")
     return j.select(
         "request_id", "table_id",
         F.when(F.col("table_status") == "maintenance", "rejected").otherwise("accepted").alias("outcome"),

@@ -103,11 +103,25 @@ register("reservation_completed", C.reservation_completed)
 register("price_snapshot", C.price_snapshot)
 register("maintenance_reject", C.maintenance_reject)
 register("customer_audit", C.customer_audit)
+register("hourly_activity", C.hourly_activity)
 
 
 def run(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return CATALOG[name](Domain(spark, sf_dir))
+    if name in CATALOG:
+        return CATALOG[name](Domain(spark, sf_dir))
+    return _streams()[name](spark, sf_dir)
+
+
+def _streams() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    # phase 7: streams driven to completion (availableNow); each equals its batch twin
+    from tavola.streaming.feeds import stream_queries
+
+    return stream_queries()
+
+
+def names() -> list[str]:
+    return list(CATALOG) + list(_streams())
 
 
 def as_callables() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: (lambda spark, sf_dir, _n=name: run(spark, sf_dir, _n)) for name in CATALOG}
+    return {name: (lambda spark, sf_dir, _n=name: run(spark, sf_dir, _n)) for name in names()}

@@ -194,9 +194,9 @@ class Domain:
             .drop("_rk")
         )
 
-    @cached_property
-    def order_details(self) -> DataFrame:
-        li = self.raw("lineitem")
+    @staticmethod
+    def map_lineitem(li: DataFrame) -> DataFrame:
+        """lineitem rows -> order_details rows (also used on a stream of lineitem)."""
         qty = F.col("l_quantity").cast("int")
         cents = F.floor(F.col("l_extendedprice") * 100 / F.col("l_quantity")).cast("long")
         unit = (cents.cast("decimal(18,0)") * dec("0.01")).cast(MONEY)
@@ -210,6 +210,10 @@ class Domain:
             F.col("l_returnflag").alias("return_flag"),
         )
 
+    @cached_property
+    def order_details(self) -> DataFrame:
+        return self.map_lineitem(self.raw("lineitem"))
+
     @cached_property
     def order_totals(self) -> DataFrame:
         """Subtotal and line count per order that has lines (one shuffle of lineitem)."""
@@ -297,20 +301,24 @@ class Domain:
     def part_count(self) -> Column:
         return self.raw("part").select(F.count(F.lit(1))).scalar()
 
-    @cached_property
-    def reservation_requests(self) -> DataFrame:
-        """Booking attempts: ``events`` of type view."""
-        e = self.raw("events").where(F.col("event_type") == "view")
+    @staticmethod
+    def map_view_requests(e: DataFrame, table_count) -> DataFrame:
+        """events of type view -> reservation requests (also used on a stream of events)."""
         eid, uid = F.col("event_id"), F.col("user_id")
-        return e.select(
+        return e.where(F.col("event_type") == "view").select(
             eid.alias("request_id"),
             uid.alias("customer_id"),
-            ((eid * 7 + uid) % self.table_count()).alias("table_id"),
+            ((eid * 7 + uid) % table_count).alias("table_id"),
             (eid % 25).alias("staff_id"),
             F.col("ts").alias("date_time"),
             (F.floor(F.col("value")).cast("int") % 10 + 1).alias("guest_count"),
         )
 
+    @cached_property
+    def reservation_requests(self) -> DataFrame:
+        """Booking attempts: ``events`` of type view."""
+        return self.map_view_requests(self.raw("events"), self.table_count())
+
     @cached_property
     def invoice_requests(self) -> DataFrame:
         """One billing request per order; discount from the customer's loyalty points (walk-ins: 0)."""

@@ -18,8 +18,9 @@ def con(small_dir):
 
 def test_every_query_has_an_oracle_or_is_documented():
     missing = set(QUERIES) - set(SQL)
-    assert missing <= {"reservation_batch", "stream_table_state", "stream_status_log", "stream_hourly_kpis",
-                       "stream_price_snapshot", "stream_maintenance_reject"}, missing
+    # sequential (greedy) admission has no SQL form: it is checked against a brute-force
+    # sequential reference in test_edge_cases instead
+    assert missing == {"reservation_batch"}, missing
 
 
 @pytest.mark.parametrize("name", sorted(SQL))
