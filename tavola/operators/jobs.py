@@ -102,22 +102,36 @@ def epoch_micros(ts: Column) -> Column:
     return F.timestamp_diff("MICROSECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), ts)
 
 
-def _greedy_segment(pdf: pd.DataFrame) -> pd.DataFrame:
-    """One table's time segment: admit requests in arrival order; accepted ones block later ones."""
+def _greedy_partitions(batches):
+    """Admit requests segment by segment over a partition sorted by (table, segment, bookings first, request_id).
+
+    Rows arrive as Arrow batches; the state of the current segment (its taken
+    slots) is carried across batches, so no per-group Python call is needed.
+    """
     import bisect
 
     w = WIDTH_MICROS
-    taken = sorted(int(x) for x in pdf.loc[pdf["is_booking"], "us"])
-    reqs = pdf.loc[~pdf["is_booking"]].sort_values("request_id")
-    ids, oks = [], []
-    for rid, us in zip(reqs["request_id"].tolist(), reqs["us"].tolist()):
-        i = bisect.bisect_left(taken, us - w + 1)
-        ok = not (i < len(taken) and taken[i] <= us + w - 1)  # nothing within (us - w, us + w)
-        if ok:
-            bisect.insort(taken, us)
-        ids.append(int(rid))
-        oks.append(ok)
-    return pd.DataFrame({"request_id": pd.Series(ids, dtype="int64"), "accepted": pd.Series(oks, dtype="bool")})
+    cur = None
+    taken: list[int] = []
+    for pdf in batches:
+        ids, oks = [], []
+        tabs, segs = pdf["table_id"].to_numpy(), pdf["_seg"].to_numpy()
+        us_arr, book, rids = pdf["us"].to_numpy(), pdf["is_booking"].to_numpy(), pdf["request_id"].to_numpy()
+        for k in range(len(pdf)):
+            key = (int(tabs[k]), int(segs[k]))
+            if key != cur:
+                cur, taken = key, []
+            us = int(us_arr[k])
+            if book[k]:
+                bisect.insort(taken, us)
+                continue
+            i = bisect.bisect_left(taken, us - w + 1)
+            ok = not (i < len(taken) and taken[i] <= us + w - 1)  # nothing within (us - w, us + w)
+            if ok:
+                bisect.insort(taken, us)
+            ids.append(int(rids[k]))
+            oks.append(ok)
+        yield pd.DataFrame({"request_id": pd.Series(ids, dtype="int64"), "accepted": pd.Series(oks, dtype="bool")})
 
 
 def _segments(rows: DataFrame) -> DataFrame:
@@ -144,8 +158,9 @@ def reservation_batch(d: Domain, requests: DataFrame | None = None) -> DataFrame
 
     Only requests that pass the capacity check on a known, non-maintenance table
     can take a slot.  They and the stored bookings of their tables are cut into
-    independent time segments (``_segments``); each segment is admitted greedily
-    by a grouped pandas function (a segment never spans a 120-minute gap).
+    independent time segments (``_segments``); segments are hash-distributed,
+    sorted inside each partition and admitted greedily by one ``mapInPandas``
+    pass per partition (a segment never spans a 120-minute gap).
     """
     req = requests if requests is not None else d.reservation_requests
     t = d.dining_tables.select("table_id", "capacity", F.lower("status").alias("table_status"))
@@ -159,7 +174,14 @@ def reservation_batch(d: Domain, requests: DataFrame | None = None) -> DataFrame
             epoch_micros(F.col("reserved_at")).alias("us"), F.lit(True).alias("is_booking"),
         )
     )
-    decided = _segments(rows).groupBy("table_id", "_seg").applyInPandas(_greedy_segment, GREEDY_SCHEMA)
+    seg = _segments(rows)
+    n = int(d.spark.conf.get("spark.sql.shuffle.partitions"))
+    decided = (
+        seg.repartition(n, "table_id", "_seg")
+        .sortWithinPartitions("table_id", "_seg", F.col("is_booking").desc(), "request_id")
+        .select("table_id", "_seg", "us", "is_booking", "request_id")
+        .mapInPandas(_greedy_partitions, GREEDY_SCHEMA)
+    )
     accepted = decided.where(F.col("accepted")).select("request_id").withColumn("_ok", F.lit(True))
     stored_conflicts = conflicting_requests(req, open_bookings(d)).select("request_id").withColumn("_stored", F.lit(True))
     jj = j.join(accepted, "request_id", "left").join(stored_conflicts, "request_id", "left")
