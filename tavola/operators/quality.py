@@ -21,19 +21,6 @@ def _count(df: DataFrame, check: str, table: str) -> DataFrame:
     )
 
 
-def not_null(df: DataFrame, col: str, table: str) -> DataFrame:
-    return _count(df.where(F.col(col).isNull()), f"not_null:{col}", table)
-
-
-def check(df: DataFrame, cond: Column, name: str, table: str) -> DataFrame:
-    """Rows where the CHECK condition is false (NULL passes, as in SQL)."""
-    return _count(df.where(~cond), f"check:{name}", table)
-
-
-def enum(df: DataFrame, col: str, domain: list[str], table: str) -> DataFrame:
-    return _count(df.where(F.col(col).isNotNull() & ~F.lower(F.col(col)).isin(*domain)), f"enum:{col}", table)
-
-
 def unique(df: DataFrame, col: str, table: str) -> DataFrame:
     """Rows whose (non-NULL) key value occurs more than once."""
     dup = df.where(F.col(col).isNotNull()).groupBy(col).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1)
@@ -49,33 +36,50 @@ def foreign_key(child: DataFrame, col: str, parent: DataFrame, pcol: str, table:
     return _count(orphans, f"fk:{col}->{ref}", table)
 
 
+def row_rules(df: DataFrame, table: str, rules: list[tuple[str, Column]]) -> DataFrame:
+    """All row-level rules of one table in a single scan: one conditional count per rule, then one row per rule."""
+    agg = df.agg(*[F.count(F.when(bad, F.lit(1))).cast("long").alias(f"_r{i}") for i, (_, bad) in enumerate(rules)])
+    rows = F.explode(F.array(*[
+        F.struct(F.lit(name).alias("check_name"), F.col(f"_r{i}").alias("violations")) for i, (name, _) in enumerate(rules)
+    ]))
+    return agg.select(rows.alias("r")).select("r.check_name", F.lit(table).alias("table_name"), "r.violations")
+
+
+def _nn(col: str) -> tuple[str, Column]:
+    return f"not_null:{col}", F.col(col).isNull()
+
+
+def _ck(name: str, cond: Column) -> tuple[str, Column]:
+    return f"check:{name}", ~cond  # NULL passes a CHECK, as in SQL
+
+
+def _en(col: str, domain: list[str]) -> tuple[str, Column]:
+    return f"enum:{col}", F.col(col).isNotNull() & ~F.lower(F.col(col)).isin(*domain)
+
+
 def constraint_report(d: Domain) -> DataFrame:
     c, t, m, r = d.customers, d.dining_tables, d.menu_items, d.reservations
     o, od, inv, p, s, cat = d.dine_orders, d.order_details, d.invoices, d.payments, d.staff, d.categories
     parts = [
-        not_null(c, "customer_name", "customers"),
-        not_null(c, "phone_number", "customers"),
-        not_null(m, "dish_name", "menu_items"),
-        not_null(o, "table_id", "orders"),
-        not_null(od, "dish_id", "order_details"),
-        check(t, F.col("capacity").between(1, 20), "capacity_1_20", "tables"),
-        check(m, F.col("price") > 0, "price_positive", "menu_items"),
-        check(od, F.col("quantity") >= 1, "quantity_min_1", "order_details"),
-        check(r, F.col("guest_count") >= 1, "guest_count_min_1", "reservations"),
-        check(c, F.col("loyalty_points") >= 0, "points_non_negative", "customers"),
-        check(p, F.col("amount") > 0, "amount_positive", "payments"),
-        enum(t, "status", TABLE_STATUSES, "tables"),
-        enum(o, "status", ORDER_STATUSES, "orders"),
-        enum(r, "status", RESERVATION_STATUSES, "reservations"),
-        enum(inv, "payment_method", PAYMENT_METHODS, "invoices"),
-        enum(inv, "status", INVOICE_STATUSES, "invoices"),
-        enum(p, "method", PAYMENT_METHODS, "payments"),
-        enum(s, "role", STAFF_ROLES, "staff"),
+        # NOT NULL / CHECK / ENUM: one scan per table
+        row_rules(c, "customers", [_nn("customer_name"), _nn("phone_number"),
+                                   _ck("points_non_negative", F.col("loyalty_points") >= 0)]),
+        row_rules(m, "menu_items", [_nn("dish_name"), _ck("price_positive", F.col("price") > 0)]),
+        row_rules(o, "orders", [_nn("table_id"), _en("status", ORDER_STATUSES)]),
+        row_rules(od, "order_details", [_nn("dish_id"), _ck("quantity_min_1", F.col("quantity") >= 1)]),
+        row_rules(t, "tables", [_ck("capacity_1_20", F.col("capacity").between(1, 20)), _en("status", TABLE_STATUSES)]),
+        row_rules(r, "reservations", [_ck("guest_count_min_1", F.col("guest_count") >= 1),
+                                      _en("status", RESERVATION_STATUSES)]),
+        row_rules(p, "payments", [_ck("amount_positive", F.col("amount") > 0), _en("method", PAYMENT_METHODS)]),
+        row_rules(inv, "invoices", [_en("payment_method", PAYMENT_METHODS), _en("status", INVOICE_STATUSES)]),
+        row_rules(s, "staff", [_en("role", STAFF_ROLES)]),
+        # UNIQUE: one aggregate per key
         unique(c, "phone_number", "customers"),
         unique(c, "email", "customers"),
         unique(t, "table_number", "tables"),
         unique(cat, "category_name", "categories"),
         unique(inv, "order_id", "invoices"),
+        # FOREIGN KEY: one anti-join per reference
         foreign_key(o, "table_id", t, "table_id", "orders", "tables"),
         foreign_key(o, "customer_id", c, "customer_id", "orders", "customers"),
         foreign_key(od, "order_id", o, "order_id", "order_details", "orders"),
