@@ -135,3 +135,84 @@ def category_list(d: Domain) -> DataFrame:
     all_row = d.spark.createDataFrame([("All", -1)], "category string, first_id long")
     both = all_row.unionByName(first_seen)
     return global_rank(both, [F.col("first_id")], "position", method="row_number").select("position", "category")
+
+
+# ------------------------------------------------------------------------ B13
+def pos_categories(d: Domain) -> DataFrame:
+    """POS category strip: 'All' then the category names in stored order."""
+    cats = d.categories.select(F.col("category_id").alias("_k"), F.col("category_name").alias("category"))
+    all_row = d.spark.createDataFrame([(0, "All")], "_k long, category string")
+    return global_rank(all_row.unionByName(cats), [F.col("_k")], "position", method="row_number").select("position", "category")
+
+
+def pos_tables(d: Domain) -> DataFrame:
+    return d.dining_tables.select(F.col("table_id").alias("id"), "status")
+
+
+# ------------------------------------------------------------------------ B15
+def dish_prefix(d: Domain, prefix: str = "red") -> DataFrame:
+    """Name-prefix search (LIKE 'x%'): ``startswith`` is pushed to the parquet scan."""
+    return d.menu_items.where(F.col("dish_name").startswith(prefix)).select("dish_id", "dish_name", "price")
+
+
+def reservations_between(d: Domain, start: str = "2024-01-10 00:00:00", end: str = "2024-01-12 23:59:59") -> DataFrame:
+    """Reservations in a time range (BETWEEN, inclusive); pushed to the parquet scan."""
+    lo, hi = F.lit(start).cast("timestamp_ntz"), F.lit(end).cast("timestamp_ntz")
+    return d.reservations.where(F.col("reserved_at").between(lo, hi)).select(
+        "reservation_id", "customer_id", "table_id", "reserved_at", "status"
+    )
+
+
+# ------------------------------------------------------------------------ B11
+def menu_item(d: Domain, dish_id: int) -> DataFrame:
+    from tavola.operators.views import menu_catalog
+
+    return menu_catalog(d, ordering="id").where(F.col("id") == dish_id)
+
+
+def invoice_detail(d: Domain, invoice_id: int) -> dict[str, DataFrame]:
+    """Point lookup of one invoice: header, items and split payments (filters reach every scan)."""
+    from tavola.operators.views import invoice_list, receipt_items, split_payments
+
+    return {
+        "info": invoice_list(d).where(F.col("id") == invoice_id),
+        "items": receipt_items(d).where(F.col("invoice_id") == invoice_id),
+        "payments": split_payments(d).where(F.col("invoice_id") == invoice_id),
+    }
+
+
+# ------------------------------------------------------------------------ D17
+def order_subtotals(d: Domain) -> DataFrame:
+    """Σ qty x price per order, 0 for orders without lines."""
+    o = d.dine_orders.select("order_id")
+    return o.join(d.order_totals.select("order_id", "sub_total"), "order_id", "left").select(
+        "order_id", F.coalesce(F.col("sub_total"), F.lit(0).cast(MONEY_SUM)).cast(MONEY_SUM).alias("sub_total")
+    )
+
+
+# ------------------------------------------------------------------- F2 / F3
+def floor_page(d: Domain, n: int = 15) -> DataFrame:
+    """The floor screen: the first n tables by id (the page size is the feature)."""
+    from tavola.operators.views import floor_view
+
+    return floor_view(d).orderBy("id").limit(n)
+
+
+def latest_invoices(d: Domain, n: int = 50) -> DataFrame:
+    """The invoice screen: the n most recent invoices by id."""
+    from tavola.operators.views import invoice_list
+
+    return invoice_list(d).orderBy(F.col("id").desc()).limit(n)
+
+
+# ---------------------------------------------------------------- SQL API
+def discounts_via_sql(d: Domain) -> DataFrame:
+    """The scalar rules through Spark SQL: SQL-language functions over a temporary view."""
+    from tavola.functions.scalar import register_sql_functions
+
+    register_sql_functions(d.spark)
+    d.customers.createOrReplaceTempView("tavola_customers")
+    return d.spark.sql(
+        "SELECT customer_id, loyalty_points, discount_pct(loyalty_points) AS discount_pct, "
+        "points_tier(loyalty_points) AS tier FROM tavola_customers"
+    )

@@ -19,6 +19,7 @@ from tavola.operators import insights as I
 from tavola.operators import jobs as J
 from tavola.operators import changes as C
 from tavola.operators import quality as Q
+from tavola.operators import defaults as DF
 from tavola.sources.domain import Domain
 
 QueryFn = Callable[[Domain], DataFrame]
@@ -105,6 +106,16 @@ register("maintenance_reject", C.maintenance_reject)
 register("customer_audit", C.customer_audit)
 register("hourly_activity", C.hourly_activity)
 
+# coverage additions: defaults, POS lists, prefix / range search, subtotals, pages, SQL path
+register("customers_with_defaults", DF.customers_with_defaults)
+register("pos_categories", L.pos_categories)
+register("dish_prefix", L.dish_prefix)
+register("reservations_between", L.reservations_between)
+register("order_subtotals", L.order_subtotals)
+register("floor_page", L.floor_page)
+register("latest_invoices", L.latest_invoices)
+register("discounts_via_sql", L.discounts_via_sql)
+
 
 def run(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     if name in CATALOG:
