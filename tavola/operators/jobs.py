@@ -131,7 +131,8 @@ def _greedy_partitions(batches):
                 bisect.insort(taken, us)
             ids.append(int(rids[k]))
             oks.append(ok)
-        yield pd.DataFrame({"request_id": pd.Series(ids, dtype="int64"), "accepted": pd.Series(oks, dtype="bool")})
+        if ids:
+            yield pd.DataFrame({"request_id": pd.Series(ids, dtype="int64"), "accepted": pd.Series(oks, dtype="bool")})
 
 
 def _segments(rows: DataFrame) -> DataFrame:
