@@ -56,7 +56,8 @@ def run_to_table(spark: SparkSession, stream: DataFrame, name: str, output_mode:
     q = (stream.writeStream.foreachBatch(sink).option("checkpointLocation", f"{base}/chk")
          .outputMode(output_mode).trigger(availableNow=True).start())
     q.awaitTermination()
-    return spark.read.parquet(f"{base}/out")
+    schema = stream.schema.add("_batch", "bigint")
+    return spark.read.schema(schema).parquet(f"{base}/out")
 
 
 # ------------------------------------------------------------------ I1 / I2
