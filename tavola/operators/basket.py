@@ -10,9 +10,13 @@ Plan shape, chosen for very large line tables:
    without emitting them one by one;
 3. pair weights are summed per (item_1, item_2) with a partial aggregate.
 
-A very large order is a skewed join key; adaptive execution splits skewed
-partitions of the self-join (``spark.sql.adaptive.skewJoin.enabled``), so one
-order is never paired inside a single task.
+A very large order is a skewed join key.  ``order_pairs`` salts such hot
+orders explicitly: orders with more than ``HOT_ITEMS`` distinct dishes are found
+with a (partially aggregated) count, their left side is spread over
+``SALT_BUCKETS`` salts by dish hash and their right side is replicated to every
+salt, so the pairs of one order are produced by many tasks.  Ordinary orders keep
+salt 0 and are not replicated.  The hot-order list is joined without a broadcast
+hint (adaptive execution broadcasts it only when it is actually small).
 """
 
 from __future__ import annotations
@@ -22,6 +26,37 @@ from pyspark.sql import functions as F
 
 from tavola.sources.domain import Domain
 
+# Orders with more distinct dishes than this are split across SALT_BUCKETS tasks.
+HOT_ITEMS = 1000
+SALT_BUCKETS = 16
+
+
+def order_pairs(items: DataFrame, left: dict[str, str], right: dict[str, str], cond, hot_items: int = HOT_ITEMS,
+                buckets: int = SALT_BUCKETS) -> DataFrame:
+    """Self-join of per-order item rows on order_id, salted for orders with many distinct items.
+
+    ``items`` has one row per (order_id, item); ``left`` / ``right`` map output
+    names to ``items`` columns for the two sides; ``cond(a, b)`` is the residual
+    pair condition on the two sides' columns.
+    """
+    sizes = items.groupBy("order_id").agg(F.count(F.lit(1)).alias("_k"))
+    hot = sizes.where(F.col("_k") > hot_items).select("order_id", F.lit(True).alias("_hot"))
+    tagged = items.join(hot, "order_id", "left").withColumn("_hot", F.coalesce("_hot", F.lit(False)))
+    first_col = next(iter(left.values()))
+    a = tagged.select(
+        "order_id",
+        F.when(F.col("_hot"), F.pmod(F.xxhash64(F.col(first_col)), F.lit(buckets))).otherwise(F.lit(0)).alias("_salt"),
+        *[F.col(src).alias(dst) for dst, src in left.items()],
+    )
+    b = tagged.select(
+        "order_id",
+        F.explode(F.when(F.col("_hot"), F.sequence(F.lit(0).cast("long"), F.lit(buckets - 1).cast("long")))
+                  .otherwise(F.array(F.lit(0).cast("long")))).alias("_salt"),
+        *[F.col(src).alias(dst) for dst, src in right.items()],
+    )
+    joined = a.join(b, (a["order_id"] == b["order_id"]) & (a["_salt"] == b["_salt"]) & cond(a, b))
+    return joined.select(a["order_id"], *[a[k] for k in left], *[b[k] for k in right])
+
 
 def basket_lines(d: Domain) -> DataFrame:
     """(order_id, dish_name) per order line: lines joined to dishes that have a category."""
@@ -32,10 +67,11 @@ def basket_lines(d: Domain) -> DataFrame:
 def pair_counts(d: Domain) -> DataFrame:
     """All unordered dish-name pairs with the number of line pairs and the first order they appear in."""
     per_order = basket_lines(d).groupBy("order_id", "dish_name").agg(F.count(F.lit(1)).alias("n"))
-    a = per_order.select("order_id", F.col("dish_name").alias("item_1"), F.col("n").alias("n1"))
-    b = per_order.select("order_id", F.col("dish_name").alias("item_2"), F.col("n").alias("n2"))
-    pairs = a.join(b, (a["order_id"] == b["order_id"]) & (a["item_1"] <= b["item_2"])).select(
-        a["order_id"], "item_1", "item_2",
+    pairs = order_pairs(
+        per_order, {"item_1": "dish_name", "n1": "n"}, {"item_2": "dish_name", "n2": "n"},
+        lambda a, b: a["item_1"] <= b["item_2"],
+    ).select(
+        "order_id", "item_1", "item_2",
         F.when(F.col("item_1") == F.col("item_2"), (F.col("n1") * (F.col("n1") - 1) / 2).cast("long"))
         .otherwise(F.col("n1") * F.col("n2")).alias("w"),
     ).where(F.col("w") > 0)
@@ -65,10 +101,8 @@ def basket_rules(d: Domain) -> DataFrame:
     items = item_baskets(d)
     n_orders = items.select(F.countDistinct("order_id")).scalar()
     item_count = items.groupBy("dish_name").agg(F.count(F.lit(1)).alias("cnt"))
-    a = items.select("order_id", F.col("dish_name").alias("source"))
-    b = items.select("order_id", F.col("dish_name").alias("target"))
     pair = (
-        a.join(b, (a["order_id"] == b["order_id"]) & (a["source"] != b["target"]))
+        order_pairs(items, {"source": "dish_name"}, {"target": "dish_name"}, lambda a, b: a["source"] != b["target"])
         .groupBy("source", "target")
         .agg(F.count(F.lit(1)).alias("pair_count"))
     )

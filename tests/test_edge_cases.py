@@ -289,3 +289,19 @@ def test_reports_on_empty_input(spark, menu, categories):
     d = make_domain(spark, order_details=empty, menu_items=menu, categories=categories)
     assert top_dishes(d).count() == 0
     assert basket_pairs(d).count() == 0
+
+
+def test_salted_pairs_equal_unsalted(spark, small_dir):
+    """Hot-order salting changes the plan, never the pairs."""
+    from tavola.operators.basket import basket_lines, order_pairs
+    from tavola.sources.domain import Domain
+
+    items = basket_lines(Domain(spark, small_dir)).groupBy("order_id", "dish_name").agg(F.count(F.lit(1)).alias("n"))
+
+    def pairs(hot):
+        return order_pairs(items, {"a": "dish_name", "na": "n"}, {"b": "dish_name", "nb": "n"},
+                           lambda x, y: x["a"] <= y["b"], hot_items=hot, buckets=5)
+
+    salted = rows(pairs(1))          # every order with 2+ dishes is "hot"
+    plain = rows(pairs(10 ** 9))     # no order is hot
+    assert salted == plain and len(plain) > 0
