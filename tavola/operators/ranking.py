@@ -9,9 +9,11 @@
 3. add the number of rows of all earlier partitions (a prefix sum over one row
    per partition, i.e. at most ``spark.sql.shuffle.partitions`` rows).
 
-The range-partitioned frame is checkpointed (reliable checkpoint, lazily) so the
-per-partition counts and the local ranks read the very same partitioning even
-if an executor is lost and tasks are re-run.
+The range-partitioned frame goes through ``checkpoint(eager=False)``: the
+per-partition counts and the local ranks then read one RDD whose range bounds
+were sampled once, so they agree on the partitioning (also when lost tasks are
+re-run), and the reliable checkpoint in ``spark.checkpoint.dir`` cuts the
+lineage after the first job.  (Eager checkpoints were measured slower.)
 """
 
 from __future__ import annotations
