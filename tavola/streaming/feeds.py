@@ -19,6 +19,7 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tavola.operators import changes as C
@@ -56,7 +57,7 @@ def run_to_table(spark: SparkSession, stream: DataFrame, name: str, output_mode:
     q = (stream.writeStream.foreachBatch(sink).option("checkpointLocation", f"{base}/chk")
          .outputMode(output_mode).trigger(availableNow=True).start())
     q.awaitTermination()
-    schema = stream.schema.add("_batch", "bigint")
+    schema = T.StructType(list(stream.schema.fields) + [T.StructField("_batch", T.LongType())])
     return spark.read.schema(schema).parquet(f"{base}/out")
 
 
