@@ -103,10 +103,14 @@ def price_snapshot(d: Domain) -> DataFrame:
     return apply_price_snapshot(incoming_lines(d), d.menu_items)
 
 
-def hourly_activity(d: Domain, events: DataFrame | None = None) -> DataFrame:
-    """Per hour of the feed: orders opened / closed / cancelled, reservations, views, total value."""
+def hourly_activity(d: Domain, events: DataFrame | None = None, width: str = "1 hour") -> DataFrame:
+    """Per hour (or day) of the feed: orders opened / closed / cancelled, reservations, views, total value."""
     e = events if events is not None else d.raw("events")
-    return activity_aggregate(e.withColumn("ts", F.col("ts").cast("timestamp")).groupBy(F.window("ts", "1 hour")))
+    return activity_aggregate(e.withColumn("ts", F.col("ts").cast("timestamp")).groupBy(F.window("ts", width)))
+
+
+def daily_activity(d: Domain) -> DataFrame:
+    return hourly_activity(d, width="1 day")
 
 
 def activity_aggregate(grouped) -> DataFrame:

@@ -134,7 +134,10 @@ def category_list(d: Domain) -> DataFrame:
     )
     all_row = d.spark.createDataFrame([("All", -1)], "category string, first_id long")
     both = all_row.unionByName(first_seen)
-    return global_rank(both, [F.col("first_id")], "position", method="row_number").select("position", "category")
+    # one row per category: the list is bounded by the category domain, a plain window is enough
+    from pyspark.sql import Window
+
+    return both.select(F.row_number().over(Window.orderBy("first_id")).alias("position"), "category")
 
 
 # ------------------------------------------------------------------------ B13
@@ -142,7 +145,10 @@ def pos_categories(d: Domain) -> DataFrame:
     """POS category strip: 'All' then the category names in stored order."""
     cats = d.categories.select(F.col("category_id").alias("_k"), F.col("category_name").alias("category"))
     all_row = d.spark.createDataFrame([(0, "All")], "_k long, category string")
-    return global_rank(all_row.unionByName(cats), [F.col("_k")], "position", method="row_number").select("position", "category")
+    from pyspark.sql import Window
+
+    # bounded by the category domain (one row per category)
+    return all_row.unionByName(cats).select(F.row_number().over(Window.orderBy("_k")).alias("position"), "category")
 
 
 def pos_tables(d: Domain) -> DataFrame:

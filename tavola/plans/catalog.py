@@ -105,6 +105,7 @@ register("price_snapshot", C.price_snapshot)
 register("maintenance_reject", C.maintenance_reject)
 register("customer_audit", C.customer_audit)
 register("hourly_activity", C.hourly_activity)
+register("daily_activity", C.daily_activity)
 
 # coverage additions: defaults, POS lists, prefix / range search, subtotals, pages, SQL path
 register("customers_with_defaults", DF.customers_with_defaults)
