@@ -67,9 +67,9 @@ def status_log(d: Domain) -> DataFrame:
 # ------------------------------------------------------------------------ I3
 def reservation_completed(d: Domain) -> DataFrame:
     """Reservations whose order reached 'closed': they become completed (cancelled ones too)."""
-    closed = d.orders_with_reservation.where(
-        (F.col("status") == "closed") & F.col("reservation_id").isNotNull()
-    ).select("reservation_id").distinct()
+    closed = d.dine_orders.where((F.col("status") == "closed") & F.col("reservation_ref").isNotNull()).select(
+        F.col("reservation_ref").alias("reservation_id")
+    ).distinct()
     r = d.reservations.select("reservation_id", F.col("status").alias("old_status"))
     return r.join(closed, "reservation_id", "left_semi").select(
         "reservation_id", "old_status", F.lit("completed").alias("new_status")

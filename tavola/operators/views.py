@@ -76,7 +76,8 @@ def customer_activity(d: Domain) -> DataFrame:
     """Reservations, paid invoices reached through reservations, spend and tier per customer."""
     res = d.reservations.select("reservation_id", "customer_id")
     n_res = res.groupBy("customer_id").agg(F.countDistinct("reservation_id").alias("total_reservations"))
-    orders = d.orders_with_reservation.where(F.col("reservation_id").isNotNull()).select("order_id", "reservation_id")
+    # an inner join on the reference keeps exactly the orders whose reservation exists
+    orders = d.dine_orders.select("order_id", F.col("reservation_ref").alias("reservation_id"))
     inv = paid_invoices(d).select("order_id", "invoice_id", "total_amount", "payment_date")
     spend = (
         res.join(orders, "reservation_id")

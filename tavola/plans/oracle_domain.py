@@ -64,12 +64,13 @@ CTES: dict[str, str] = {
                CASE WHEN o_orderstatus = 'F' THEN 'closed' WHEN o_orderstatus = 'O' THEN 'open'
                     WHEN o_orderpriority = '5-LOW' THEN 'cancelled'
                     WHEN o_orderpriority = '4-NOT SPECIFIED' THEN 'served' ELSE 'preparing' END AS status,
-               o_orderdate AS order_day
+               o_orderdate AS order_day,
+               o_orderkey // 3 AS reservation_ref
         FROM orders""",
     "orders_with_reservation": """
         SELECT o.*, r.reservation_id
         FROM dine_orders o LEFT JOIN (SELECT reservation_id FROM reservations) r
-          ON o.order_id // 3 = r.reservation_id""",
+          ON o.reservation_ref = r.reservation_id""",
     "order_details": """
         SELECT l_orderkey AS order_id, l_linenumber AS line_number, l_partkey AS dish_id,
                CAST(l_quantity AS INTEGER) AS quantity,

@@ -101,7 +101,11 @@ class Domain:
             (F.col("p_partkey") % 10 != 0).alias("is_available"),
             F.col("p_size").cast("int").alias("preparation_time"),
         )
-        cats = self.categories.select("category_id", "category_name")
+        # a handful of category names: shuffling dishes by category would make
+        # every category a hot key, so the category list is broadcast (size checked)
+        from tavola.operators.joins import sized_broadcast
+
+        cats = sized_broadcast(self.categories.select("category_id", "category_name"))
         return items.join(cats, "category_name", "left").select(
             "dish_id", "category_id", "dish_name", "category_name", "price",
             "description", "is_available", "preparation_time",
@@ -171,6 +175,8 @@ class Domain:
             (F.col("o_orderdate") + minutes(key % 1440)).alias("order_time"),
             status.alias("status"),
             F.col("o_orderdate").alias("order_day"),
+            # reservation the order refers to; it may not exist (then the order has none)
+            F.expr("o_orderkey div 3").alias("reservation_ref"),
         )
 
     def orders_since(self, start) -> DataFrame:
@@ -186,13 +192,10 @@ class Domain:
 
     @cached_property
     def orders_with_reservation(self) -> DataFrame:
-        """Orders plus ``reservation_id`` (order key div 3 when that reservation exists)."""
+        """Orders plus ``reservation_id`` (the referenced reservation, when it exists)."""
         res = self.reservations.select(F.col("reservation_id"))
-        o = self.dine_orders.withColumn("_rk", F.expr("order_id div 3"))
-        return (
-            o.join(res, o["_rk"] == res["reservation_id"], "left")
-            .drop("_rk")
-        )
+        o = self.dine_orders
+        return o.join(res, o["reservation_ref"] == res["reservation_id"], "left")
 
     @staticmethod
     def map_lineitem(li: DataFrame) -> DataFrame:
