@@ -31,15 +31,21 @@ HOT_ITEMS = 1000
 SALT_BUCKETS = 16
 
 
+def order_sizes(items: DataFrame) -> DataFrame:
+    """Distinct items per order (partial+final aggregate, one row per order)."""
+    return items.groupBy("order_id").agg(F.count(F.lit(1)).alias("_k"))
+
+
 def order_pairs(items: DataFrame, left: dict[str, str], right: dict[str, str], cond, hot_items: int = HOT_ITEMS,
-                buckets: int = SALT_BUCKETS) -> DataFrame:
+                buckets: int = SALT_BUCKETS, sizes: DataFrame | None = None) -> DataFrame:
     """Self-join of per-order item rows on order_id, salted for orders with many distinct items.
 
     ``items`` has one row per (order_id, item); ``left`` / ``right`` map output
     names to ``items`` columns for the two sides; ``cond(a, b)`` is the residual
-    pair condition on the two sides' columns.
+    pair condition on the two sides' columns.  ``sizes`` (from ``order_sizes``)
+    may be passed when the caller needs it too.
     """
-    sizes = items.groupBy("order_id").agg(F.count(F.lit(1)).alias("_k"))
+    sizes = sizes if sizes is not None else order_sizes(items)
     hot = sizes.where(F.col("_k") > hot_items).select("order_id", F.lit(True).alias("_hot"))
     tagged = items.join(hot, "order_id", "left").withColumn("_hot", F.coalesce("_hot", F.lit(False)))
     first_col = next(iter(left.values()))
@@ -99,10 +105,12 @@ def basket_rules(d: Domain) -> DataFrame:
     confidence_pct = int(confidence * 100), as the dashboard computes it.
     """
     items = item_baskets(d)
-    n_orders = items.select(F.countDistinct("order_id")).scalar()
+    sizes = order_sizes(items)
+    n_orders = sizes.select(F.count(F.lit(1))).scalar()  # baskets = orders with at least one item
     item_count = items.groupBy("dish_name").agg(F.count(F.lit(1)).alias("cnt"))
     pair = (
-        order_pairs(items, {"source": "dish_name"}, {"target": "dish_name"}, lambda a, b: a["source"] != b["target"])
+        order_pairs(items, {"source": "dish_name"}, {"target": "dish_name"}, lambda a, b: a["source"] != b["target"],
+                    sizes=sizes)
         .groupBy("source", "target")
         .agg(F.count(F.lit(1)).alias("pair_count"))
     )
