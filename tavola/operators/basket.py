@@ -157,4 +157,6 @@ def fpgrowth_model(d: Domain, min_support: float = 0.001, min_confidence: float
     from pyspark.ml.fpm import FPGrowth
 
     baskets = basket_lines(d).groupBy("order_id").agg(F.array_sort(F.collect_set("dish_name")).alias("items"))
-    return FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence).fit(baskets)
+    parts = int(d.spark.conf.get("spark.sql.shuffle.partitions"))
+    return FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence,
+                    numPartitions=parts).fit(baskets)

@@ -449,3 +449,31 @@ def table_clear(d: Domain, tables: DataFrame | None = None) -> DataFrame:
     req = tables if tables is not None else d.dining_tables.where(F.lower("status") == "occupied").select("table_id")
     o = d.dine_orders.where(F.col("status") != "closed").select("order_id", "table_id", F.col("status").alias("old_status"))
     return o.join(req, "table_id", "left_semi").select("order_id", "table_id", "old_status", F.lit("closed").alias("new_status"))
+
+
+def menu_quick_update(d: Domain, requests: DataFrame | None = None) -> DataFrame:
+    """Dashboard toggle: a request with availability changes only availability, else only the price."""
+    req = requests if requests is not None else d.menu_quick_updates
+    req = req.select(
+        "request_id", "dish_id", "is_available",
+        F.when(F.col("is_available").isNull(), F.col("price")).alias("price"),
+    )
+    cur = d.menu_items.select("dish_id", "price", "is_available")
+    return merge_partial_updates(cur, req, "dish_id", [("price", "price"), ("is_available", "is_available")])
+
+
+TABLE_FIELDS = [("status", "status"), ("capacity", "capacity"), ("location", "location")]
+
+
+def table_update(d: Domain, requests: DataFrame | None = None) -> DataFrame:
+    """Partial table updates (non-NULL fields overwrite); freeing a table also closes its open orders (K10)."""
+    req = requests if requests is not None else d.table_updates
+    cur = d.dining_tables.select("table_id", "status", "capacity", "location")
+    return merge_partial_updates(cur, req, "table_id", TABLE_FIELDS)
+
+
+def table_update_closures(d: Domain, requests: DataFrame | None = None) -> DataFrame:
+    """Orders closed because their table was set to available (K10 applied to the update batch)."""
+    req = requests if requests is not None else d.table_updates
+    freed = req.where(F.lower("status") == "available").select("table_id").distinct()
+    return table_clear(d, freed)

@@ -116,6 +116,10 @@ register("order_subtotals", L.order_subtotals)
 register("floor_page", L.floor_page)
 register("latest_invoices", L.latest_invoices)
 register("discounts_via_sql", L.discounts_via_sql)
+register("pos_tables", L.pos_tables)
+register("menu_quick_update", J.menu_quick_update)
+register("table_update", J.table_update)
+register("table_update_closures", J.table_update_closures)
 
 
 def run(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

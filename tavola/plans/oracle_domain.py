@@ -198,3 +198,17 @@ def with_domain(sql: str, extra: dict[str, str] | None = None) -> str:
     if sql[:5].upper() == "WITH ":
         return f"WITH {body},\n{sql[5:]}"
     return f"WITH {body}\n{sql}"
+
+CTES.update({
+    "menu_quick_updates": """
+        SELECT p_partkey AS request_id, p_partkey AS dish_id,
+               CASE WHEN p_partkey % 3 = 0 THEN p_partkey % 2 = 0 END AS is_available,
+               CASE WHEN p_partkey % 5 = 0 THEN CAST(round(CAST(p_retailprice AS DECIMAL(10,2)) * 1.1, 2) AS DECIMAL(10,2)) END AS price
+        FROM part""",
+    "table_updates": """
+        SELECT s_suppkey AS request_id, s_suppkey AS table_id,
+               CASE WHEN s_suppkey % 3 = 0 THEN 'available' END AS status,
+               CASE WHEN s_suppkey % 3 = 1 THEN CAST(s_suppkey % 12 + 2 AS INTEGER) END AS capacity,
+               CASE WHEN s_suppkey % 3 = 2 THEN 'Terrace' END AS location
+        FROM supplier""",
+})

@@ -396,3 +396,28 @@ class Domain:
             F.when(eid % 4 == 0, F.lit(None).cast("string"))
             .otherwise(F.concat(F.lit("guest"), (eid % (n * 3)).cast("string"), F.lit("@mail.example"))).alias("email"),
         )
+
+    @cached_property
+    def menu_quick_updates(self) -> DataFrame:
+        """Dashboard menu toggles: availability for every 3rd dish, price for every 5th (both: availability wins)."""
+        p = self.raw("part")
+        key = F.col("p_partkey")
+        return p.select(
+            key.alias("request_id"),
+            key.alias("dish_id"),
+            F.when(key % 3 == 0, key % 2 == 0).alias("is_available"),
+            F.when(key % 5 == 0, F.round(F.col("p_retailprice").cast(MONEY) * dec("1.1"), 2).cast(MONEY)).alias("price"),
+        )
+
+    @cached_property
+    def table_updates(self) -> DataFrame:
+        """One partial update per table: free every 3rd, resize the next, move the one after."""
+        s = self.raw("supplier")
+        key = F.col("s_suppkey")
+        return s.select(
+            key.alias("request_id"),
+            key.alias("table_id"),
+            F.when(key % 3 == 0, F.lit("available")).alias("status"),
+            F.when(key % 3 == 1, (key % 12 + 2).cast("int")).alias("capacity"),
+            F.when(key % 3 == 2, F.lit("Terrace")).alias("location"),
+        )
