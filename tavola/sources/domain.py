@@ -186,9 +186,11 @@ class Domain:
         is implied; it is stated too because it reaches the parquet scan.
         """
         start = F.lit(start).cast("timestamp_ntz") if not isinstance(start, Column) else start
-        return self.dine_orders.where(
-            (F.col("order_day") > start - F.expr("INTERVAL 1 DAY")) & (F.col("order_time") >= start)
-        )
+        o = self.dine_orders
+        cond = (F.col("order_day") > start - F.expr("INTERVAL 1 DAY")) & (F.col("order_time") >= start)
+        if "order_month" in o.columns:  # stored layout: prune month partitions too
+            cond = cond & (F.col("order_month") >= F.trunc(F.to_date(start - F.expr("INTERVAL 1 DAY")), "month"))
+        return o.where(cond)
 
     @cached_property
     def orders_with_reservation(self) -> DataFrame:

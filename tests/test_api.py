@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import os
+
+import pytest
 import tempfile
 
 from pyspark.sql import functions as F
@@ -105,3 +107,35 @@ def test_status_stream_drops_late_events_across_batches(spark, tmp_path):
     log = feeds.run_to_table(spark, out, "late_test")
     got = sorted((r.seq, r.old_status, r.new_status) for r in log.collect())
     assert got == [(1, "available", "occupied"), (2, "occupied", "available"), (4, "available", "reserved")]
+
+
+@pytest.fixture(scope="module")
+def stored(spark, small_dir, tmp_path_factory):
+    from tavola.sources.domain import Domain
+    from tavola.sources.layout import StoredDomain, write_domain
+
+    out = str(tmp_path_factory.mktemp("domain"))
+    write_domain(Domain(spark, small_dir), out)
+    return StoredDomain(spark, out, small_dir)
+
+
+def test_stored_layout_gives_the_same_answers(spark, small_dir, stored):
+    """Materialised domain (date-partitioned facts): the catalogue gives the same answers."""
+    from tavola.plans.catalog import CATALOG
+    from tavola.sources.domain import Domain
+
+    for name in ["top_selling_dishes", "daily_revenue", "monthly_revenue", "floor_view", "status_log"]:
+        fn = CATALOG[name]
+        want = fn(Domain(spark, small_dir))
+        got = fn(stored).select(*want.columns)
+        assert rows(got) == rows(want), name
+
+
+def test_stored_layout_prunes_month_partitions(stored):
+    import contextlib
+    import io
+
+    buf = io.StringIO()
+    with contextlib.redirect_stdout(buf):
+        stored.orders_since("2001-07-03 00:00:00").explain("formatted")
+    assert "PartitionFilters: [isnotnull(order_month" in buf.getvalue()
