@@ -12,30 +12,64 @@ from pyspark.sql import functions as F
 from tavola.operators.sequence import keyed_lag
 from tavola.sources.domain import Domain
 
-# Event type of the feed -> resulting table status
-# (order opened -> occupied, order closed / cancelled -> available, reservation -> reserved).
-EVENT_STATUS = {"click": "occupied", "purchase": "available", "error": "available", "signup": "reserved"}
+# Event type of the feed -> order status (the guest's order is keyed by user_id);
+# signup events are reservation inserts.
+ORDER_EVENT_STATUS = {"click": "open", "view": "preparing", "purchase": "closed", "error": "cancelled"}
+TERMINAL = ["closed", "cancelled"]
 
 
-def event_status(event_type: Column) -> Column:
+def order_event_status(event_type: Column) -> Column:
     expr = None
-    for k, v in EVENT_STATUS.items():
+    for k, v in ORDER_EVENT_STATUS.items():
         expr = F.when(event_type == k, v) if expr is None else expr.when(event_type == k, v)
     return expr
 
 
+def table_effect(order_status: Column, previous: Column) -> Column:
+    """Trigger rules: an order inserted as open occupies its table; a transition into closed /
+    cancelled from neither frees it; anything else leaves the table alone."""
+    return (
+        F.when(order_status == "open", F.lit("occupied"))
+        .when(order_status.isin(*TERMINAL) & (previous.isNull() | ~previous.isin(*TERMINAL)), F.lit("available"))
+    )
+
+
+def order_feed(d: Domain, events: DataFrame | None = None, table_count=None) -> DataFrame:
+    """Order status changes: (order_key, table_id, changed_at, seq, order_status, changed_by)."""
+    e = events if events is not None else d.raw("events")
+    n = table_count if table_count is not None else d.table_count()
+    return e.where(F.col("event_type").isin(*ORDER_EVENT_STATUS)).select(
+        F.col("user_id").alias("order_key"),
+        (F.col("user_id") % n).alias("table_id"),
+        F.col("ts").alias("changed_at"),
+        F.col("event_id").alias("seq"),
+        order_event_status(F.col("event_type")).alias("order_status"),
+        F.concat(F.lit("user"), F.col("user_id").cast("string")).alias("changed_by"),
+    )
+
+
 def table_events(d: Domain, events: DataFrame | None = None, table_count=None) -> DataFrame:
-    """Table status changes derived from ``events``: (table_id, ts, seq, new_status, changed_by)."""
+    """Table status changes: (table_id, changed_at, seq, new_status, changed_by).
+
+    Order events need the order's previous status (a distributed per-order lag);
+    reservation inserts always set the table to reserved.
+    """
     e = events if events is not None else d.raw("events")
     n = table_count if table_count is not None else d.table_count()
-    out = e.select(
+    feed = order_feed(d, e, n)
+    prev = keyed_lag(feed, ["order_key"], [F.col("changed_at"), F.col("seq")], "order_status", "_prev")
+    orders = prev.select(
+        "table_id", "changed_at", "seq", table_effect(F.col("order_status"), F.col("_prev")).alias("new_status"),
+        "changed_by",
+    ).where(F.col("new_status").isNotNull())
+    reservations = e.where(F.col("event_type") == "signup").select(
         (F.col("user_id") % n).alias("table_id"),
         F.col("ts").alias("changed_at"),
         F.col("event_id").alias("seq"),
-        event_status(F.col("event_type")).alias("new_status"),
+        F.lit("reserved").alias("new_status"),
         F.concat(F.lit("user"), F.col("user_id").cast("string")).alias("changed_by"),
     )
-    return out.where(F.col("new_status").isNotNull())
+    return orders.unionByName(reservations)
 
 
 # ------------------------------------------------------------------------ I1

@@ -126,11 +126,23 @@ CTES: dict[str, str] = {
                ts - to_hours(CAST(event_id % 72 AS BIGINT)) AS created_at
         FROM events WHERE event_type IN ('signup', 'purchase')""",
     "table_events": """
-        SELECT user_id % (SELECT n FROM table_count) AS table_id, ts AS changed_at, event_id AS seq,
-               CASE event_type WHEN 'click' THEN 'occupied' WHEN 'purchase' THEN 'available'
-                               WHEN 'error' THEN 'available' WHEN 'signup' THEN 'reserved' END AS new_status,
-               'user' || CAST(user_id AS VARCHAR) AS changed_by
-        FROM events WHERE event_type IN ('click', 'purchase', 'error', 'signup')""",
+        WITH oe AS (
+          SELECT user_id AS order_key, user_id % (SELECT n FROM table_count) AS table_id, ts AS changed_at, event_id AS seq,
+                 CASE event_type WHEN 'click' THEN 'open' WHEN 'view' THEN 'preparing'
+                                 WHEN 'purchase' THEN 'closed' WHEN 'error' THEN 'cancelled' END AS order_status,
+                 'user' || CAST(user_id AS VARCHAR) AS changed_by
+          FROM events WHERE event_type IN ('click', 'view', 'purchase', 'error')),
+        ol AS (SELECT *, lag(order_status) OVER (PARTITION BY order_key ORDER BY changed_at, seq) AS prev FROM oe),
+        eff AS (SELECT table_id, changed_at, seq,
+                       CASE WHEN order_status = 'open' THEN 'occupied'
+                            WHEN order_status IN ('closed', 'cancelled')
+                                 AND (prev IS NULL OR prev NOT IN ('closed', 'cancelled')) THEN 'available' END AS new_status,
+                       changed_by
+                FROM ol)
+        SELECT * FROM eff WHERE new_status IS NOT NULL
+        UNION ALL
+        SELECT user_id % (SELECT n FROM table_count), ts, event_id, 'reserved', 'user' || CAST(user_id AS VARCHAR)
+        FROM events WHERE event_type = 'signup'""",
     # request batches of the set-based jobs
     "reservation_requests": """
         SELECT event_id AS request_id, user_id AS customer_id,

@@ -6,9 +6,10 @@ batch schema).  Each stream has a batch twin in ``tavola.operators.changes``;
 sink under the session's checkpoint folder and returns the sink as a batch
 DataFrame, so stream and twin can be compared row for row.
 
-Stateful logic (last status per table) uses ``applyInPandasWithState``: state is
-one small record per table, updated per micro-batch; events older than the
-state's last event are late and are not applied (they would reorder history).
+Stateful logic (table status from order and reservation changes) uses
+``transformWithStateInPandas`` keyed by table: a value state for the table and a
+map state of its orders' last statuses (RocksDB state store); events older than
+the table's last applied event are late and are not applied.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from tavola.operators import changes as C
 from tavola.session import ensure_checkpoint_dir
@@ -63,40 +64,87 @@ def run_to_table(spark: SparkSession, stream: DataFrame, name: str, output_mode:
 
 # ------------------------------------------------------------------ I1 / I2
 LOG_SCHEMA = "table_id long, old_status string, new_status string, changed_at timestamp_ntz, seq long, changed_by string"
-STATE_SCHEMA = "status string, at_us long, seq long"
-
-
-def _status_step(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Apply one micro-batch of a table's events in (time, seq) order; emit real changes."""
-    pdf = pd.concat(list(pdfs), ignore_index=True)
-    pdf = pdf.sort_values(["changed_at", "seq"], kind="stable")
-    if state.exists:
-        status, at_us, seq = state.get
-    else:
-        status, at_us, seq = None, None, None
-    out = []
-    for row in pdf.itertuples(index=False):
-        us = int(pd.Timestamp(row.changed_at).value // 1000)
-        if at_us is not None and (us, int(row.seq)) <= (at_us, seq):
-            continue  # late: older than what this table already applied
-        prev = status if status is not None else row.initial_status
-        if prev != row.new_status:
-            out.append((int(row.table_id), prev, row.new_status, row.changed_at, int(row.seq), row.changed_by))
-        status, at_us, seq = row.new_status, us, int(row.seq)
-    state.update((status, at_us, seq))
-    if out:
-        yield pd.DataFrame(out, columns=["table_id", "old_status", "new_status", "changed_at", "seq", "changed_by"])
-
-
-def status_log_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """I2 as a stream: events -> table changes -> per-table state holding the last status."""
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+TERMINAL = ("closed", "cancelled")
+
+
+class TableStatusProcessor(StatefulProcessor):
+    """Per table: the table's status, the last applied (time, seq), and a map order -> last order status.
+
+    Events of a micro-batch are applied in (time, seq) order.  An event not newer
+    than the last applied one is late and is skipped (it would rewrite history).
+    Order events change the table only on the trigger transitions; reservation
+    inserts set it to reserved.  The map state keeps one small entry per order
+    seen at the table (per-key entries in RocksDB, never one big value).
+    """
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.table = handle.getValueState("table", "status string, at_us long, seq long")
+        self.orders = handle.getMapState("orders", "order_key long", "status string")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        pdf = pd.concat(list(rows), ignore_index=True).sort_values(["changed_at", "seq"], kind="stable")
+        status, at_us, seq = self.table.get() if self.table.exists() else (None, None, None)
+        # one state read and one write per order of this micro-batch
+        touched: dict[int, str | None] = {}
+        for ok in pdf["order_key"].dropna().unique().tolist():
+            k = (int(ok),)
+            touched[int(ok)] = self.orders.getValue(k)[0] if self.orders.containsKey(k) else None
+        changed: set[int] = set()
+        out = []
+        for row in pdf.itertuples(index=False):
+            us, sq = int(pd.Timestamp(row.changed_at).value // 1000), int(row.seq)
+            if at_us is not None and (us, sq) <= (at_us, seq):
+                continue  # late
+            at_us, seq = us, sq
+            if row.order_status is None or pd.isna(row.order_status):
+                new = "reserved"
+            else:
+                ok = int(row.order_key)
+                prev = touched.get(ok)
+                touched[ok] = row.order_status
+                changed.add(ok)
+                if row.order_status == "open":
+                    new = "occupied"
+                elif row.order_status in TERMINAL and prev not in TERMINAL:
+                    new = "available"
+                else:
+                    new = None
+            if new is None:
+                continue
+            old = status if status is not None else row.initial_status
+            if old != new:
+                out.append((int(row.table_id), old, new, row.changed_at, sq, row.changed_by))
+            status = new
+        for ok in changed:
+            self.orders.updateValue((ok,), (touched[ok],))
+        self.table.update((status, at_us, seq))
+        if out:
+            yield pd.DataFrame(out, columns=["table_id", "old_status", "new_status", "changed_at", "seq", "changed_by"])
+
+    def close(self) -> None:
+        pass
+
+
+def status_log_stream(spark: SparkSession, sf_dir: str, events: DataFrame | None = None) -> DataFrame:
+    """I1/I2 as a stream: events -> per-table state (table status + order statuses) -> log of real changes."""
+    if spark.conf.get("spark.sql.streaming.stateStore.providerClass", "") != ROCKSDB:
+        spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)  # needed by transformWithState
     d = Domain(spark, sf_dir)
     n = d.dining_tables.count()  # one small count: the feed's table key is user_id % n
-    ev = C.table_events(d, stream_table(spark, sf_dir, "events"), F.lit(n))
+    e = events if events is not None else stream_table(spark, sf_dir, "events")
+    feed = e.where(F.col("event_type").isin(*C.ORDER_EVENT_STATUS, "signup")).select(
+        F.when(F.col("event_type") != "signup", F.col("user_id")).alias("order_key"),
+        (F.col("user_id") % F.lit(n)).alias("table_id"),
+        F.col("ts").alias("changed_at"),
+        F.col("event_id").alias("seq"),
+        C.order_event_status(F.col("event_type")).alias("order_status"),
+        F.concat(F.lit("user"), F.col("user_id").cast("string")).alias("changed_by"),
+    )
     tables = d.dining_tables.select("table_id", F.lower("status").alias("initial_status"))
-    enriched = ev.join(tables, "table_id", "left")  # stream-static join
-    return enriched.groupBy("table_id").applyInPandasWithState(
-        _status_step, LOG_SCHEMA, STATE_SCHEMA, "append", GroupStateTimeout.NoTimeout
+    enriched = feed.join(tables, "table_id", "left")  # stream-static join
+    return enriched.groupBy("table_id").transformWithStateInPandas(
+        statefulProcessor=TableStatusProcessor(), outputStructType=LOG_SCHEMA, outputMode="Append", timeMode="None"
     )
 
 
