@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tavola.functions.scalar import MONEY_SUM, dec, format_vnd, hour_label
+from tavola.functions.scalar import MONEY_SUM, dec, hour_label
 from tavola.operators.ranking import global_rank
 from tavola.sources.domain import Domain
 

@@ -5,7 +5,6 @@ from __future__ import annotations
 import contextlib
 import io
 
-from pyspark.sql import functions as F
 
 from tavola.sources.domain import Domain
 
