@@ -45,6 +45,11 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return current
     configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     if not configured:
-        configured = tempfile.mkdtemp(prefix="tavola-ckpt-", dir="/tmp")
+        if not sc.master.startswith("local"):
+            raise RuntimeError(
+                "spark.checkpoint.dir is not set: point it at shared storage (a machine-local folder "
+                "would lose checkpoints with their executor)"
+            )
+        configured = tempfile.mkdtemp(prefix="tavola-ckpt-", dir="/tmp")  # local runs and tests only
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir() or configured
