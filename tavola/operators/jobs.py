@@ -401,10 +401,32 @@ def merge_partial_updates(current: DataFrame, updates: DataFrame, key: str, fiel
     return j.select(key, *cols, F.coalesce(F.col("_updates"), F.lit(0)).alias("updates_applied"))
 
 
+def contact_conflicts(req: DataFrame, customers: DataFrame) -> DataFrame:
+    """Update requests whose new phone / email is taken: owned by another customer, or claimed
+    by another customer's earlier request of the batch (duplicate-contact guard, K9)."""
+    bad = None
+    for field, col in (("phone", "phone_number"), ("email", "email")):
+        owners = customers.where(F.col(col).isNotNull()).select(F.col(col).alias(field), F.col("customer_id").alias("_owner"))
+        first = req.where(F.col(field).isNotNull()).groupBy(field).agg(
+            F.min_by("customer_id", "request_id").alias("_claimer")
+        )
+        hit = (
+            req.where(F.col(field).isNotNull())
+            .join(owners, field, "left").join(first, field)
+            .where((F.col("_owner").isNotNull() & (F.col("_owner") != F.col("customer_id")))
+                   | (F.col("_claimer") != F.col("customer_id")))
+            .select("request_id")
+        )
+        bad = hit if bad is None else bad.unionByName(hit)
+    return bad.distinct()
+
+
 def customer_update(d: Domain, requests: DataFrame | None = None) -> DataFrame:
+    """Partial customer updates; an update that would duplicate a phone or email is refused whole."""
     req = requests if requests is not None else d.customer_updates
+    accepted = req.join(contact_conflicts(req, d.customers), "request_id", "left_anti")
     cur = d.customers.select("customer_id", *[dst for _, dst in CUSTOMER_FIELDS])
-    return merge_partial_updates(cur, req, "customer_id", CUSTOMER_FIELDS)
+    return merge_partial_updates(cur, accepted, "customer_id", CUSTOMER_FIELDS)
 
 
 # ------------------------------------------------------------------------ K8

@@ -195,3 +195,22 @@ def test_price_snapshot(spark, flag, line, price, want):
     r = price_snapshot(d).first()
     assert r.unit_price == D(want)
     assert r.price_from_menu == (want != price)
+
+
+# ------------------------------------------------------------------ K7 + K9
+def test_customer_update_refuses_duplicate_contacts(spark):
+    from tavola.operators.jobs import customer_update
+
+    cust = spark.createDataFrame([(1, "A", "0900000001", "a@x", None, None, 0, True),
+                                  (2, "B", "0900000002", "b@x", None, None, 0, True)], CUST_SCHEMA)
+    req = spark.createDataFrame(
+        [(10, 1, None, "0900000002", None, None, 5, None),   # phone of customer 2: refused whole (points too)
+         (11, 2, "Bee", None, "new@x", None, None, None),    # first claim of new@x: applied
+         (12, 1, None, None, "new@x", None, None, None),     # new@x already claimed by customer 2: refused
+         (13, 1, None, None, "a@x", None, 9, None)],         # own email again: fine
+        "request_id long, customer_id long, name string, phone string, email string, address string, "
+        "points int, is_active boolean")
+    d = make_domain(spark, customers=cust)
+    got = {r.customer_id: (r.customer_name, r.phone_number, r.email, r.loyalty_points, r.updates_applied)
+           for r in customer_update(d, req).collect()}
+    assert got == {1: ("A", "0900000001", "a@x", 9, 1), 2: ("Bee", "0900000002", "new@x", 0, 1)}
