@@ -59,7 +59,7 @@ def top_selling_dishes(d: Domain, as_of=SALES_AS_OF, days: int = 30) -> DataFram
     )
     dishes = d.menu_items.where(F.col("category_id").isNotNull()).select("dish_id", "dish_name", "category_name", "price")
     out = per_dish.join(dishes, "dish_id")
-    out = global_rank(out, [F.col("total_quantity_sold").desc()], "sales_rank")
+    out = global_rank(out, [F.col("total_quantity_sold").desc()], "sales_rank", keys=["total_quantity_sold"])
     return out.select(
         "dish_id", "dish_name", "category_name", "price",
         "total_quantity_sold", "total_revenue", "order_count", "sales_rank",

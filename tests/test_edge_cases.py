@@ -65,9 +65,9 @@ def test_rank_has_gaps_on_ties(spark):
     from tavola.operators.ranking import global_rank
 
     df = spark.createDataFrame([(1, 10), (2, 10), (3, 7), (4, 7), (5, 1)], "id long, q long")
-    got = rows(global_rank(df, [F.col("q").desc()], "r"), "id", "r")
+    got = rows(global_rank(df, [F.col("q").desc()], "r", keys=["q"]), "id", "r")
     assert got == [(1, 1), (2, 1), (3, 3), (4, 3), (5, 5)]
-    dense = rows(global_rank(df, [F.col("q").desc()], "r", method="dense_rank"), "id", "r")
+    dense = rows(global_rank(df, [F.col("q").desc()], "r", method="dense_rank", keys=["q"]), "id", "r")
     assert dense == [(1, 1), (2, 1), (3, 2), (4, 2), (5, 3)]
 
 
@@ -77,7 +77,25 @@ def test_global_rank_matches_window_on_many_partitions(spark):
     from tavola.operators.ranking import global_rank
 
     df = spark.range(0, 5000).select(F.col("id"), (F.col("id") * 7919 % 97).alias("v"))
-    mine = global_rank(df, [F.col("v").desc()], "r", num_partitions=13)
+    mine = global_rank(df, [F.col("v").desc()], "r", num_partitions=13, keys=["v"])
+    ref = df.withColumn("r", F.rank().over(Window.orderBy(F.col("v").desc())))
+    assert rows(mine, "id", "r") == rows(ref, "id", "r")
+    dense = global_rank(df, [F.col("v").desc()], "r", method="dense_rank", num_partitions=13, keys=["v"])
+    dref = df.withColumn("r", F.dense_rank().over(Window.orderBy(F.col("v").desc())))
+    assert rows(dense, "id", "r") == rows(dref, "id", "r")
+    rn = global_rank(df, [F.col("v").desc(), F.col("id")], "r", method="row_number", num_partitions=13)
+    rref = df.withColumn("r", F.row_number().over(Window.orderBy(F.col("v").desc(), F.col("id"))))
+    assert rows(rn, "id", "r") == rows(rref, "id", "r")
+
+
+def test_rank_with_one_hot_value_spreads_and_is_exact(spark):
+    """A value shared by most rows (ties) is ranked from the histogram, not inside one task."""
+    from pyspark.sql import Window
+
+    from tavola.operators.ranking import global_rank
+
+    df = spark.range(0, 4000).select(F.col("id"), F.when(F.col("id") % 3 == 0, F.col("id") % 50).otherwise(7).alias("v"))
+    mine = global_rank(df, [F.col("v").desc()], "r", num_partitions=8, keys=["v"])
     ref = df.withColumn("r", F.rank().over(Window.orderBy(F.col("v").desc())))
     assert rows(mine, "id", "r") == rows(ref, "id", "r")
 
