@@ -83,6 +83,9 @@ def global_rank(
         raise ValueError(method)
     if not keys:
         raise ValueError("rank / dense_rank need the key columns of the ordering")
+    # the rows are read twice (histogram, join back): one shared, checkpointed RDD keeps
+    # the upstream plan (e.g. a scan + aggregate of the line facts) from running twice
+    df = df.checkpoint(eager=False)
     hist = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_gr_n"))
     pos = _prefix_positions(hist, order, F.col("_gr_n"), parts)
     value = F.col("_gr_before") + 1 if method == "rank" else F.col("_gr_pos")
