@@ -41,6 +41,7 @@ def daily_reservations(d: Domain) -> DataFrame:
 
 
 # ------------------------------------------------------------------------ D4
+# Status descriptions of the table-availability view.
 TABLE_STATUS_TEXT = {
     "available": "Ready for seating",
     "reserved": "Has upcoming booking",
