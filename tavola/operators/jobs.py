@@ -499,3 +499,88 @@ def table_update_closures(d: Domain, requests: DataFrame | None = None) -> DataF
     req = requests if requests is not None else d.table_updates
     freed = req.where(F.lower("status") == "available").select("table_id").distinct()
     return table_clear(d, freed)
+
+
+# ------------------------------------------------------------- K9 sequential
+def contact_components(req: DataFrame, max_rounds: int = 50) -> DataFrame:
+    """Connected components of requests linked by a shared phone or email (min request_id as label).
+
+    Distributed label propagation: each round takes, per phone and per email, the
+    smallest label among its requests and gives it back to those requests.  Each
+    round is two aggregates and two joins, checkpointed to cut the lineage; the
+    loop stops when a round changes no label (rounds <= component diameter).
+    """
+    from tavola.session import ensure_checkpoint_dir
+
+    ensure_checkpoint_dir(req.sparkSession)
+    lab = req.select("request_id", "phone", "email", F.col("request_id").alias("label"))
+    for _ in range(max_rounds):
+        by_phone = lab.where(F.col("phone").isNotNull()).groupBy("phone").agg(F.min("label").alias("_lp"))
+        by_email = lab.where(F.col("email").isNotNull()).groupBy("email").agg(F.min("label").alias("_le"))
+        nxt = (
+            lab.join(by_phone, "phone", "left").join(by_email, "email", "left")
+            .select("request_id", "phone", "email", "label",
+                    F.least("label", F.coalesce("_lp", "label"), F.coalesce("_le", "label")).alias("_new"))
+            .checkpoint(eager=True)
+        )
+        changed = nxt.where(F.col("_new") != F.col("label")).limit(1).count()
+        lab = nxt.select("request_id", "phone", "email", F.col("_new").alias("label"))
+        if changed == 0:
+            break
+    return lab.select("request_id", F.col("label").alias("component"))
+
+
+SIGNUP_SCHEMA = "request_id long, accepted boolean"
+
+
+def _sequential_signups(batches):
+    """Admit sign-ups component by component in request order; accepted ones take their phone / email."""
+    cur, phones, emails = None, set(), set()
+    for pdf in batches:
+        ids, oks = [], []
+        for comp, rid, phone, email in zip(pdf["component"].tolist(), pdf["request_id"].tolist(),
+                                           pdf["phone"].tolist(), pdf["email"].tolist()):
+            if comp != cur:
+                cur, phones, emails = comp, set(), set()
+            email = None if email is None or (isinstance(email, float) and pd.isna(email)) else email
+            ok = phone not in phones and (email is None or email not in emails)
+            if ok:
+                phones.add(phone)
+                if email is not None:
+                    emails.add(email)
+            ids.append(int(rid))
+            oks.append(ok)
+        if ids:
+            yield pd.DataFrame({"request_id": pd.Series(ids, dtype="int64"), "accepted": pd.Series(oks, dtype="bool")})
+
+
+def duplicate_contacts_sequential(d: Domain, requests: DataFrame | None = None) -> DataFrame:
+    """Sign-ups processed one at a time, exactly as single inserts would be.
+
+    Requests duplicating an existing customer are refused (and block nothing).
+    The others only interact through shared phones / emails, so they are split
+    into connected components; each component is admitted greedily in request
+    order (one ``mapInPandas`` pass per partition, components hash-distributed).
+    """
+    req = requests if requests is not None else d.customer_inserts
+    phones = d.customers.select(F.col("phone_number").alias("phone")).distinct().withColumn("_p", F.lit(True))
+    emails = d.customers.where(F.col("email").isNotNull()).select("email").distinct().withColumn("_e", F.lit(True))
+    j = req.join(phones, "phone", "left").join(emails, "email", "left")
+    existing = F.coalesce(F.col("_p"), F.lit(False)) | F.coalesce(F.col("_e"), F.lit(False))
+    cand = j.where(~existing).select("request_id", "phone", "email")
+    comp = contact_components(cand)
+    n = int(d.spark.conf.get("spark.sql.shuffle.partitions"))
+    decided = (
+        cand.join(comp, "request_id")
+        .repartition(n, "component")
+        .sortWithinPartitions("component", "request_id")
+        .select("component", "request_id", "phone", "email")
+        .mapInPandas(_sequential_signups, SIGNUP_SCHEMA)
+    )
+    out = j.join(decided, "request_id", "left")
+    outcome = (
+        F.when(existing, "duplicate_existing")
+        .when(F.col("accepted"), "accepted")
+        .otherwise("duplicate_in_batch")
+    )
+    return out.select("request_id", "name", "phone", "email", outcome.alias("outcome"))

@@ -94,6 +94,7 @@ register("menu_upsert", J.menu_upsert)
 register("customer_update", J.customer_update)
 register("guarded_delete", J.guarded_delete)
 register("duplicate_contacts", J.duplicate_contacts)
+register("duplicate_contacts_sequential", J.duplicate_contacts_sequential)
 register("table_clear", J.table_clear)
 
 # phase 6: data quality and change-driven rules (batch twins of the streams)

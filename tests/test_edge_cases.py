@@ -323,3 +323,45 @@ def test_salted_pairs_equal_unsalted(spark, small_dir):
     salted = rows(pairs(1))          # every order with 2+ dishes is "hot"
     plain = rows(pairs(10 ** 9))     # no order is hot
     assert salted == plain and len(plain) > 0
+
+
+def _brute_force_signups(reqs, phones, emails):
+    taken_p, taken_e, out = set(phones), set(emails), {}
+    for r in sorted(reqs, key=lambda x: x["request_id"]):
+        if r["phone"] in phones or (r["email"] is not None and r["email"] in emails):
+            out[r["request_id"]] = "duplicate_existing"
+        elif r["phone"] in taken_p or (r["email"] is not None and r["email"] in taken_e):
+            out[r["request_id"]] = "duplicate_in_batch"
+        else:
+            out[r["request_id"]] = "accepted"
+            taken_p.add(r["phone"])
+            if r["email"] is not None:
+                taken_e.add(r["email"])
+    return out
+
+
+def test_sequential_signups_match_one_at_a_time(spark, small_dir):
+    from tavola.operators.jobs import duplicate_contacts_sequential
+    from tavola.sources.domain import Domain
+
+    d = Domain(spark, small_dir)
+    reqs = [r.asDict() for r in d.customer_inserts.collect()]
+    phones = {r.phone_number for r in d.customers.collect()}
+    emails = {r.email for r in d.customers.collect() if r.email is not None}
+    want = _brute_force_signups(reqs, phones, emails)
+    got = {r.request_id: r.outcome for r in duplicate_contacts_sequential(d).collect()}
+    assert got == want
+
+
+def test_sequential_signups_chain(spark):
+    """A accepted; B rejected (A's email); C takes B's phone: accepted, because B never got it."""
+    from tavola.operators.jobs import duplicate_contacts_sequential
+
+    cust = spark.createDataFrame([(1, "X", "0900", "x@x", None, None, 0, True)],
+                                 "customer_id long, customer_name string, phone_number string, email string, "
+                                 "address string, join_date date, loyalty_points int, is_active boolean")
+    req = spark.createDataFrame([(1, "A", "p1", "e1"), (2, "B", "p2", "e1"), (3, "C", "p2", "e3"), (4, "D", "0900", None)],
+                                "request_id long, name string, phone string, email string")
+    d = make_domain(spark, customers=cust)
+    got = {r.request_id: r.outcome for r in duplicate_contacts_sequential(d, req).collect()}
+    assert got == {1: "accepted", 2: "duplicate_in_batch", 3: "accepted", 4: "duplicate_existing"}
