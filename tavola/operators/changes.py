@@ -137,10 +137,33 @@ def price_snapshot(d: Domain) -> DataFrame:
     return apply_price_snapshot(incoming_lines(d), d.menu_items)
 
 
+EPOCH_NTZ = "1970-01-01 00:00:00"
+DAY_MICROS = 86_400_000_000
+
+
+def instant_of(ts_ntz: Column) -> Column:
+    """Zone-less wall-clock time -> TIMESTAMP at that wall-clock time in UTC, whatever the session zone.
+
+    Windows and watermarks need TIMESTAMP; going through epoch microseconds keeps
+    hour/day windows aligned with the wall clock of the data.
+    """
+    return F.timestamp_micros(F.timestamp_diff("MICROSECOND", F.lit(EPOCH_NTZ).cast("timestamp_ntz"), ts_ntz))
+
+
+def wall_clock_of(instant: Column) -> Column:
+    """Inverse of ``instant_of``: TIMESTAMP -> zone-less wall-clock time (UTC), session-zone free."""
+    us = F.unix_micros(instant)
+    days = F.floor(us / F.lit(DAY_MICROS))
+    rest = (us - days * F.lit(DAY_MICROS)).cast("decimal(20,0)") / F.lit(1_000_000)
+    return F.lit(EPOCH_NTZ).cast("timestamp_ntz") + F.make_dt_interval(
+        days.cast("int"), F.lit(0), F.lit(0), rest.cast("decimal(18,6)")
+    )
+
+
 def hourly_activity(d: Domain, events: DataFrame | None = None, width: str = "1 hour") -> DataFrame:
     """Per hour (or day) of the feed: orders opened / closed / cancelled, reservations, views, total value."""
     e = events if events is not None else d.raw("events")
-    return activity_aggregate(e.withColumn("ts", F.col("ts").cast("timestamp")).groupBy(F.window("ts", width)))
+    return activity_aggregate(e.withColumn("ts", instant_of(F.col("ts"))).groupBy(F.window("ts", width)))
 
 
 def daily_activity(d: Domain) -> DataFrame:
@@ -156,8 +179,8 @@ def activity_aggregate(grouped) -> DataFrame:
         n("signup").alias("reservations"), n("view").alias("views"),
         F.round(F.sum("value"), 6).alias("total_value"),
     ).select(
-        F.col("window.start").cast("timestamp_ntz").alias("window_start"),
-        F.col("window.end").cast("timestamp_ntz").alias("window_end"),
+        wall_clock_of(F.col("window.start")).alias("window_start"),
+        wall_clock_of(F.col("window.end")).alias("window_end"),
         "orders_opened", "orders_closed", "orders_cancelled", "reservations", "views", "total_value",
     )
 

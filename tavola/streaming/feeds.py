@@ -175,7 +175,7 @@ def maintenance_reject_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---------------------------------------------------------------------- I6
 def hourly_activity_stream(spark: SparkSession, sf_dir: str, delay: str = "1 hour") -> DataFrame:
     """Hourly activity with an event-time watermark (zone-less timestamps are cast first)."""
-    e = stream_table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    e = stream_table(spark, sf_dir, "events").withColumn("ts", C.instant_of(F.col("ts")))
     return C.activity_aggregate(e.withWatermark("ts", delay).groupBy(F.window("ts", "1 hour")))
 
 
