@@ -68,3 +68,20 @@ def test_status_log_chains(spark, small_dir):
         if a.table_id == b.table_id:
             assert b.old_status == a.new_status
         assert b.old_status != b.new_status
+
+
+def test_results_do_not_depend_on_the_session_time_zone(spark, small_dir):
+    """Zone-less data: windows and dates follow the data's wall clock in any session zone."""
+    from tavola.operators.changes import daily_activity, hourly_activity
+    from tavola.operators.views import daily_reservations
+
+    d = Domain(spark, small_dir)
+    before = spark.conf.get("spark.sql.session.timeZone")
+    results = {}
+    try:
+        for tz in ("UTC", "Asia/Kolkata", "America/Los_Angeles"):
+            spark.conf.set("spark.sql.session.timeZone", tz)
+            results[tz] = [sorted(map(tuple, f(d).collect())) for f in (hourly_activity, daily_activity, daily_reservations)]
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", before)
+    assert results["UTC"] == results["Asia/Kolkata"] == results["America/Los_Angeles"]
