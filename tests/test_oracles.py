@@ -44,3 +44,12 @@ def test_norm_handles_decimals():
     import decimal
 
     assert norm(decimal.Decimal("1.50")) == norm(decimal.Decimal("1.5"))
+
+
+def test_every_query_is_listed_in_the_readme_coverage_table():
+    import pathlib
+
+    readme = (pathlib.Path(__file__).resolve().parents[1] / "README.md").read_text()
+    table = readme[readme.index("## Coverage of SURVEY"):]
+    missing = [q for q in QUERIES if f"`{q}`" not in table and q not in table]
+    assert not missing, missing
