@@ -34,6 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tavola.llm import textvec
+from tavola.llm.arrow_runs import runs
 from tavola.llm.components import components
 from tavola.llm.staging import stage
 
@@ -165,38 +166,11 @@ def _filter_pairs(percent: int) -> Callable:
     return run
 
 
-def _runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
-    """The groups of consecutive rows with equal keys; a group may span batches."""
-    held: list[pa.RecordBatch] = []
-
-    def key(batch: pa.RecordBatch, row: int) -> tuple:
-        return tuple(batch.column(k)[row].as_py() for k in keys)
-
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        change = np.zeros(batch.num_rows, dtype=bool)
-        for k in keys:
-            column = batch.column(k).to_numpy(zero_copy_only=False)
-            change[1:] |= column[1:] != column[:-1]
-        if held and key(held[-1], held[-1].num_rows - 1) != key(batch, 0):
-            yield pa.Table.from_batches(held)
-            held = []
-        cuts = [0, *np.flatnonzero(change).tolist(), batch.num_rows]
-        for a, b in zip(cuts, cuts[1:], strict=False):
-            if a:
-                yield pa.Table.from_batches(held)
-                held = []
-            held.append(batch.slice(a, b - a))
-    if held:
-        yield pa.Table.from_batches(held)
-
-
 def _tile_pairs(percent: int) -> Callable:
     """Pairs of different components in each tile that the bitmaps let pass."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for tile in _runs(batches, ["tile", "band", "cross", "i", "j"]):
+        for tile in runs(batches, ["tile", "band", "cross", "i", "j"]):
             cross, i, j = (tile.column(c)[0].as_py() for c in ("cross", "i", "j"))
             node, n, root = (tile.column(c).to_numpy() for c in ("node", "n", "root"))
             side = np.asarray(tile.column("side").to_numpy(zero_copy_only=False), dtype=bool)
