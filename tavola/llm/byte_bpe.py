@@ -115,6 +115,13 @@ class PerfectHash:
                 s = next(free)
                 self.shift[b], self.at[s] = -1 - s, held[b][0][1]
 
+    @classmethod
+    def of(cls, buckets: int, shift: list[int], at: list[int]) -> PerfectHash:
+        """The hash from its tables."""
+        made = cls.__new__(cls)
+        made.size, made.buckets, made.shift, made.at = len(at), buckets, shift, at
+        return made
+
     def slot(self, h: int, shift: int) -> int:
         x = (h ^ (shift * 0x9E3779B97F4A7C15)) & _MASK
         x = (x ^ (x >> 29)) * 0xBF58476D1CE4E5B9 & _MASK
@@ -146,30 +153,25 @@ class Recent(dict):
 
 
 class Codec:
-    """Encoder and decoder of one vocabulary; it is broadcast and built on once per worker."""
-
-    def __init__(self, tokens: list[bytes], pattern: str):
-        self.tokens, self.pattern, self.whole, self.ready = tokens, pattern, PerfectHash(tokens), False
-
-    def prepare(self) -> Codec:
-        if not self.ready:
-            rank = {t: r for r, t in enumerate(self.tokens)}
-            self.byte = [rank.get(bytes([b]), -1) for b in range(256)]
-            #: By left token: right token to the rank of both as one.
-            none: dict[int, int] = {}
-            self.joins = [none] * len(self.tokens)
-            for r, t in enumerate(self.tokens):
-                for k in range(1, len(t)):
-                    left, right = rank.get(t[:k]), rank.get(t[k:])
-                    if left is not None and right is not None:
-                        if self.joins[left] is none:
-                            self.joins[left] = {}
-                        self.joins[left][right] = r
-            self.number = list(range(len(self.tokens)))  # one object per id
-            self.find = splitter(self.pattern)
-            self.recent = Recent(self.piece_ids)
-            self.ready = True
-        return self
+    """Encoder and decoder of one vocabulary."""
+
+    def __init__(self, tokens: list[bytes], pattern: str, whole: PerfectHash):
+        self.tokens, self.whole = tokens, whole
+        rank = {t: r for r, t in enumerate(tokens)}
+        self.byte = [rank.get(bytes([b]), -1) for b in range(256)]
+        #: By left token: right token to the rank of both as one.
+        none: dict[int, int] = {}
+        self.joins = [none] * len(tokens)
+        for r, t in enumerate(tokens):
+            for k in range(1, len(t)):
+                left, right = rank.get(t[:k]), rank.get(t[k:])
+                if left is not None and right is not None:
+                    if self.joins[left] is none:
+                        self.joins[left] = {}
+                    self.joins[left][right] = r
+        self.number = list(range(len(tokens)))  # one object per id
+        self.find = splitter(pattern)
+        self.recent = Recent(self.piece_ids)
 
     def piece_ids(self, piece: str) -> tuple[int, ...]:
         data = piece.encode("utf-8")
@@ -214,7 +216,18 @@ class Codec:
 
 
 def broadcast_codec(spark: SparkSession, path: str, pattern: str):
-    return spark.sparkContext.broadcast(Codec(read_ranks(path), pattern))
+    """Vocabulary and perfect hash as plain values, so executors need no copy of this package."""
+    tokens = read_ranks(path)
+    whole = PerfectHash(tokens)
+    return spark.sparkContext.broadcast({"tokens": tokens, "pattern": pattern, "hash": (whole.buckets, whole.shift, whole.at)})
+
+
+def codec_of(shared) -> Codec:
+    """The codec of a broadcast vocabulary, made once in each Python worker."""
+    value = shared.value
+    if "codec" not in value:
+        value["codec"] = Codec(value["tokens"], value["pattern"], PerfectHash.of(*value["hash"]))
+    return value["codec"]
 
 
 def _texts(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[tuple[pa.RecordBatch, Iterator[str]]]:
@@ -227,7 +240,7 @@ def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", id: str
     codec = broadcast_codec(docs.sparkSession, path, pattern)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = codec.value.prepare()
+        own = codec_of(codec)
         for batch, texts in _texts(batches, "text"):
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array((own.encode(t) for t in texts), pa.list_(pa.int32()))], names=["doc_id", "ids"])
 
@@ -240,7 +253,7 @@ def decode(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
     codec = broadcast_codec(encoded.sparkSession, path, pattern)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = codec.value.prepare()
+        own = codec_of(codec)
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array((own.decode(x.as_py() or []) for x in batch.column("ids")), pa.binary())], names=["doc_id", "data"])
 
@@ -252,7 +265,7 @@ def round_trip(docs: DataFrame, path: str, pattern: str, text: str = "text", id:
     codec = broadcast_codec(docs.sparkSession, path, pattern)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = codec.value.prepare()
+        own = codec_of(codec)
         number = [str(k) for k in range(len(own.tokens))].__getitem__
         for whole in batches:
             for at in range(0, whole.num_rows, 512):

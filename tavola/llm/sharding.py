@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import IntegerType, StructType
 
 from tavola.llm.staging import stage
 from tavola.session import ensure_checkpoint_dir
@@ -116,7 +116,7 @@ def shuffle_to_shards(df: DataFrame, shards: int, seed: int = 0) -> DataFrame:
     counted = {r["p"]: r["count"] for r in fixed.groupBy(F.spark_partition_id().alias("p")).count().collect()}  # a number per partition
     rows = [counted.get(p, 0) for p in range(max(counted, default=-1) + 1)]
     matrix = df.sparkSession.sparkContext.broadcast(communication_matrix(rows, shards, seed))
-    labelled = fixed.mapInArrow(_label(matrix, seed), StructType([*fixed.schema.fields]).add("shard", "int"))
+    labelled = fixed.mapInArrow(_label(matrix, seed), StructType([*fixed.schema.fields]).add("shard", IntegerType()))
 
     keyed = stage(labelled.withColumn("key", F.xxhash64(F.lit(seed), *[F.col(c) for c in fixed.columns])), "labelled")
     ranges = max(1, int((sum(rows) / shards) ** 0.5))
