@@ -128,9 +128,9 @@ def basket_rules(d: Domain) -> DataFrame:
 
 
 def top_rules(d: Domain, k: int = 2) -> DataFrame:
-    """Best rules by confidence (then pair count, names): the dashboard's pair cards."""
+    """Best rules by pair count (then confidence, names): the dashboard's pair cards."""
     return basket_rules(d).orderBy(
-        F.col("confidence").desc(), F.col("pair_count").desc(), "source", "target"
+        F.col("pair_count").desc(), F.col("confidence").desc(), "source", "target"
     ).limit(k)
 
 

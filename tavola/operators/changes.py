@@ -26,11 +26,12 @@ def order_event_status(event_type: Column) -> Column:
 
 
 def table_effect(order_status: Column, previous: Column) -> Column:
-    """Trigger rules: an order inserted as open occupies its table; a transition into closed /
-    cancelled from neither frees it; anything else leaves the table alone."""
+    """Trigger rules: an order *inserted* as open (no status before) occupies its table; an *update* into
+    closed / cancelled from neither frees it; anything else (a reopened order, an order inserted as
+    closed) leaves the table alone."""
     return (
-        F.when(order_status == "open", F.lit("occupied"))
-        .when(order_status.isin(*TERMINAL) & (previous.isNull() | ~previous.isin(*TERMINAL)), F.lit("available"))
+        F.when((order_status == "open") & previous.isNull(), F.lit("occupied"))
+        .when(order_status.isin(*TERMINAL) & previous.isNotNull() & ~previous.isin(*TERMINAL), F.lit("available"))
     )
 
 

@@ -7,10 +7,11 @@ result row per request (or a new snapshot).  Nothing is mutated in place.
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tavola.functions.scalar import MONEY_SUM, dec, format_vnd, invoice_amounts
+from tavola.operators.graph import components
 from tavola.operators.ranking import global_rank
 from tavola.operators.sequence import keyed_running_max
 from tavola.operators.views import ACTIVE_ORDER, latest_order_per_table
@@ -188,8 +189,9 @@ def reservation_batch(d: Domain, requests: DataFrame | None = None) -> DataFrame
     jj = j.join(accepted, "request_id", "left").join(stored_conflicts, "request_id", "left")
     reason = (
         F.when(F.col("capacity") < F.col("guest_count"), "capacity")
+        .when(F.col("_stored"), "conflict")
+        .when(F.col("table_status") == "maintenance", "maintenance")
         .when(F.col("capacity").isNull(), "unknown_table")
-        .when(F.col("table_status") == "maintenance", F.when(F.col("_stored"), "conflict").otherwise("maintenance"))
         .when(F.col("_ok"), F.lit(None).cast("string"))
         .otherwise("conflict")
     )
@@ -198,12 +200,20 @@ def reservation_batch(d: Domain, requests: DataFrame | None = None) -> DataFrame
 
 # ------------------------------------------------------------------------ K2
 def invoice_batch(d: Domain, requests: DataFrame | None = None) -> DataFrame:
-    """Invoice procedure for a batch of orders: skip invoiced orders, else bill the order's lines."""
+    """Invoice procedure for a batch of requests: bill the order's lines, unless the order has an invoice.
+
+    Requests run in request_id order: the first one for an order creates its invoice, every
+    later one finds it.  A batch without request_id has one request per order.
+    """
     req = requests if requests is not None else d.invoice_requests
+    if "request_id" not in req.columns:
+        req = req.withColumn("request_id", F.col("order_id"))
     existing = d.invoices.select("order_id").withColumn("_exists", F.lit(True))
     o = d.dine_orders.select("order_id", "customer_id")
-    j = req.join(o, "order_id").join(existing, "order_id", "left")
-    fresh = j.where(F.col("_exists").isNull())
+    first = req.groupBy("order_id").agg(F.min("request_id").alias("_first"))
+    j = req.join(o, "order_id").join(existing, "order_id", "left").join(first, "order_id")
+    j = j.withColumn("_exists", F.coalesce("_exists", F.col("request_id") != F.col("_first")))
+    fresh = j.where(~F.col("_exists"))
     fresh = fresh.join(d.order_totals.select("order_id", "sub_total"), "order_id", "left").withColumn(
         "sub_total", F.coalesce(F.col("sub_total"), F.lit(0).cast(MONEY_SUM)).cast(MONEY_SUM)
     )
@@ -211,10 +221,10 @@ def invoice_batch(d: Domain, requests: DataFrame | None = None) -> DataFrame:
     for k, v in amounts.items():
         fresh = fresh.withColumn(k, v)
     max_id = d.invoices.select(F.max("invoice_id")).scalar()
-    fresh = global_rank(fresh, [F.col("order_id")], "_n", method="row_number")
+    fresh = global_rank(fresh, [F.col("request_id")], "_n", method="row_number")
     fresh = fresh.withColumn("invoice_id", F.coalesce(max_id, F.lit(0)) + F.col("_n"))
     created = fresh.select(
-        "order_id", "customer_id", F.lit("created").alias("outcome"), "invoice_id", "payment_method",
+        "request_id", "order_id", "customer_id", F.lit("created").alias("outcome"), "invoice_id", "payment_method",
         "sub_total", "discount_amount", "service_charge", "tax_amount", "total_amount",
         F.when(F.col("customer_id").isNotNull(), F.floor(F.col("total_amount") / POINTS_PER_INVOICE_DIVISOR))
         .otherwise(F.lit(0)).cast("long").alias("points_earned"),
@@ -223,7 +233,7 @@ def invoice_batch(d: Domain, requests: DataFrame | None = None) -> DataFrame:
     )
     zero = F.lit(0).cast(MONEY_SUM)
     skipped = j.where(F.col("_exists")).select(
-        "order_id", "customer_id", F.lit("exists").alias("outcome"), F.lit(-1).cast("long").alias("invoice_id"),
+        "request_id", "order_id", "customer_id", F.lit("exists").alias("outcome"), F.lit(-1).cast("long").alias("invoice_id"),
         "payment_method", zero.alias("sub_total"), zero.alias("discount_amount"), zero.alias("service_charge"),
         zero.alias("tax_amount"), zero.alias("total_amount"), F.lit(0).cast("long").alias("points_earned"),
         F.lit(MSG_INVOICE_EXISTS).alias("message"),
@@ -236,7 +246,8 @@ PAYMENT_TYPE = "array<struct<method:string,amount:decimal(10,2)>>"
 
 
 def checkout_requests(d: Domain) -> DataFrame:
-    """One checkout per occupied table, paying with the split payments of its current order's invoice."""
+    """A checkout per occupied table, paying with the split payments of its current order's invoice;
+    every 5th table sends the same checkout once more."""
     open_orders = d.dine_orders.where(F.col("status") != "closed")
     latest = latest_order_per_table(open_orders).select("table_id", "order_id")
     inv = d.invoices.select("order_id", "invoice_id", "discount_amount", "service_charge")
@@ -245,8 +256,9 @@ def checkout_requests(d: Domain) -> DataFrame:
     )
     t = d.dining_tables.where(F.lower("status") == "occupied").select("table_id")
     j = t.join(latest, "table_id", "left").join(inv, "order_id", "left").join(pays, "invoice_id", "left")
+    j = j.withColumn("_again", F.explode(F.when(F.col("table_id") % 5 == 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))))
     return j.select(
-        F.col("table_id").alias("request_id"),
+        (F.col("table_id") * 2 + F.col("_again")).alias("request_id"),
         "table_id",
         F.lit(None).cast("long").alias("customer_id"),
         F.coalesce(
@@ -258,13 +270,8 @@ def checkout_requests(d: Domain) -> DataFrame:
     )
 
 
-def checkout_batch(d: Domain, requests: DataFrame | None = None) -> DataFrame:
-    """Checkout settlement: 8 % tax on the subtotal, payment check with 0.01 tolerance, primary method."""
-    req = requests if requests is not None else checkout_requests(d)
-    open_orders = d.dine_orders.where(F.col("status") != "closed")
-    latest = latest_order_per_table(open_orders).select("table_id", "order_id", F.col("customer_id").alias("order_customer"))
-    totals = d.order_totals.select("order_id", "sub_total")
-    j = req.join(latest, "table_id", "left").join(totals, "order_id", "left")
+def _settled(j: DataFrame) -> DataFrame:
+    """Amounts and outcome of checkouts joined to an order (order_id, order_customer, sub_total)."""
     sub = F.coalesce(F.col("sub_total"), F.lit(0).cast(MONEY_SUM))
     tax = sub * dec(CHECKOUT_TAX)
     total = sub + tax + F.col("service_charge") - F.col("discount_amount")
@@ -297,6 +304,45 @@ def checkout_batch(d: Domain, requests: DataFrame | None = None) -> DataFrame:
     )
 
 
+def checkout_batch(d: Domain, requests: DataFrame | None = None) -> DataFrame:
+    """Checkout settlement: 8 % tax on the subtotal, payment check with 0.01 tolerance, primary method.
+
+    Requests on a table run in request_id order.  Each settles the table's newest order that is not
+    closed; a paid one closes it, so the next request meets the order before; a refused one changes nothing.
+
+    Decided in rounds over all tables at once: every open request meets its table's current order, the
+    requests up to the first that pays are decided, and the others move on to the next order.  There are
+    as many rounds as the table with most paid requests of the batch has of them, plus one.
+    """
+    from tavola.session import ensure_checkpoint_dir
+
+    req = requests if requests is not None else checkout_requests(d)
+    ensure_checkpoint_dir(d.spark)
+    newest = Window.partitionBy("table_id").orderBy(F.col("order_time").desc(), F.col("order_id").desc())
+    orders = (
+        d.dine_orders.where(F.col("status") != "closed")
+        .join(req.select("table_id").distinct(), "table_id", "left_semi")
+        .select("table_id", "order_id", F.col("customer_id").alias("order_customer"), F.row_number().over(newest).alias("_turn"))
+        .join(d.order_totals.select("order_id", "sub_total"), "order_id", "left")
+        .checkpoint()
+    )
+    left, done, turn = req.checkpoint(), None, 1
+    while True:
+        met = _settled(left.join(orders.where(F.col("_turn") == turn).drop("_turn"), "table_id", "left")).checkpoint()
+        first = met.where(F.col("outcome") == "paid").groupBy("table_id").agg(F.min("request_id").alias("_first"))
+        met = met.join(first, "table_id", "left")
+        decided = met.where(F.col("_first").isNull() | (F.col("request_id") <= F.col("_first"))).drop("_first")
+        done = decided if done is None else done.unionByName(decided)
+        later = met.where(F.col("request_id") > F.col("_first")).select("request_id")
+        left = left.join(later, "request_id", "left_semi").checkpoint()
+        turn += 1
+        if left.isEmpty():
+            return done.select(
+                "request_id", "table_id", "order_id", "customer_id", "sub_total", "tax_amount", "discount_amount", "service_charge",
+                "total_amount", "paid", "primary_method", "outcome", "points_earned",
+            )
+
+
 # ------------------------------------------------------------------------ K4
 def loyalty_accrual(d: Domain, rule: str = "invoice") -> DataFrame:
     """New loyalty balance per customer from the paid invoices (walk-ins earn nothing)."""
@@ -502,32 +548,22 @@ def table_update_closures(d: Domain, requests: DataFrame | None = None) -> DataF
 
 
 # ------------------------------------------------------------- K9 sequential
-def contact_components(req: DataFrame, max_rounds: int = 50) -> DataFrame:
+def contact_components(req: DataFrame) -> DataFrame:
     """Connected components of requests linked by a shared phone or email (min request_id as label).
 
-    Distributed label propagation: each round takes, per phone and per email, the
-    smallest label among its requests and gives it back to those requests.  Each
-    round is two aggregates and two joins, checkpointed to cut the lineage; the
-    loop stops when a round changes no label (rounds <= component diameter).
+    Every request is linked to the first request of its phone and of its email, so the
+    links grow with the requests; components go on to the fixpoint, whatever the length of a chain.
     """
-    from tavola.session import ensure_checkpoint_dir
-
-    ensure_checkpoint_dir(req.sparkSession)
-    lab = req.select("request_id", "phone", "email", F.col("request_id").alias("label"))
-    for _ in range(max_rounds):
-        by_phone = lab.where(F.col("phone").isNotNull()).groupBy("phone").agg(F.min("label").alias("_lp"))
-        by_email = lab.where(F.col("email").isNotNull()).groupBy("email").agg(F.min("label").alias("_le"))
-        nxt = (
-            lab.join(by_phone, "phone", "left").join(by_email, "email", "left")
-            .select("request_id", "phone", "email", "label",
-                    F.least("label", F.coalesce("_lp", "label"), F.coalesce("_le", "label")).alias("_new"))
-            .checkpoint(eager=True)
-        )
-        changed = nxt.where(F.col("_new") != F.col("label")).limit(1).count()
-        lab = nxt.select("request_id", "phone", "email", F.col("_new").alias("label"))
-        if changed == 0:
-            break
-    return lab.select("request_id", F.col("label").alias("component"))
+    links = None
+    for field in ("phone", "email"):
+        held = req.where(F.col(field).isNotNull()).select("request_id", field)
+        first = held.groupBy(field).agg(F.min("request_id").alias("first"))
+        own = held.join(first, field).select("request_id", "first")
+        links = own if links is None else links.unionByName(own)
+    found = components(links, "request_id", "first").withColumnRenamed("vertex", "request_id")
+    return req.select("request_id").join(found, "request_id", "left").select(
+        "request_id", F.coalesce("root", "request_id").alias("component")
+    )
 
 
 SIGNUP_SCHEMA = "request_id long, accepted boolean"

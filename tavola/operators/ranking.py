@@ -78,7 +78,7 @@ def global_rank(
     parts = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     if method == "row_number":
         pos = _prefix_positions(df, order, F.lit(1), parts)
-        return pos.withColumn(name, F.col("_gr_pos").cast("int")).drop("_gr_before", "_gr_pos")
+        return pos.withColumn(name, F.col("_gr_pos").cast("long")).drop("_gr_before", "_gr_pos")
     if method not in ("rank", "dense_rank"):
         raise ValueError(method)
     if not keys:
@@ -89,7 +89,7 @@ def global_rank(
     hist = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_gr_n"))
     pos = _prefix_positions(hist, order, F.col("_gr_n"), parts)
     value = F.col("_gr_before") + 1 if method == "rank" else F.col("_gr_pos")
-    lookup = pos.select(*[F.col(k).alias(f"_gr_k{i}") for i, k in enumerate(keys)], value.cast("int").alias(name))
+    lookup = pos.select(*[F.col(k).alias(f"_gr_k{i}") for i, k in enumerate(keys)], value.cast("long").alias(name))
     cond = None
     for i, k in enumerate(keys):
         c = df[k].eqNullSafe(lookup[f"_gr_k{i}"])

@@ -134,9 +134,9 @@ CTES: dict[str, str] = {
           FROM events WHERE event_type IN ('click', 'view', 'purchase', 'error')),
         ol AS (SELECT *, lag(order_status) OVER (PARTITION BY order_key ORDER BY changed_at, seq) AS prev FROM oe),
         eff AS (SELECT table_id, changed_at, seq,
-                       CASE WHEN order_status = 'open' THEN 'occupied'
+                       CASE WHEN order_status = 'open' AND prev IS NULL THEN 'occupied'
                             WHEN order_status IN ('closed', 'cancelled')
-                                 AND (prev IS NULL OR prev NOT IN ('closed', 'cancelled')) THEN 'available' END AS new_status,
+                                 AND prev IN ('open', 'preparing') THEN 'available' END AS new_status,
                        changed_by
                 FROM ol)
         SELECT * FROM eff WHERE new_status IS NOT NULL
@@ -151,10 +151,11 @@ CTES: dict[str, str] = {
                CAST(CAST(floor(value) AS INTEGER) % 10 + 1 AS INTEGER) AS guest_count
         FROM events WHERE event_type = 'view'""",
     "invoice_requests": f"""
-        SELECT o.order_id, {_method('o.order_id + 2')} AS payment_method,
+        SELECT o.order_id * 2 + again AS request_id, o.order_id, {_method('o.order_id + 2')} AS payment_method,
                CAST(CASE WHEN c.loyalty_points IS NULL THEN 0 WHEN c.loyalty_points >= 1000 THEN 10
                          WHEN c.loyalty_points >= 500 THEN 7 WHEN c.loyalty_points >= 200 THEN 5 ELSE 0 END AS DECIMAL(5,2)) AS discount_pct
-        FROM dine_orders o LEFT JOIN customers c ON o.customer_id = c.customer_id""",
+        FROM (SELECT *, unnest(CASE WHEN order_id % 50 = 0 THEN [0, 1] ELSE [0] END) AS again FROM dine_orders) o
+        LEFT JOIN customers c ON o.customer_id = c.customer_id""",
     "order_requests": """
         SELECT event_id AS request_id, user_id % (SELECT n FROM table_count) AS table_id,
                CASE WHEN event_id % 3 = 0 THEN NULL ELSE user_id END AS customer_id,
@@ -207,6 +208,8 @@ def with_domain(sql: str, extra: dict[str, str] | None = None) -> str:
     if not order:
         return sql
     body = ",\n".join(f"{n} AS ({ctes[n].strip()})" for n in order)
+    if sql[:15].upper() == "WITH RECURSIVE ":
+        return f"WITH RECURSIVE {body},\n{sql[15:]}"
     if sql[:5].upper() == "WITH ":
         return f"WITH {body},\n{sql[5:]}"
     return f"WITH {body}\n{sql}"

@@ -104,9 +104,9 @@ class TableStatusProcessor(StatefulProcessor):
                 prev = touched.get(ok)
                 touched[ok] = row.order_status
                 changed.add(ok)
-                if row.order_status == "open":
+                if row.order_status == "open" and prev is None:  # inserted as open
                     new = "occupied"
-                elif row.order_status in TERMINAL and prev not in TERMINAL:
+                elif row.order_status in TERMINAL and prev is not None and prev not in TERMINAL:
                     new = "available"
                 else:
                     new = None

@@ -260,16 +260,16 @@ def test_checkout_tolerance_ties_and_defaults(spark, floor):
     from tavola.operators.jobs import checkout_batch
 
     orders = spark.createDataFrame(
-        [(1, 3, 7, 0, ts("2024-01-01 12:00:00"), "served", ts("2024-01-01 00:00:00"))],
+        [(k, t, 7, 0, ts("2024-01-01 12:00:00"), "served", ts("2024-01-01 00:00:00")) for k, t in ((1, 3), (2, 4), (3, 5))],
         "order_id long, table_id long, customer_id long, staff_id long, order_time timestamp_ntz, status string, order_day timestamp_ntz",
     )
-    totals = spark.createDataFrame([(1, D("100.00"), 1)], "order_id long, sub_total decimal(18,2), line_count long")
+    totals = spark.createDataFrame([(k, D("100.00"), 1) for k in (1, 2, 3)], "order_id long, sub_total decimal(18,2), line_count long")
     pay_t = "array<struct<method:string,amount:decimal(10,2)>>"
     req = spark.createDataFrame(
         [(1, 3, None, [("Cash", D("50.00")), ("CARD", D("50.00"))], D("0.00"), D("7.99")),   # total 115.99: paid 100 -> short
          (2, 3, None, [("card", D("60.00")), ("cash", D("60.00"))], D("0.00"), D("5.01")),   # total 113.01: paid 120 ok, tie -> card
-         (3, 3, 9, [("ewallet", D("107.99"))], D("0.00"), D("0.00")),                        # 108.00 - 0.01 tolerance -> ok
-         (4, 3, None, [("cash", D("107.98"))], D("0.00"), D("0.00")),                        # 0.02 short -> rejected
+         (3, 4, 9, [("ewallet", D("107.99"))], D("0.00"), D("0.00")),                        # 108.00 - 0.01 tolerance -> ok
+         (4, 5, None, [("cash", D("107.98"))], D("0.00"), D("0.00")),                        # 0.02 short -> rejected
          (5, 1, None, [], D("0.00"), D("0.00"))],                                            # no active order
         f"request_id long, table_id long, customer_id long, payments {pay_t}, discount_amount decimal(18,2), service_charge decimal(18,2)",
     )
