@@ -1,41 +1,13 @@
-"""Connected components by alternating large-star and small-star steps.
-
-Every step is a grouped minimum (combined before the shuffle) and an equi-join that
-adaptive execution can split, so a vertex with very many neighbours needs no large task.
-Rounds go on to the fixpoint; their number grows with the logarithm of the longest chain.
-"""
+"""Connected components over staged tables."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from tavola.llm.staging import stage
-
-
-def _star(edges: DataFrame) -> DataFrame:
-    """One large-star step and one small-star step over edges (u > v)."""
-    both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-    low = large.groupBy("u").agg(F.min("v").alias("m"))
-    hung = large.join(low, "u")
-    return hung.select("u", F.col("m").alias("v")).union(hung.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))).distinct()
+from tavola.operators import graph
 
 
 def components(edges: DataFrame, a: str, b: str) -> DataFrame:
-    """(vertex, root) of every vertex with an edge to another; the root is the smallest vertex.
-
-    Edges may repeat, loops are ignored, and an edge with a null end is no edge.
-    """
-    e = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where(f"{a} <> {b}").distinct()
-    e, before = stage(e, "edges"), None
-    while True:
-        seen = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if tuple(seen) == before:
-            break
-        before = tuple(seen)
-        if not seen[0]:
-            break
-        e = stage(_star(e), "edges")
-    return e.select(F.col("u").alias("vertex"), F.col("v").alias("root")).union(e.select(F.col("v").alias("vertex"), F.col("v").alias("root")).distinct())
+    """(vertex, root) of every vertex with an edge to another; the root is the smallest vertex."""
+    return graph.components(edges, a, b, keep=lambda df: stage(df, "edges"))
