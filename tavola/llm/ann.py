@@ -157,7 +157,7 @@ def _nearest(k: int) -> Callable:
     return run
 
 
-def nearest(vectors: DataFrame, is_query: Column, k: int = 20, tables: int = 8, functions: int = 6, width: float = 2.0, probes: int = 16, seed: int = 5, vector: str = "embedding", id: str = "vec_id") -> DataFrame:  # noqa: A002
+def nearest(vectors: DataFrame, is_query: Column, k: int = 20, tables: int = 8, functions: int = 6, width: float = 2.0, probes: int = 24, seed: int = 5, vector: str = "embedding", id: str = "vec_id") -> DataFrame:  # noqa: A002
     """query_id, rank, vec_id, score: the nearest found of every row for which ``is_query`` holds."""
     rows = vectors.select(F.col(id).cast("long").alias("vec_id"), F.col(vector).alias("vec"), F.coalesce(is_query, F.lit(False)).alias("asked"))
     rows = rows.where(usable(F.col("vec")) & F.col("vec_id").isNotNull())
