@@ -403,6 +403,35 @@ def cart_upsert(d: Domain, requests: DataFrame | None = None) -> DataFrame:
     return applied.unionByName(rejected)
 
 
+def cart_orders(d: Domain, requests: DataFrame | None = None) -> DataFrame:
+    """Order rows after a batch of submissions: the customer of the last one (NULL overwrites too), and
+    new open orders with the staff of the submission that opened them."""
+    req = requests if requests is not None else d.order_requests
+    applied = cart_upsert(d, req).where(F.col("outcome") == "applied")
+    final = applied.where("final_cart").select("order_id", "table_id", "customer_id")
+    opened = applied.where("new_order").select("order_id", "request_id").join(req.select("request_id", F.col("staff_id").alias("_opener")), "request_id")
+    known = d.dine_orders.select("order_id", "staff_id", "status")
+    j = final.join(known, "order_id", "left").join(opened.drop("request_id"), "order_id", "left")
+    return j.select(
+        "order_id", "table_id", "customer_id", F.coalesce("staff_id", "_opener").alias("staff_id"),
+        F.coalesce("status", F.lit("open")).alias("status"), F.col("status").isNull().alias("is_new"),
+    )
+
+
+def cart_lines(d: Domain, requests: DataFrame | None = None) -> DataFrame:
+    """Lines of the submitted orders: each order's old lines give way to its last cart, priced from the menu."""
+    from tavola.operators.changes import apply_price_snapshot
+
+    req = requests if requests is not None else d.order_requests
+    final = cart_upsert(d, req).where("final_cart").select("request_id", "order_id")
+    items = req.select("request_id", F.posexplode("items").alias("_at", "_item"))
+    lines = final.join(items, "request_id").select(
+        "order_id", (F.col("_at") + 1).alias("line_number"), F.col("_item.dish_id").alias("dish_id"),
+        F.col("_item.quantity").alias("quantity"), F.lit(None).cast("decimal(10,2)").alias("unit_price"),
+    )
+    return apply_price_snapshot(lines, d.menu_items).drop("price_from_menu")
+
+
 # ------------------------------------------------------------------------ K6
 def category_key(name: Column) -> Column:
     """Category names compare case-, accent- and trailing-space-insensitively (the schema's collation)."""

@@ -73,6 +73,9 @@ register("customer_search", L.customer_search)
 register("invoice_search", L.invoice_search)
 register("menu_search", L.menu_search)
 register("customer_sorted", L.customer_sorted)
+register("customers_by_name", lambda d: L.customer_sorted(d, "name_asc"))
+register("customers_by_id", lambda d: L.customer_sorted(d, "id_asc"))
+register("customers_newest", lambda d: L.customer_sorted(d, "id_desc"))
 register("category_list", L.category_list)
 
 # phase 4: pair mining, KPIs, insights
@@ -89,7 +92,10 @@ register("reservation_batch", J.reservation_batch)
 register("invoice_batch", J.invoice_batch)
 register("checkout_batch", J.checkout_batch)
 register("loyalty_accrual", J.loyalty_accrual)
+register("loyalty_checkout", lambda d: J.loyalty_accrual(d, "checkout"))
 register("cart_upsert", J.cart_upsert)
+register("cart_orders", J.cart_orders)
+register("cart_lines", J.cart_lines)
 register("menu_upsert", J.menu_upsert)
 register("customer_update", J.customer_update)
 register("guarded_delete", J.guarded_delete)

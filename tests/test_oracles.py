@@ -18,7 +18,7 @@ def con(small_dir):
 
 def test_every_query_has_an_oracle_or_is_documented():
     missing = set(QUERIES) - set(SQL)
-    assert {n for n in missing if not n.startswith("op") and n != "pipeline"} == set()
+    assert not {n for n in missing if not n.startswith("op") and n != "pipeline"}  # those are tested in tests/llm
 
 
 @pytest.mark.parametrize("name", sorted(SQL))
