@@ -47,7 +47,7 @@ def brute_components(rows):
     for k, (i, _) in enumerate(rows):
         if i is not None:
             least[top(k)] = min(least.get(top(k), i), i)
-    return sorted((i, len(sets[k]), least.get(top(k)) if sets[k] else i) for k, (i, _) in enumerate(rows))
+    return sorted(((i, len(sets[k]), least.get(top(k)) if sets[k] else i) for k, (i, _) in enumerate(rows)), key=str)
 
 
 def corpus(seed=3, families=6, copies=14, changes=3):
