@@ -34,15 +34,14 @@ def kpis(d: Domain) -> DataFrame:
         F.coalesce(F.sum(F.when(occupied, F.col("capacity")).otherwise(0)), F.lit(0)).alias("live_guests"),
     )
     total = F.when(F.col("total_tables") > 0, F.col("total_tables")).otherwise(F.lit(1))
-    rev = latest.select("daily_revenue").scalar()
-    bills = latest.select("order_count").scalar()
-    day = latest.select("date").scalar()
-    revenue = F.coalesce(rev, F.lit(0).cast("decimal(18,2)"))
+    # one scalar: the paid invoices are aggregated once
+    agg = agg.withColumn("_day", latest.select(F.struct("date", "daily_revenue", "order_count")).scalar())
+    revenue = F.coalesce(F.col("_day.daily_revenue"), F.lit(0).cast("decimal(18,2)"))
     return agg.select(
-        day.alias("revenue_date"),
+        F.col("_day.date").alias("revenue_date"),
         revenue.alias("revenue"),
         money_text(revenue).alias("revenue_text"),
-        F.coalesce(bills, F.lit(0)).cast("long").alias("orders"),
+        F.coalesce(F.col("_day.order_count"), F.lit(0)).cast("long").alias("orders"),
         ((F.col("occupied_tables") / total) * 100).cast("int").alias("occupancy"),
         F.concat(((F.col("occupied_tables") / total) * 100).cast("int").cast("string"), F.lit("%")).alias("occupancy_text"),
         F.col("live_guests").cast("long").alias("guests"),

@@ -201,24 +201,31 @@ def floor_page(d: Domain, n: int = 15) -> DataFrame:
     """The floor screen: the first n tables by id (the page size is the feature)."""
     from tavola.operators.views import floor_view
 
-    return floor_view(d).orderBy("id").limit(n)
+    tables = d.dining_tables.orderBy("table_id").limit(n)
+    orders = d.dine_orders.join(tables.select("table_id"), "table_id", "left_semi")
+    return floor_view(d.with_tables(dining_tables=tables, dine_orders=orders)).orderBy("id")
 
 
 def latest_invoices(d: Domain, n: int = 50) -> DataFrame:
     """The invoice screen: the n most recent invoices by id."""
     from tavola.operators.views import invoice_list
 
-    return invoice_list(d).orderBy(F.col("id").desc()).limit(n)
+    ids = d.invoices.select("invoice_id").orderBy(F.col("invoice_id").desc()).limit(n)
+    own = d.with_tables(
+        invoices=d.invoices.join(ids, "invoice_id", "left_semi"),
+        payments=d.payments.join(ids, "invoice_id", "left_semi"),
+    )
+    return invoice_list(own)
 
 
 # ---------------------------------------------------------------- SQL API
 def discounts_via_sql(d: Domain) -> DataFrame:
-    """The scalar rules through Spark SQL: SQL-language functions over a temporary view."""
+    """The scalar rules through Spark SQL: SQL-language functions over a table given by name."""
     from tavola.functions.scalar import register_sql_functions
 
     register_sql_functions(d.spark)
-    d.customers.createOrReplaceTempView("tavola_customers")
     return d.spark.sql(
         "SELECT customer_id, loyalty_points, discount_pct(loyalty_points) AS discount_pct, "
-        "points_tier(loyalty_points) AS tier FROM tavola_customers"
+        "points_tier(loyalty_points) AS tier FROM {customers}",
+        customers=d.customers,
     )

@@ -1,8 +1,8 @@
 """The full dashboard as a dict of DataFrames.
 
-Sections share the order-line base; it is built once per call and every
-section is a lazy plan over it, so one action per section runs on executors
-and the driver only receives the (small) section results.
+Every section is a plan of its own over one ``Domain``; sections share no stored
+result.  An action per section runs on executors and the driver receives the
+(small) section results.  ``tables`` shows the first 15 tables, like the page.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ def dashboard(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
         "peak_hours": reports.orders_by_hour(d),
         "dishes": reports.top_dishes(d, 8),
         "top_dishes_table": reports.menu_performance(d, 8),
-        "tables": views.dashboard_floor(d),
+        "tables": views.dashboard_floor(d).orderBy("id").limit(15),
         "customers": lookups.leaderboard(d, 5),
         "market_basket": basket.top_rules(d, 2),
         "insights": insights.insights_dashboard(d),

@@ -23,6 +23,7 @@ Mapping (one rule per column, deterministic):
 
 from __future__ import annotations
 
+import copy
 from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -42,7 +43,6 @@ RESERVATION_STATUSES = ["pending", "confirmed", "cancelled", "completed"]
 PAYMENT_METHODS = ["cash", "card", "bank_transfer", "ewallet"]
 INVOICE_STATUSES = ["unpaid", "paid", "refunded"]
 STAFF_ROLES = ["admin", "manager", "cashier", "waiter", "chef"]
-AUDIT_ACTIONS = ["INSERT", "UPDATE", "DELETE"]
 
 # Invoice procedure rates (service 5 %, tax 10 %) and the seed/report rates.
 SERVICE_RATE = "0.05"
@@ -86,6 +86,12 @@ class Domain:
         self.spark = spark
         self.sf_dir = sf_dir.rstrip("/")
 
+    def with_tables(self, **tables: DataFrame) -> Domain:
+        """The same domain with some tables replaced, for a report over a part of them."""
+        other = copy.copy(self)
+        other.__dict__ = self.__dict__ | tables
+        return other
+
     def raw(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
 
@@ -204,13 +210,6 @@ class Domain:
             cond = cond & (F.col("order_month") >= F.trunc(F.to_date(start - F.expr("INTERVAL 1 DAY")), "month"))
         return o.where(cond)
 
-    @cached_property
-    def orders_with_reservation(self) -> DataFrame:
-        """Orders plus ``reservation_id`` (the referenced reservation, when it exists)."""
-        res = self.reservations.select(F.col("reservation_id"))
-        o = self.dine_orders
-        return o.join(res, o["reservation_ref"] == res["reservation_id"], "left")
-
     @staticmethod
     def map_lineitem(li: DataFrame) -> DataFrame:
         """lineitem rows -> order_details rows (also used on a stream of lineitem)."""

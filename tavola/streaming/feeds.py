@@ -28,14 +28,13 @@ from tavola.session import ensure_checkpoint_dir
 from tavola.sources.domain import Domain
 
 
-def stream_table(spark: SparkSession, sf_dir: str, name: str, max_files: int = 1) -> DataFrame:
-    """A file stream over one driver table (glob on the single parquet file)."""
+def stream_table(spark: SparkSession, sf_dir: str, name: str, max_files: int | None = None) -> DataFrame:
+    """A file stream over one driver table; ``max_files`` bounds the files of a micro-batch."""
     schema = spark.read.parquet(f"{sf_dir}/{name}.parquet").schema
-    return (
-        spark.readStream.schema(schema).format("parquet")
-        .option("maxFilesPerTrigger", max_files)
-        .load(f"{sf_dir}/{name}*.parquet")
-    )
+    reader = spark.readStream.schema(schema).format("parquet")
+    if max_files is not None:
+        reader = reader.option("maxFilesPerTrigger", max_files)
+    return reader.load(f"{sf_dir}/{name}*.parquet")
 
 
 def run_to_table(spark: SparkSession, stream: DataFrame, name: str, output_mode: str = "append") -> DataFrame:
