@@ -34,15 +34,15 @@ def _position(h: Column, probe: int, bits: int) -> Column:
     return F.pmod(h if not probe else F.xxhash64(h, F.lit(probe)), F.lit(bits).cast("long")) + 1
 
 
-def repeated_filter(hashes: DataFrame, bits: int) -> DataFrame:
-    """(segment, bitmap) of the positions that two or more rows of ``hashes`` (column h) have."""
+def position_filter(hashes: DataFrame, bits: int, least: int = 2) -> DataFrame:
+    """(segment, bitmap) of the positions that ``least`` or more rows of ``hashes`` (column h) have."""
     at = hashes.select(F.explode(F.array(*[_position(F.col("h"), k, bits) for k in range(PROBES)])).alias("at"))
-    twice = at.groupBy("at").agg(F.count("*").alias("n")).where("n > 1")
+    twice = at.groupBy("at").agg(F.count("*").alias("n")).where(F.col("n") >= least)
     placed = twice.select(F.expr("bitmap_bucket_number(at)").alias("segment"), F.expr("bitmap_bit_position(at)").alias("bit"))
     return placed.repartition("segment").groupBy("segment").agg(F.expr("bitmap_construct_agg(bit)").alias("bitmap"))
 
 
-def maybe_repeated(rows: DataFrame, seen: DataFrame, bits: int) -> DataFrame:
+def maybe_in(rows: DataFrame, seen: DataFrame, bits: int) -> DataFrame:
     """``rows`` (column h) with the flag ``maybe``, looked up in the broadcast filter."""
     flag = F.lit(True)
     for k in range(PROBES):
@@ -65,7 +65,7 @@ def mark_duplicates(docs: DataFrame, text: str = "text", id: str = "doc_id") ->
     same = lower_ascii(F.col(text))
     rows = stage(docs.select(F.col(id).alias("doc_id"), F.sha2(same, 256).alias("sha"), F.xxhash64(same).alias("h")), "digests")
     bits = filter_bits(rows.count())
-    rows = maybe_repeated(rows, stage(repeated_filter(rows, bits), "filter"), bits)
+    rows = maybe_in(rows, stage(position_filter(rows, bits), "filter"), bits)
     alone = rows.where("not maybe").select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), F.col("sha").alias("text_sha256"))
     ids = rows.where("maybe").groupBy("sha", "doc_id").agg(F.count("*").alias("copies"))
     group = ids.groupBy("sha").agg(F.max("doc_id").alias("keep_id"), F.sum("copies").alias("group_size"))
@@ -79,7 +79,7 @@ def drop_duplicates(docs: DataFrame, text: str = "text", id: str = "doc_id") ->
     same = lower_ascii(F.col(text))
     rows = docs.select(F.struct("*").alias("row"), F.col(id).alias("id"), same.alias("same")).withColumn("h", F.xxhash64("same"))
     bits = filter_bits(docs.count())
-    rows = maybe_repeated(rows, stage(repeated_filter(rows.select("h"), bits), "filter"), bits)
+    rows = maybe_in(rows, stage(position_filter(rows.select("h"), bits), "filter"), bits)
     some = rows.where("maybe").select("row", "id", F.sha2("same", 256).alias("sha"))
     stay = some.groupBy("sha").agg(F.max("id").alias("keep"))
     found = some.join(stay.withColumnRenamed("sha", "of"), (F.col("sha") == F.col("of")) & F.col("id").eqNullSafe(F.col("keep")), "left_semi").dropDuplicates(["sha", "id"])

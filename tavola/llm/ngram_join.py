@@ -12,8 +12,8 @@ Two texts link when the Jaccard similarity of their sets of word shingles is at
 3. Each member is first compared with its tile's smallest node only.  What is linked by
    that is a component; tiles within one component are done.  This keeps a group of
    near copies linear in its rows.
-4. The others are cut by size band (bands two apart can't link) and into blocks of
-   ``BLOCK`` members, so a tile of any size becomes bounded tasks.  Inside, bit counts
+4. Of the others, those of more than ``BLOCK`` members are cut by size band (bands two apart
+   can't link) and into blocks, so a tile of any size becomes bounded tasks.  Inside, bit counts
    of the bitmaps bound the overlap from above; pairs of two components that pass are
    verified on the sorted arrays.
 
@@ -30,21 +30,29 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tavola.llm import textvec
 from tavola.llm.arrow_runs import runs
 from tavola.llm.components import components
+from tavola.llm.exact_dedup import filter_bits, maybe_in, position_filter
 from tavola.llm.staging import stage
 
-#: A shingle of more than one in HOT_SHARE texts comes last in the order of shingles.
-HOT_SHARE = 1000
+#: Shingles of more than one in HOT_SHARE texts come last in the order of shingles, by their counts;
+#: there are at most HOT_SHARE times the mean set size of them.
+HOT_SHARE = 10_000
+#: Bits of a bitmap for each shingle, before rounding up to a power of two.
+BITS = 4
 #: Members of a tile that meet in one task.
 BLOCK = 1024
 #: Ratio of the sizes in a band; over 1 / 0.8, so linked sets are at most a band apart.
 _SLACK = 1.0001
-_TOKENS = 4 << 20
+#: Nodes of a part in verification.
+PART = 64
+_TOKENS = 2 << 20
+_ROWS = 1024
 
 
 def _sets(batch: pa.RecordBatch, width: int) -> Iterator[np.ndarray]:
@@ -95,8 +103,8 @@ def _prefixes(width: int, percent: int, hot) -> Callable:
     """id, hash of the text, set, size, bitmap, and the rare and the frequent part of the prefix."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        often = hot.value
-        for batch in batches:
+        often, rank = hot.value
+        for batch in (whole.slice(at, _ROWS) for whole in batches for at in range(0, whole.num_rows, _ROWS)):
             nodes, sizes, maps, rare, frequent = [], [], [], [], []
             for own in _sets(batch, width):
                 n = len(own)
@@ -108,14 +116,14 @@ def _prefixes(width: int, percent: int, hot) -> Callable:
                     frequent.append(own)
                     continue
                 nodes.append(_node(own))
-                bits = np.zeros(max(64, 1 << (2 * n - 1).bit_length()), dtype=bool)
+                bits = np.zeros(max(64, 1 << (BITS * n - 1).bit_length()), dtype=bool)
                 bits[(own % np.uint64(len(bits))).astype(np.int64)] = True
                 maps.append(np.packbits(bits, bitorder="little").tobytes())
-                at = np.searchsorted(often, own)
-                common = often[np.minimum(at, len(often) - 1)] == own if len(often) else np.zeros(n, dtype=bool)
+                at = np.minimum(np.searchsorted(often, own), len(often) - 1)
+                common = often[at] == own if len(often) else np.zeros(n, dtype=bool)
                 length = n - (percent * n + 99) // 100 + 1
                 rare.append(first := own[~common][:length])
-                frequent.append(own[common][: length - len(first)])
+                frequent.append(own[common][np.argsort(rank[at[common]])][: length - len(first)])
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), batch.column("row_hash"), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), pa.array(maps, pa.binary()), _lists(rare), _lists(frequent)],
                 names=["doc_id", "row_hash", "node", "n", "bits", "rare", "frequent"],
@@ -168,6 +176,7 @@ def _filter_pairs(percent: int) -> Callable:
 
 def _tile_pairs(percent: int) -> Callable:
     """Pairs of different components in each tile that the bitmaps let pass."""
+    reach = 1 << (-(-100 // percent) - 1).bit_length()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for tile in runs(batches, ["tile", "band", "cross", "i", "j"]):
@@ -175,20 +184,22 @@ def _tile_pairs(percent: int) -> Callable:
             node, n, root = (tile.column(c).to_numpy() for c in ("node", "n", "root"))
             side = np.asarray(tile.column("side").to_numpy(zero_copy_only=False), dtype=bool)
             maps = [np.frombuffer(x, np.uint64) for x in tile.column("bits").to_pylist()]
-            words = min(map(len, maps))
-            bits = np.stack([_fold(x, words) for x in maps])
+            width = np.array([len(x) for x in maps])
             apart = cross or i != j
-            left = np.flatnonzero(~side) if apart else np.arange(len(node))
-            right = np.flatnonzero(side) if apart else left
             a, b = [], []
-            for at, row in enumerate(left.tolist()):
-                to = right if apart else right[at + 1 :]
-                lo, hi = np.minimum(n[to], n[row]), np.maximum(n[to], n[row])
-                to = to[(root[to] != root[row]) & (100 * lo >= percent * hi)]
-                if len(to):
-                    to = to[_bound(int(n[row]), bits[row], n[to], bits[to], percent)]
-                    a.append(np.full(len(to), node[row]))
-                    b.append(node[to])
+            for words in np.unique(width):  # sets that can link have bitmaps of one width or of nearly one
+                own = np.flatnonzero(width == words)
+                held = np.concatenate([own, np.flatnonzero((width > words) & (width <= reach * words))])
+                bits = np.stack([_fold(maps[k], words) for k in held])
+                for at, row in enumerate(own):
+                    to = held[at + 1 :]
+                    lo, hi = np.minimum(n[to], n[row]), np.maximum(n[to], n[row])
+                    fits = (root[to] != root[row]) & (100 * lo >= percent * hi) & (not apart or side[to] != side[row])
+                    if fits.any():
+                        to = to[fits]
+                        to = to[_bound(int(n[row]), bits[at], n[to], bits[at + 1 :][fits], percent)]
+                        a.append(np.full(len(to), node[row]))
+                        b.append(node[to])
             if a:
                 a, b = np.concatenate(a), np.concatenate(b)
                 yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
@@ -197,35 +208,76 @@ def _tile_pairs(percent: int) -> Callable:
 
 
 def _linked(percent: int) -> Callable:
-    """The pairs whose sorted arrays intersect enough."""
+    """Of each block's pairs, links by intersecting sorted arrays; a pair that links already join is left out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = []
-            for x, y in zip(batch.column("x"), batch.column("y"), strict=True):
-                x, y = x.values.to_numpy(), y.values.to_numpy()
-                overlap = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append((100 + percent) * overlap >= percent * (len(x) + len(y)))
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+        for block in runs(batches, ["component", "i", "j"]):
+            a, b = block.column("a").to_numpy(), pc.fill_null(block.column("b"), 0).to_numpy()
+            lists = block.column("own").combine_chunks()
+            held = np.asarray(lists.is_valid())
+            own = {int(a[k]): lists[int(k)].values.to_numpy() for k in np.flatnonzero(held)}
+            root = {k: k for k in own}
+
+            def top(k: int, root: dict[int, int] = root) -> int:
+                while root[k] != k:
+                    root[k] = k = root[root[k]]
+                return k
+
+            found = []
+            for k in np.flatnonzero(~held):
+                x, y = int(a[k]), int(b[k])
+                if top(x) == top(y):
+                    continue
+                overlap = len(np.intersect1d(own[x], own[y], assume_unique=True))
+                if (100 + percent) * overlap >= percent * (len(own[x]) + len(own[y])):
+                    found.append((x, y))
+                    root[top(x)] = top(y)
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], names=["a", "b"])
 
     return run
 
 
+def _sets_of(ends: DataFrame, docs: DataFrame, width: int) -> DataFrame:
+    """(node, own): the sorted arrays of the nodes in ``ends`` (node, rep), made anew from their texts.
+
+    A Bloom filter of the ids, of bounded size, goes to the scan, so few other texts are moved.
+    """
+    bits = filter_bits(ends.count())
+    seen = stage(position_filter(ends.select(F.xxhash64("rep").alias("h")), bits, least=1), "wanted")
+    some = maybe_in(docs.withColumn("h", F.xxhash64("doc_id")), seen, bits).where("maybe").select("doc_id", "text")
+    reps = ends.select("rep").distinct()
+    texts = some.join(reps, some["doc_id"].eqNullSafe(reps["rep"]), "left_semi").select("text")
+    own = texts.mapInArrow(_arrays(width), "node long, own array<long>")
+    return stage(own.join(ends.select("node"), "node", "left_semi").dropDuplicates(["node"]), "sets")
+
+
 def _verify(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, width: int, percent: int) -> DataFrame:
-    """The pairs that link, by the whole sets of their texts."""
-    ends = stage(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "rep"), "node"), "ends")
-    reps = ends.select(F.col("rep").alias("doc_id")).distinct()
-    texts = docs.join(reps, docs["doc_id"].eqNullSafe(reps["doc_id"]), "left_semi").select("text")
-    own = texts.mapInArrow(_arrays(width), "node long, own array<long>").join(ends.select("node"), "node", "left_semi").dropDuplicates(["node"])
-    own = stage(own, "sets")
-    both = pairs.join(own.select(F.col("node").alias("a"), F.col("own").alias("x")), "a").join(own.select(F.col("node").alias("b"), F.col("own").alias("y")), "b")
-    return both.mapInArrow(_linked(percent), "a long, b long")
+    """Links among the pairs (a, b) that connect whatever the pairs' links connect.
+
+    Pairs meet in blocks: a component of the pairs is cut into parts of about ``PART`` nodes, and a block
+    holds the pairs between two parts with the arrays of their nodes.  So an array moves once for
+    a part it has pairs with, not once for a pair.
+    """
+    roots = stage(components(pairs, "a", "b"), "blocks")
+    parts = roots.groupBy("root").agg(F.ceil(F.count("*") / PART).alias("parts"))
+    part = stage(roots.join(parts, "root").select(F.col("vertex").alias("node"), "root", F.pmod(F.xxhash64("vertex"), F.col("parts")).alias("part")), "parts")
+    ends = stage(part.select("node").join(nodes.select("node", "rep"), "node"), "ends")
+    own = _sets_of(ends, docs, width)
+    met = pairs.join(part.select(F.col("node").alias("a"), F.col("root").alias("component"), F.col("part").alias("x")), "a").join(part.select(F.col("node").alias("b"), F.col("part").alias("y")), "b")
+    met = stage(met.select("component", F.least("x", "y").alias("i"), F.greatest("x", "y").alias("j"), "a", "b"), "met")
+    keys = ["component", "i", "j"]
+    members = met.select(*keys, F.explode(F.array("a", "b")).alias("a")).distinct()
+    members = members.join(own.withColumnRenamed("node", "a"), "a").select(*keys, "a", F.lit(None).cast("long").alias("b"), "own")
+    rows = members.unionByName(met.withColumn("own", F.lit(None).cast("array<long>")))
+    return rows.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(_linked(percent), "a long, b long")
 
 
 def _bands(open_tiles: DataFrame, percent: int) -> DataFrame:
     """Members of open tiles dealt to tasks: (tile, band, cross, i, j, side) and the member."""
     ratio = 100 / percent * _SLACK
-    m = open_tiles.withColumn("band", F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(ratio))))
+    band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(ratio)))
+    m = open_tiles.withColumn("band", F.when(F.col("members") > BLOCK, band).otherwise(F.lit(0).cast("long")))
     size = m.groupBy("tile", "band").agg(F.ceil(F.count("*") / F.lit(BLOCK)).alias("blocks"))
     near = size.select("tile", "band", F.explode(F.array(F.lit(-1), F.lit(0), F.lit(1))).alias("step"), "blocks")
     near = near.select("tile", (F.col("band") + F.col("step")).alias("band"), "step", "blocks")  # seen from the bands beside it
@@ -252,9 +304,12 @@ def near_duplicates(docs: DataFrame, text: str = "text", id: str = "doc_id", wid
     spark = docs.sparkSession
     docs = docs.select(F.col(id).alias("doc_id"), F.col(text).cast("string").alias("text"))
     counts = docs.select("text").mapInArrow(_hot_counts(width), "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
-    least = max(20, docs.count() // HOT_SHARE)
-    hot = [r[0] for r in counts.where(F.col("n") >= least).select("token").collect()]  # at most HOT_SHARE times the mean set
-    hot = spark.sparkContext.broadcast(np.sort(np.array(hot, dtype=np.int64).view(np.uint64)))
+    least = max(10, docs.count() // HOT_SHARE)
+    found = counts.where(F.col("n") >= least).toArrow()  # at most HOT_SHARE times the mean set size
+    often = found.column("token").to_numpy().view(np.uint64)
+    order = np.argsort(often)
+    rank = np.argsort(np.lexsort((often, found.column("n").to_numpy())))  # one order for all texts: by count, then by hash
+    hot = spark.sparkContext.broadcast((often[order], rank[order]))
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = docs.withColumn("row_hash", F.xxhash64("text")).mapInArrow(
@@ -288,7 +343,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", id: str = "doc_id", wid
     mark = F.xxhash64("node").cast("decimal(38,0)")
     still = member.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.sum(mark).alias("total"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("marks"), F.count("*").alias("members"))
     still = still.where("lo <> hi").groupBy("total", "marks", "members").agg(F.min("token").alias("token"))
-    held = member.join(still.select("token"), "token").join(nodes.select("node", "n"), "node").select(F.col("token").alias("tile"), "node", "n", "root")
+    held = member.join(still.select("token", "members"), "token").join(nodes.select("node", "n"), "node").select(F.col("token").alias("tile"), "members", "node", "n", "root")
     dealt = _bands(held, percent).join(ends.select("node", "bits"), "node")
     keys = ["tile", "band", "cross", "i", "j"]
     pairs = dealt.repartition(*keys).sortWithinPartitions(*keys).select(*keys, "side", "node", "n", "root", "bits").mapInArrow(_tile_pairs(percent), "a long, b long")
