@@ -175,12 +175,13 @@ def _filter_pairs(percent: int) -> Callable:
 
 
 def _tile_pairs(percent: int) -> Callable:
-    """Pairs of different components in each tile that the bitmaps let pass."""
+    """Pairs of different components in each tile that the bitmaps let pass, each in the first tile that it shares."""
     reach = 1 << (-(-100 // percent) - 1).bit_length()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for tile in runs(batches, ["tile", "band", "cross", "i", "j"]):
-            cross, i, j = (tile.column(c)[0].as_py() for c in ("cross", "i", "j"))
+            name, cross, i, j = (tile.column(c)[0].as_py() for c in ("tile", "cross", "i", "j"))
+            places = [set(x) for x in tile.column("tiles").to_pylist()]
             node, n, root = (tile.column(c).to_numpy() for c in ("node", "n", "root"))
             side = np.asarray(tile.column("side").to_numpy(zero_copy_only=False), dtype=bool)
             maps = [np.frombuffer(x, np.uint64) for x in tile.column("bits").to_pylist()]
@@ -198,6 +199,7 @@ def _tile_pairs(percent: int) -> Callable:
                     if fits.any():
                         to = to[fits]
                         to = to[_bound(int(n[row]), bits[at], n[to], bits[at + 1 :][fits], percent)]
+                        to = to[[min(places[row] & places[k]) == name for k in to]] if len(to) else to
                         a.append(np.full(len(to), node[row]))
                         b.append(node[to])
             if a:
@@ -344,9 +346,11 @@ def near_duplicates(docs: DataFrame, text: str = "text", id: str = "doc_id", wid
     still = member.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.sum(mark).alias("total"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("marks"), F.count("*").alias("members"))
     still = still.where("lo <> hi").groupBy("total", "marks", "members").agg(F.min("token").alias("token"))
     held = member.join(still.select("token", "members"), "token").join(nodes.select("node", "n"), "node").select(F.col("token").alias("tile"), "members", "node", "n", "root")
-    dealt = _bands(held, percent).join(ends.select("node", "bits"), "node")
+    held = stage(held, "held")
+    places = held.groupBy("node").agg(F.collect_list("tile").alias("tiles"))  # at most one for each shingle of a prefix
+    dealt = _bands(held, percent).join(ends.select("node", "bits").join(places, "node"), "node")
     keys = ["tile", "band", "cross", "i", "j"]
-    pairs = dealt.repartition(*keys).sortWithinPartitions(*keys).select(*keys, "side", "node", "n", "root", "bits").mapInArrow(_tile_pairs(percent), "a long, b long")
+    pairs = dealt.repartition(*keys).sortWithinPartitions(*keys).select(*keys, "side", "node", "n", "root", "bits", "tiles").mapInArrow(_tile_pairs(percent), "a long, b long")
     more = stage(_verify(stage(pairs.distinct(), "pairs"), docs, nodes, width, percent), "links")
 
     roots = components(links.union(more), "a", "b").join(nodes.select(F.col("node").alias("vertex"), "rep"), "vertex")
