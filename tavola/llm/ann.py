@@ -14,7 +14,7 @@ is cut into blocks of ``BLOCK`` vectors by ``BLOCK`` queries, so tasks stay boun
 
 Defined cases: vectors that are null, empty, zero, or hold a null or non-finite component take no
 part, nor do those of another length than the most frequent one; a null id takes no part; rows that repeat
-id and vector count once; ties go to the smaller id; with fewer candidates than k, what was found is returned; input columns may have any names.
+id and vector count once; ties go to the smaller id; a query that finds fewer than k is searched on against every vector, so it has k, or all others if there are fewer; input columns may have any names.
 """
 
 from __future__ import annotations
@@ -157,6 +157,16 @@ def _nearest(k: int) -> Callable:
     return run
 
 
+def _met(dealt: DataFrame, k: int) -> DataFrame:
+    """q, v, score: the ``k`` best vectors for each query in every block of a bucket that it meets, each pair once."""
+    blocks = dealt.groupBy("tab", "bucket").agg(*[F.ceil(F.count(F.when(F.col("query") == side, 1)) / BLOCK).alias(n) for n, side in (("vectors", False), ("queries", True))]).where("vectors > 0 and queries > 0")
+    met = dealt.join(blocks, ["tab", "bucket"])
+    own = F.pmod(F.xxhash64("vkey"), F.when(F.col("query"), F.col("queries")).otherwise(F.col("vectors")))
+    met = met.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.when(F.col("query"), F.col("vectors")).otherwise(F.col("queries")) - 1)))
+    met = met.select("tab", "bucket", F.when(F.col("query"), F.col("other")).otherwise(F.col("own")).alias("i"), F.when(F.col("query"), F.col("own")).otherwise(F.col("other")).alias("j"), "query", "vkey", "vec")
+    return met.repartition(*_KEYS).sortWithinPartitions(*_KEYS).mapInArrow(_nearest(k), "q long, v long, score double").dropDuplicates(["q", "v"])
+
+
 def nearest(vectors: DataFrame, is_query: Column, k: int = 20, tables: int = 8, functions: int = 6, width: float = 2.0, probes: int = 24, seed: int = 5, vector: str = "embedding", id: str = "vec_id") -> DataFrame:  # noqa: A002
     """query_id, rank, vec_id, score: the nearest found of every row for which ``is_query`` holds."""
     rows = vectors.select(F.col(id).cast("long").alias("vec_id"), F.col(vector).alias("vec"), F.coalesce(is_query, F.lit(False)).alias("asked"))
@@ -179,13 +189,18 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, tables: int = 8,
     queries = single.where("asked").join(distinct.select("vec", "vkey"), "vec").select(F.col("vec_id").alias("query_id"), F.col("vkey").alias("q"))
 
     dealt = stage(distinct.select("vkey", "vec", "asked").mapInArrow(_deal(hashes), f"tab int, bucket long, query boolean, vkey long, vec {rows.schema['vec'].dataType.simpleString()}"), "dealt")
-    blocks = dealt.groupBy("tab", "bucket").agg(*[F.ceil(F.count(F.when(F.col("query") == side, 1)) / BLOCK).alias(n) for n, side in (("vectors", False), ("queries", True))]).where("vectors > 0 and queries > 0")
-    met = dealt.join(blocks, ["tab", "bucket"])
-    own = F.pmod(F.xxhash64("vkey"), F.when(F.col("query"), F.col("queries")).otherwise(F.col("vectors")))
-    met = met.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.when(F.col("query"), F.col("vectors")).otherwise(F.col("queries")) - 1)))
-    met = met.select("tab", "bucket", F.when(F.col("query"), F.col("other")).otherwise(F.col("own")).alias("i"), F.when(F.col("query"), F.col("own")).otherwise(F.col("other")).alias("j"), "query", "vkey", "vec")
-    found = met.repartition(*_KEYS).sortWithinPartitions(*_KEYS).mapInArrow(_nearest(k + 1), "q long, v long, score double").dropDuplicates(["q", "v"])
-    best = found.withColumn("place", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "v"))).where(F.col("place") <= k + 1)
+    found = stage(_met(dealt, k + 1), "found")
+    place = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "v"))
+    best = found.withColumn("place", place).where(F.col("place") <= k + 1)
+
+    # a query that met fewer than k others meets every vector
+    held = best.join(distinct.select(F.col("vkey").alias("v"), F.size("ids").alias("n")), "v").groupBy("q").agg(F.sum("n").alias("n"))
+    short = distinct.where("asked").join(held, F.col("vkey") == F.col("q"), "left").where(F.coalesce("n", F.lit(0)) <= k)
+    short = stage(short.select("vkey", "vec"), "short")
+    if not short.isEmpty():
+        whole = [t.select(F.lit(0).alias("tab"), F.lit(0).cast("long").alias("bucket"), F.lit(side).alias("query"), "vkey", "vec") for t, side in ((distinct, False), (short, True))]
+        found = found.join(short.select(F.col("vkey").alias("q")), "q", "left_anti").unionByName(_met(whole[0].union(whole[1]), k + 1))
+        best = found.withColumn("place", place).where(F.col("place") <= k + 1)
     best = best.join(distinct.select(F.col("vkey").alias("v"), F.explode("ids").alias("vec_id")), "v").join(queries, "q").where("vec_id <> query_id")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return best.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

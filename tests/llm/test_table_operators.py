@@ -255,6 +255,21 @@ def test_nearest_neighbours_edge_cases(spark, monkeypatch):
     assert lone.collect() == []
 
 
+def test_queries_get_k_or_every_candidate(spark):
+    from tavola.llm.ann import nearest
+
+    table = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").select("vec_id", "embedding").orderBy("vec_id")
+    for n in (2, 10, 15, 21):
+        first = table.limit(n).collect()
+        got = nearest(spark.createDataFrame(first, table.schema), F.lit(True)).collect()
+        assert {(r.query_id, r.vec_id) for r in got} == {(a.vec_id, b.vec_id) for a in first for b in first if a.vec_id != b.vec_id}
+        assert len(got) == n * (n - 1)
+    for times in (10.0, 100.0):  # one long vector
+        long = F.transform("embedding", lambda x: x * F.when(F.col("vec_id") == 7, F.lit(times)).otherwise(F.lit(1.0)))
+        counts = Counter(r.query_id for r in nearest(table.withColumn("embedding", long), F.col("vec_id") % 20 == 0).collect())
+        assert len(counts) == 100 and set(counts.values()) == {20}
+
+
 def test_probes_come_in_order_of_distance():
     from tavola.llm.ann import probe_order
 
