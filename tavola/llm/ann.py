@@ -1,24 +1,29 @@
 """Approximate nearest neighbours by multiprobe p-stable hashing.
 
-Nearness is the inner product.  Vectors are scaled by the largest norm and get one more
-coordinate that makes all norms equal, so the largest inner product is the smallest
-distance.  Each of ``tables`` tables cuts ``functions`` Gaussian projections into cells
+Nearness is the inner product.  Directions are hashed, so no vector's length moves another,
+and the largest cosine is the smallest distance.  Each of ``tables`` tables cuts ``functions`` Gaussian projections into cells
 of ``width``; their combination is a bucket.  A query visits, in each table, the
 ``probes`` buckets likeliest to hold near vectors: its own and those a cell beside it in
 some projections, in the order of the squared distances to the cells' borders.  Every
 table's candidates are scored exactly and merged.
 
+Lengths come in afterwards: vectors fall in bands of like norm, and from the k-th score found,
+the query's norm and a band's largest norm follows the least cosine that a nearer vector of the
+band can have.  Probes find a vector of cosine ``sure_cosine`` or more with a chance of ``SURE`` at
+least; a query meets every vector of the bands whose least cosine is below that.
+
 Every vector is indexed, equal ones once with their smallest ``k`` + 1 ids (no others can be
 among k nearest); queries with equal vectors are searched once.  A bucket of any size
 is cut into blocks of ``BLOCK`` vectors by ``BLOCK`` queries, so tasks stay bounded.
 
 Defined cases: vectors that are null, empty, zero, or hold a null or non-finite component take no
 part, nor do those of another length than the most frequent one; a null id takes no part; rows that repeat
-id and vector count once; ties go to the smaller id; a query that finds fewer than k is searched on against every vector, so it has k, or all others if there are fewer; input columns may have any names.
+id and vector count once; ties go to the smaller id; a query that finds fewer than k meets every vector, so it has k, or all others if there are fewer; input columns may have any names.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 from heapq import heappop, heappush
 
@@ -32,6 +37,10 @@ from tavola.llm.staging import stage
 
 #: Vectors and queries that meet in one task at most.
 BLOCK = 4096
+#: Chance of finding each of the nearest vectors that the probes must give; else the band is searched whole.
+SURE = 0.9
+#: Bands of norms: so many for each doubling, the last one with all shorter vectors.
+_STEPS, _BANDS = 4, 64
 _SALTS = 64
 _KEYS = ["tab", "bucket", "i", "j"]
 
@@ -60,30 +69,61 @@ def probe_order(inside: np.ndarray, width: float, probes: int) -> list[dict[int,
     return out
 
 
+def sure_cosine(tables: int, functions: int, width: float, probes: int, seed: int, pairs: int = 1024) -> float:
+    """The least cosine from which on the probes find a vector with a chance of ``SURE``, by trial on random pairs."""
+    rng = np.random.default_rng(seed)
+    along, across = rng.normal(size=(2, pairs, tables, functions))
+    offset = rng.uniform(0, width, along.shape)
+    cells = np.floor((along + offset) / width)
+    inside = along + offset - cells * width
+    moves = np.full((pairs, tables, probes, functions), np.inf)  # fewer moves may exist than probes
+    for at in np.ndindex(pairs, tables):
+        for m, steps in enumerate(probe_order(inside[at], width, probes)):
+            moves[at][m] = 0
+            for j, step in steps.items():
+                moves[at][m, j] = step
+    least = 1.0
+    for u in np.arange(99, 0, -1) / 100:
+        away = np.floor((u * along + np.sqrt(1 - u * u) * across + offset) / width) - cells
+        if (moves == away[:, :, None]).all(axis=-1).any(axis=(1, 2)).mean() < SURE:
+            break
+        least = float(u)
+    return least
+
+
 class Hashes:
     """Projections of all tables for vectors of ``dim`` numbers."""
 
-    def __init__(self, dim: int, norm: float, tables: int, functions: int, width: float, probes: int, seed: int):
+    def __init__(self, dim: int, tables: int, functions: int, width: float, probes: int, seed: int):
         rng = np.random.default_rng(seed)
-        self.norm, self.width, self.tables, self.functions, self.probes = norm, width, tables, functions, probes
-        self.lines = rng.normal(size=(dim + 1, tables * functions))
+        self.width, self.tables, self.functions, self.probes = width, tables, functions, probes
+        self.lines = rng.normal(size=(dim, tables * functions))
         self.offsets = rng.uniform(0, width, tables * functions)
         self.factors = rng.integers(1, 2**63, functions, dtype=np.int64) | 1
 
-    def places(self, x: np.ndarray, query: bool) -> np.ndarray:
+    def places(self, x: np.ndarray) -> np.ndarray:
         """(vectors, tables, functions) positions in units of the projection."""
-        size = np.sqrt((x * x).sum(axis=1))
-        if query:
-            x, more = x / size[:, None], np.zeros(len(x))
-        else:
-            x, more = x / self.norm, np.sqrt(np.maximum(0, 1 - (size / self.norm) ** 2))
-        return (np.column_stack([x, more]) @ self.lines + self.offsets).reshape(len(x), self.tables, self.functions)
+        x = x / np.abs(x).max(axis=1)[:, None]
+        x = x / np.sqrt((x * x).sum(axis=1))[:, None]
+        return (x @ self.lines + self.offsets).reshape(len(x), self.tables, self.functions)
 
     def bucket(self, cells: np.ndarray) -> np.ndarray:
         with np.errstate(over="ignore"):
             return (cells * self.factors).sum(axis=-1)
 
 
+def _log_norm(dim: int) -> Callable:
+    """Binary logarithm of a vector's norm, finite for every usable vector."""
+
+    @F.arrow_udf("double")
+    def compute(vectors: pa.Array) -> pa.Array:
+        x = vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
+        most = np.abs(x).max(axis=1)
+        return pa.array(np.log2(most) + np.log2(((x / most[:, None]) ** 2).sum(axis=1)) / 2)
+
+    return compute
+
+
 def _vectors(batch: pa.RecordBatch) -> np.ndarray:
     flat = batch.column("vec").flatten().to_numpy(zero_copy_only=False).astype(np.float64)
     return flat.reshape(batch.num_rows, -1)
@@ -97,15 +137,15 @@ def _deal(hashes: Hashes) -> Callable:
             for at in range(0, whole.num_rows, 512):
                 batch = whole.slice(at, 512)
                 x, n = _vectors(batch), batch.num_rows
-                cells = np.floor(hashes.places(x, False) / hashes.width).astype(np.int64)
+                places = hashes.places(x)
+                cells = np.floor(places / hashes.width).astype(np.int64)
                 rows, tabs = np.repeat(np.arange(n), hashes.tables), np.tile(np.arange(hashes.tables), n)
                 yield _dealt(batch, rows, tabs, hashes.bucket(cells).ravel(), False)
                 asked = np.flatnonzero(np.asarray(batch.column("asked").to_numpy(zero_copy_only=False), dtype=bool))
                 if not len(asked):
                     continue
-                places = hashes.places(x[asked], True)
-                cells = np.floor(places / hashes.width).astype(np.int64)
-                inside = places - cells * hashes.width
+                cells = cells[asked]
+                inside = places[asked] - cells * hashes.width
                 rows, tabs, buckets = [], [], []
                 for q, row in enumerate(asked):
                     for tab in range(hashes.tables):
@@ -176,8 +216,7 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, tables: int = 8,
         return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     dim = sizes["dim"]
     rows = stage(rows.where(F.size("vec") == dim), "vectors")
-    square = F.aggregate("vec", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))
-    hashes = Hashes(dim, float(rows.agg(F.sqrt(F.max(square))).first()[0]), tables, functions, width, probes, seed)
+    hashes = Hashes(dim, tables, functions, width, probes, seed)
 
     # equal vectors are one from here on, with their smallest k + 1 ids
     single = rows.groupBy("vec", "vec_id").agg(F.max("asked").alias("asked"), F.pmod(F.xxhash64("vec_id"), F.lit(_SALTS)).alias("salt"))
@@ -185,7 +224,7 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, tables: int = 8,
     few = few.withColumn("place", F.row_number().over(Window.partitionBy("vec").orderBy("vec_id"))).where(F.col("place") <= k + 1)
     ids = few.groupBy("vec").agg(F.min("vec_id").alias("vkey"), F.collect_list("vec_id").alias("ids"))
     asking = single.groupBy("vec").agg(F.max("asked").alias("asked"))
-    distinct = stage(ids.join(asking, "vec"), "distinct")
+    distinct = stage(ids.join(asking, "vec").withColumn("size", _log_norm(dim)("vec")), "distinct")
     queries = single.where("asked").join(distinct.select("vec", "vkey"), "vec").select(F.col("vec_id").alias("query_id"), F.col("vkey").alias("q"))
 
     dealt = stage(distinct.select("vkey", "vec", "asked").mapInArrow(_deal(hashes), f"tab int, bucket long, query boolean, vkey long, vec {rows.schema['vec'].dataType.simpleString()}"), "dealt")
@@ -193,13 +232,19 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, tables: int = 8,
     place = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "v"))
     best = found.withColumn("place", place).where(F.col("place") <= k + 1)
 
-    # a query that met fewer than k others meets every vector
-    held = best.join(distinct.select(F.col("vkey").alias("v"), F.size("ids").alias("n")), "v").groupBy("q").agg(F.sum("n").alias("n"))
-    short = distinct.where("asked").join(held, F.col("vkey") == F.col("q"), "left").where(F.coalesce("n", F.lit(0)) <= k)
-    short = stage(short.select("vkey", "vec"), "short")
-    if not short.isEmpty():
-        whole = [t.select(F.lit(0).alias("tab"), F.lit(0).cast("long").alias("bucket"), F.lit(side).alias("query"), "vkey", "vec") for t, side in ((distinct, False), (short, True))]
-        found = found.join(short.select(F.col("vkey").alias("q")), "q", "left_anti").unionByName(_met(whole[0].union(whole[1]), k + 1))
+    # a query meets every vector of the bands where the probes may have missed one above its k-th score
+    upto = F.sum("n").over(Window.partitionBy("q").orderBy(F.desc("score"), "v"))
+    kth = best.join(distinct.select(F.col("vkey").alias("v"), F.size("ids").alias("n")), "v").withColumn("upto", upto).where(F.col("upto") > k).groupBy("q").agg(F.max("score").alias("kth"))
+    longest = distinct.agg(F.max("size")).first()[0]
+    banded = distinct.withColumn("band", F.least(F.floor((longest - F.col("size")) * _STEPS), F.lit(_BANDS - 1)).cast("long"))
+    bands = banded.groupBy("band").agg(F.max("size").alias("most"))
+    least = math.log2(sure_cosine(tables, functions, width, probes, seed)) + F.col("size") + F.col("most")
+    unsure = distinct.where("asked").join(kth, F.col("vkey") == F.col("q"), "left").crossJoin(F.broadcast(bands))
+    unsure = unsure.where(~F.coalesce((F.col("kth") > 0) & (F.log2("kth") >= least), F.lit(False)))
+    unsure = stage(unsure.select("band", "vkey", "vec"), "unsure")
+    if not unsure.isEmpty():
+        whole = [t.select(F.lit(0).alias("tab"), F.col("band").alias("bucket"), F.lit(side).alias("query"), "vkey", "vec") for t, side in ((banded, False), (unsure, True))]
+        found = found.unionByName(_met(whole[0].union(whole[1]), k + 1)).dropDuplicates(["q", "v"])
         best = found.withColumn("place", place).where(F.col("place") <= k + 1)
     best = best.join(distinct.select(F.col("vkey").alias("v"), F.explode("ids").alias("vec_id")), "v").join(queries, "q").where("vec_id <> query_id")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))

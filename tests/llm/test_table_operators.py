@@ -270,6 +270,27 @@ def test_queries_get_k_or_every_candidate(spark):
         assert len(counts) == 100 and set(counts.values()) == {20}
 
 
+def test_recall_does_not_hang_on_norms(spark):
+    from tavola.llm.ann import nearest
+
+    table = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").select("vec_id", "embedding").collect()
+    ids, unit = np.array([r.vec_id for r in table]), np.array([r.embedding for r in table], dtype=np.float64)
+    draw = np.random.default_rng(1).normal(size=len(ids))
+    for norms in (np.ones(len(ids)), *(np.where(ids == 7, m, 1.0) for m in (2.0, 10.0, 1e6, 1e200)), np.exp(0.5 * draw), np.exp(draw)):
+        x = unit * norms[:, None]
+        rows = spark.createDataFrame([(i, v) for i, v in zip(ids.tolist(), x.tolist(), strict=True)], "vec_id long, embedding array<double>")
+        got = defaultdict(set)
+        for r in nearest(rows, F.col("vec_id") % 20 == 0).collect():
+            got[r.query_id].add(r.vec_id)
+        hits = 0
+        for q in np.flatnonzero(ids % 20 == 0):
+            score = np.where(np.arange(len(ids)) == q, -np.inf, x @ x[q])
+            best = ids[np.argsort(-score, kind="stable")[:20]].tolist()
+            assert len(got[ids[q]]) == 20
+            hits += len(got[ids[q]].intersection(best))
+        assert hits >= 0.9 * 2000
+
+
 def test_probes_come_in_order_of_distance():
     from tavola.llm.ann import probe_order
 
