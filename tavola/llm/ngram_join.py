@@ -301,7 +301,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", id: str = "doc_id", wid
 
     component_id is the smallest id reachable by links, itself included; kept marks the
     document of that id, one for each component (rows that repeat both id and text are one
-    document); row_hash is xxhash64 of the text, to find the row again.
+    document; a component without ids keeps the smallest row_hash); row_hash is xxhash64 of the text, to find the row again.
     """
     spark = docs.sparkSession
     docs = docs.select(F.col(id).alias("doc_id"), F.col(text).cast("string").alias("text"))
@@ -355,14 +355,15 @@ def near_duplicates(docs: DataFrame, text: str = "text", id: str = "doc_id", wid
 
     roots = components(links.union(more), "a", "b").join(nodes.select(F.col("node").alias("vertex"), "rep"), "vertex")
     smallest = roots.groupBy("root").agg(F.min("rep").alias("component"))
-    linked = stage(roots.join(smallest, "root").select(F.col("vertex").alias("node"), "component"), "components")
+    linked = stage(roots.join(smallest, "root").select(F.col("vertex").alias("node"), "component", "root"), "components")
     # a node outside any link is its own component; the row that stays is the first of the smallest id
     out = rows.select("doc_id", "row_hash", "node", "n").join(nodes.select("node", "rep"), "node", "left").join(linked, "node", "left")
     out = out.withColumn("component_id", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.coalesce("component", "rep")))
-    chief = out.where("node is not null and doc_id <=> component_id").groupBy("component_id").agg(F.min("row_hash").alias("chief"))
-    out = out.join(chief.withColumnRenamed("component_id", "of"), F.col("component_id") == F.col("of"), "left")
-    alone = F.col("node").isNull() | F.col("component_id").isNull()
-    return out.select("doc_id", F.col("n").alias("n_shingles"), "component_id", (alone | (F.col("doc_id").eqNullSafe(F.col("component_id")) & (F.col("row_hash") == F.col("chief")))).alias("kept"), "row_hash")
+    out = out.withColumn("group", F.coalesce("root", "node"))  # the component's node: its id may be null, or be the id of other texts too
+    first = F.col("doc_id").eqNullSafe(F.col("component_id"))
+    chief = out.where(F.col("node").isNotNull() & first).groupBy("group").agg(F.min("row_hash").alias("chief"))
+    out = out.join(chief.withColumnRenamed("group", "of"), F.col("group") == F.col("of"), "left")
+    return out.select("doc_id", F.col("n").alias("n_shingles"), "component_id", (F.col("node").isNull() | (first & (F.col("row_hash") == F.col("chief")))).alias("kept"), "row_hash")
 
 
 def _window(key: str):

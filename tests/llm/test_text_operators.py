@@ -95,6 +95,20 @@ def test_ngram_join_of_nothing(spark):
     assert sorted((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in got) == [(1, 0, 1, True), (2, 0, 2, True)]
 
 
+def test_near_copies_without_id_leave_one(spark):
+    import corpus_pipeline
+    from tavola.llm.ngram_join import near_duplicates
+
+    a, b = " ".join(WORDS[:60]), " ".join(WORDS[100:160])
+    rows = [(None, a), (None, a + " more"), (None, a.replace(" ", "  ")), (None, "no other text is like this one"), (None, ""), (None, None)]
+    rows += [(5, b), (None, b + " more"), (5, "the id of this text is that of another one"), (5, "the id  of this text is that of another one")]
+    got = near_duplicates(table(spark, rows)).collect()
+    assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in got), key=str) == brute_components(rows)
+    left = [(r.doc_id, " ".join(words(r.text))) for r in corpus_pipeline.without_near_copies(spark, table(spark, rows), "").collect()]
+    assert len(left) == 6 and len([t for i, t in left if i is None and t.startswith(a)]) == 1
+    assert {(i, t) for i, t in left if not t.startswith(a)} == {(None, rows[3][1]), (None, ""), (5, b), (5, rows[8][1])}
+
+
 DEDUP = [(1, "Same Text"), (2, "same text"), (9, "SAME TEXT"), (9, "same text"), (3, None), (4, ""), (5, "É"), (6, "é"), (None, "same text"), (None, "lone"), (7, "x" * 300_000), (8, "X" * 300_000), (10, "one")]
 
 
