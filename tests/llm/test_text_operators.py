@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+import zlib
 
 import pyarrow as pa
 import pytest
@@ -156,6 +157,23 @@ def test_quality_learns_from_pairs_and_holds_out(spark):
     assert len(wrongly) <= 0.03 * len(scored)
 
 
+def test_quality_fit_collects_a_bounded_sample_of_labelled_documents(spark, monkeypatch):
+    from tavola.llm import quality
+
+    monkeypatch.setattr(quality, "SAMPLE", 8)
+    ids = [i for i in range(400) if zlib.crc32(str(i).encode()) % 4 != 2][:260]
+    docs = [(i, f"text number {i} " + ("ok. " if i % 2 else "BAD!! ") * (i % 7 + 1)) for i in ids[:20]]
+    docs += [(ids[0], f"many texts of one id {k}") for k in range(300)] + [(ids[1], "one text of one id")] * 300
+    labels = spark.createDataFrame([(i, i % 2) for i in ids], "doc_id long, quality int")  # 20 of 260 have a document
+    seen = []
+    monkeypatch.setattr(quality, "fit_pairs", lambda x, good, weight: seen.append((good, weight)))
+    quality.fit(table(spark, docs), labels)
+    good, weight = seen[0]
+    assert 8 <= good.sum() <= 8 * quality.TEXTS and 8 <= (~good).sum() <= 8 * quality.TEXTS
+    assert len(good) < 2 * 8 + 2 * quality.TEXTS  # only two ids have more than one text
+    assert abs(weight[good].sum() - sum(i % 2 for i in ids[:20])) < 1e-6
+
+
 def test_quality_edge_cases(spark):
     from tavola.llm import quality
 
