@@ -305,3 +305,44 @@ def op9_multiprobe_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tavola.llm.ann import nearest
 
     return nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+@query
+def op12_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint of every document and of its edited text, with their likeness and that of the next document."""
+    from tavola.llm.fingerprint import fingerprints
+
+    return fingerprints(table(spark, sf_dir, "documents"))
+
+
+FIM_SEED, FIM_RATE, FIM_SPM = 42, 50, 80
+
+
+@query
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Form and cuts of every document, with the digests of the output and of the text rebuilt from it."""
+    from pyspark.sql import functions as F
+
+    from tavola.llm.fim import fill_in_middle, restore
+
+    made = restore(fill_in_middle(table(spark, sf_dir, "documents"), seed=FIM_SEED, rate=FIM_RATE, spm=FIM_SPM))
+    digests = [F.sha2(F.col(c), 256).alias(f"{name}_sha256") for c, name in (("output", "output"), ("restored", "restored"))]
+    return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", *digests)
+
+
+ORACLES["op13_fill_in_middle"] = f"""
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS t, sha256('{FIM_SEED}:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h,
+    regexp_extract_all(coalesce(text, ''), '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') AS u FROM documents),
+c AS (
+  SELECT *, CAST(len(u) AS BIGINT) AS n, CAST('0x' || h[1:8] AS BIGINT) % (len(u) + 1) AS c1, CAST('0x' || h[9:16] AS BIGINT) % (len(u) + 1) AS c2,
+    CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR CAST('0x' || h[17:24] AS BIGINT) % 100 >= {FIM_RATE} THEN 'plain'
+      WHEN CAST('0x' || h[25:32] AS BIGINT) % 100 < {FIM_SPM} THEN 'spm' ELSE 'psm' END AS form FROM d),
+p AS (
+  SELECT doc_id, t, n, form, array_to_string(u[1:least(c1, c2)], '') AS p, array_to_string(u[least(c1, c2) + 1:greatest(c1, c2)], '') AS m,
+    array_to_string(u[greatest(c1, c2) + 1:], '') AS s FROM c)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(p) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(m) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN t WHEN 'spm' THEN '<S>' || s || '<P>' || p || '<M>' || m ELSE '<P>' || p || '<S>' || s || '<M>' || m END) AS output_sha256,
+  sha256(t) AS restored_sha256
+FROM p
+"""
