@@ -6,14 +6,13 @@ result row per request (or a new snapshot).  Nothing is mutated in place.
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tavola.functions.scalar import MONEY_SUM, dec, format_vnd, invoice_amounts
 from tavola.operators.graph import components
 from tavola.operators.ranking import global_rank
-from tavola.operators.sequence import keyed_running_max
+from tavola.operators.rounds import first_come_claims, first_come_contacts, first_come_slots
 from tavola.operators.views import ACTIVE_ORDER, latest_order_per_table
 from tavola.sources.domain import Domain
 
@@ -95,7 +94,6 @@ def _admission_result(j: DataFrame, reason: Column) -> DataFrame:
     )
 
 
-GREEDY_SCHEMA = "request_id long, accepted boolean"
 WIDTH_MICROS = CONFLICT_MINUTES * 60 * 1_000_000
 
 
@@ -103,90 +101,22 @@ def epoch_micros(ts: Column) -> Column:
     return F.timestamp_diff("MICROSECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), ts)
 
 
-def _greedy_partitions(batches):
-    """Admit requests segment by segment over a partition sorted by (table, segment, bookings first, request_id).
-
-    Rows arrive as Arrow batches; the state of the current segment (its taken
-    slots) is carried across batches, so no per-group Python call is needed.
-    """
-    import bisect
-
-    w = WIDTH_MICROS
-    cur = None
-    taken: list[int] = []
-    for pdf in batches:
-        ids, oks = [], []
-        tabs, segs = pdf["table_id"].to_numpy(), pdf["_seg"].to_numpy()
-        us_arr, book, rids = pdf["us"].to_numpy(), pdf["is_booking"].to_numpy(), pdf["request_id"].to_numpy()
-        for k in range(len(pdf)):
-            key = (int(tabs[k]), int(segs[k]))
-            if key != cur:
-                cur, taken = key, []
-            us = int(us_arr[k])
-            if book[k]:
-                bisect.insort(taken, us)
-                continue
-            i = bisect.bisect_left(taken, us - w + 1)
-            ok = not (i < len(taken) and taken[i] <= us + w - 1)  # nothing within (us - w, us + w)
-            if ok:
-                bisect.insort(taken, us)
-            ids.append(int(rids[k]))
-            oks.append(ok)
-        if ids:
-            yield pd.DataFrame({"request_id": pd.Series(ids, dtype="int64"), "accepted": pd.Series(oks, dtype="bool")})
-
-
-def _segments(rows: DataFrame) -> DataFrame:
-    """Cut each table's timeline into segments separated by gaps >= 120 minutes.
-
-    Segment id = time of the segment's first row: rows whose predecessor is at
-    least the conflict width earlier start a segment; a running max of the start
-    times labels every row.  Both scans run on a range-partitioned frame, so a
-    busy table is spread over many tasks.
-    """
-    from tavola.operators.sequence import keyed_lag
-
-    # ascending keys only: bookings sort before requests of the same instant
-    order = [F.col("us"), F.when(F.col("is_booking"), 0).otherwise(1), F.col("request_id")]
-    with_prev = keyed_lag(rows, ["table_id"], order, "us", "_prev")
-    starts = with_prev.withColumn(
-        "_st", F.when(F.col("_prev").isNull() | (F.col("us") - F.col("_prev") >= WIDTH_MICROS), F.col("us"))
-    )
-    return keyed_running_max(starts, ["table_id"], order, "_st", "_seg").drop("_prev", "_st")
-
-
 def reservation_batch(d: Domain, requests: DataFrame | None = None) -> DataFrame:
     """Sequential admission inside the batch: the earlier request (by request_id) wins a slot.
 
-    Only requests that pass the capacity check on a known, non-maintenance table
-    can take a slot.  They and the stored bookings of their tables are cut into
-    independent time segments (``_segments``); segments are hash-distributed,
-    sorted inside each partition and admitted greedily by one ``mapInPandas``
-    pass per partition (a segment never spans a 120-minute gap).
+    Only requests that pass the capacity check on a known, non-maintenance table and meet no stored
+    booking can take a slot.  Among them a request is refused when an earlier accepted one of its table
+    is less than 120 minutes away; decided in rounds (``rounds.first_come_slots``), so a floor
+    without a gap in its bookings is spread by table and time slice.
     """
     req = requests if requests is not None else d.reservation_requests
     t = d.dining_tables.select("table_id", "capacity", F.lower("status").alias("table_status"))
-    j = req.join(t, "table_id", "left")
-    eligible = j.where((F.col("capacity") >= F.col("guest_count")) & (F.col("table_status") != "maintenance"))
-    rows = eligible.select(
-        "table_id", "request_id", epoch_micros(F.col("date_time")).alias("us"), F.lit(False).alias("is_booking")
-    ).unionByName(
-        open_bookings(d).join(eligible.select("table_id").distinct(), "table_id", "left_semi").select(
-            "table_id", F.lit(None).cast("long").alias("request_id"),
-            epoch_micros(F.col("reserved_at")).alias("us"), F.lit(True).alias("is_booking"),
-        )
-    )
-    seg = _segments(rows)
-    n = int(d.spark.conf.get("spark.sql.shuffle.partitions"))
-    decided = (
-        seg.repartition(n, "table_id", "_seg")
-        .sortWithinPartitions("table_id", "_seg", F.col("is_booking").desc(), "request_id")
-        .select("table_id", "_seg", "us", "is_booking", "request_id")
-        .mapInPandas(_greedy_partitions, GREEDY_SCHEMA)
-    )
-    accepted = decided.where(F.col("accepted")).select("request_id").withColumn("_ok", F.lit(True))
     stored_conflicts = conflicting_requests(req, open_bookings(d)).select("request_id").withColumn("_stored", F.lit(True))
-    jj = j.join(accepted, "request_id", "left").join(stored_conflicts, "request_id", "left")
+    j = req.join(t, "table_id", "left").join(stored_conflicts, "request_id", "left")
+    eligible = j.where((F.col("capacity") >= F.col("guest_count")) & (F.col("table_status") != "maintenance") & F.col("_stored").isNull())
+    slots = eligible.select(F.col("table_id").alias("place"), epoch_micros(F.col("date_time")).alias("at"), "request_id")
+    accepted = first_come_slots(slots, WIDTH_MICROS).where("granted").select("request_id").withColumn("_ok", F.lit(True))
+    jj = j.join(accepted, "request_id", "left")
     reason = (
         F.when(F.col("capacity") < F.col("guest_count"), "capacity")
         .when(F.col("_stored"), "conflict")
@@ -476,24 +406,21 @@ def merge_partial_updates(current: DataFrame, updates: DataFrame, key: str, fiel
     return j.select(key, *cols, F.coalesce(F.col("_updates"), F.lit(0)).alias("updates_applied"))
 
 
+CONTACT_FIELDS = [("phone", "phone_number"), ("email", "email")]
+
+
 def contact_conflicts(req: DataFrame, customers: DataFrame) -> DataFrame:
-    """Update requests whose new phone / email is taken: owned by another customer, or claimed
-    by another customer's earlier request of the batch (duplicate-contact guard, K9)."""
-    bad = None
-    for field, col in (("phone", "phone_number"), ("email", "email")):
-        owners = customers.where(F.col(col).isNotNull()).select(F.col(col).alias(field), F.col("customer_id").alias("_owner"))
-        first = req.where(F.col(field).isNotNull()).groupBy(field).agg(
-            F.min_by("customer_id", "request_id").alias("_claimer")
-        )
-        hit = (
-            req.where(F.col(field).isNotNull())
-            .join(owners, field, "left").join(first, field)
-            .where((F.col("_owner").isNotNull() & (F.col("_owner") != F.col("customer_id")))
-                   | (F.col("_claimer") != F.col("customer_id")))
-            .select("request_id")
-        )
-        bad = hit if bad is None else bad.unionByName(hit)
-    return bad.distinct()
+    """Update requests whose new phone / email belongs to another customer at their turn (duplicate-contact
+    guard, K9): a refused update blocks nobody, and a contact that an earlier update gave up is free."""
+    changes = req.select("request_id", F.col("customer_id").alias("owner"), F.explode(F.array(*[
+        F.struct(F.lit(field).alias("field"), F.col(field).alias("value")) for field, _ in CONTACT_FIELDS
+    ])).alias("c")).select("request_id", "owner", "c.*")
+    # only existing customers change anything
+    changes = changes.join(customers.select(F.col("customer_id").alias("owner")), "owner", "left_semi")
+    owners = customers.select(F.col("customer_id").alias("owner"), F.explode(F.array(*[
+        F.struct(F.lit(field).alias("field"), F.col(col).alias("value")) for field, col in CONTACT_FIELDS
+    ])).alias("c")).select("owner", "c.*")
+    return first_come_contacts(changes, owners).where("not granted").select("request_id")
 
 
 def customer_update(d: Domain, requests: DataFrame | None = None) -> DataFrame:
@@ -595,53 +522,20 @@ def contact_components(req: DataFrame) -> DataFrame:
     )
 
 
-SIGNUP_SCHEMA = "request_id long, accepted boolean"
-
-
-def _sequential_signups(batches):
-    """Admit sign-ups component by component in request order; accepted ones take their phone / email."""
-    cur, phones, emails = None, set(), set()
-    for pdf in batches:
-        ids, oks = [], []
-        for comp, rid, phone, email in zip(pdf["component"].tolist(), pdf["request_id"].tolist(),
-                                           pdf["phone"].tolist(), pdf["email"].tolist()):
-            if comp != cur:
-                cur, phones, emails = comp, set(), set()
-            email = None if email is None or (isinstance(email, float) and pd.isna(email)) else email
-            ok = phone not in phones and (email is None or email not in emails)
-            if ok:
-                phones.add(phone)
-                if email is not None:
-                    emails.add(email)
-            ids.append(int(rid))
-            oks.append(ok)
-        if ids:
-            yield pd.DataFrame({"request_id": pd.Series(ids, dtype="int64"), "accepted": pd.Series(oks, dtype="bool")})
-
-
 def duplicate_contacts_sequential(d: Domain, requests: DataFrame | None = None) -> DataFrame:
     """Sign-ups processed one at a time, exactly as single inserts would be.
 
-    Requests duplicating an existing customer are refused (and block nothing).
-    The others only interact through shared phones / emails, so they are split
-    into connected components; each component is admitted greedily in request
-    order (one ``mapInPandas`` pass per partition, components hash-distributed).
+    Requests duplicating an existing customer are refused (and block nothing).  The others are decided in
+    rounds (``rounds.first_come_claims``): each open request claims its phone and email, the first claimer of
+    both wins them, and whoever claims one of them too is refused.
     """
     req = requests if requests is not None else d.customer_inserts
     phones = d.customers.select(F.col("phone_number").alias("phone")).distinct().withColumn("_p", F.lit(True))
     emails = d.customers.where(F.col("email").isNotNull()).select("email").distinct().withColumn("_e", F.lit(True))
     j = req.join(phones, "phone", "left").join(emails, "email", "left")
     existing = F.coalesce(F.col("_p"), F.lit(False)) | F.coalesce(F.col("_e"), F.lit(False))
-    cand = j.where(~existing).select("request_id", "phone", "email")
-    comp = contact_components(cand)
-    n = int(d.spark.conf.get("spark.sql.shuffle.partitions"))
-    decided = (
-        cand.join(comp, "request_id")
-        .repartition(n, "component")
-        .sortWithinPartitions("component", "request_id")
-        .select("component", "request_id", "phone", "email")
-        .mapInPandas(_sequential_signups, SIGNUP_SCHEMA)
-    )
+    claims = F.array(*[F.concat(F.lit(f"{kind}:"), F.col(kind)) for kind in ("phone", "email")])
+    decided = first_come_claims(j.where(~existing).select("request_id", claims.alias("claims"))).select("request_id", F.col("granted").alias("accepted"))
     out = j.join(decided, "request_id", "left")
     outcome = (
         F.when(existing, "duplicate_existing")
