@@ -21,9 +21,11 @@ hint (adaptive execution broadcasts it only when it is actually small).
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tavola.functions.scalar import MONEY_SUM
+from tavola.operators.staged import staged
 from tavola.sources.domain import Domain
 
 # Orders with more distinct dishes than this are split across SALT_BUCKETS tasks.
@@ -64,10 +66,23 @@ def order_pairs(items: DataFrame, left: dict[str, str], right: dict[str, str], c
     return joined.select(a["order_id"], *[a[k] for k in left], *[b[k] for k in right])
 
 
-def basket_lines(d: Domain) -> DataFrame:
-    """(order_id, dish_name) per order line: lines joined to dishes that have a category."""
+def order_dishes(d: Domain) -> DataFrame:
+    """(order_id, dish_id, n, quantity, line_total): the lines of an order by dish; one scan of the order lines."""
+    return d.order_details.groupBy("order_id", "dish_id").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("quantity").cast("long").alias("quantity"), F.sum("line_total").cast(MONEY_SUM).alias("line_total")
+    )
+
+
+def shared_order_dishes(d: Domain) -> DataFrame:
+    """``order_dishes`` written once, for several reports to read: pass it to them as ``facts``."""
+    return staged(order_dishes(d), "order-dishes")
+
+
+def basket_lines(d: Domain, facts: DataFrame | None = None) -> DataFrame:
+    """(order_id, dish_name) per order line (with ``facts``: per order and dish): lines joined to dishes that have a category."""
     dishes = d.menu_items.where(F.col("category_id").isNotNull()).select("dish_id", "dish_name")
-    return d.order_details.select("order_id", "dish_id").join(dishes, "dish_id").select("order_id", "dish_name")
+    lines = d.order_details if facts is None else facts
+    return lines.select("order_id", "dish_id").join(dishes, "dish_id").select("order_id", "dish_name")
 
 
 def pair_counts(d: Domain) -> DataFrame:
@@ -94,17 +109,18 @@ def basket_pairs(d: Domain, k: int = 5) -> DataFrame:
     ).limit(k).select("item_1", "item_2", "times_ordered_together")
 
 
-def item_baskets(d: Domain) -> DataFrame:
+def item_baskets(d: Domain, facts: DataFrame | None = None) -> DataFrame:
     """Distinct dish names per order."""
-    return basket_lines(d).distinct()
+    return basket_lines(d, facts).distinct()
 
 
-def basket_rules(d: Domain) -> DataFrame:
+def basket_rules(d: Domain, facts: DataFrame | None = None, min_support: float = 0.0, min_confidence: float = 0.0) -> DataFrame:
     """Directed rules source -> target on distinct items per order: support, confidence, lift.
 
-    confidence_pct = int(confidence * 100), as the dashboard computes it.
+    confidence_pct = int(confidence * 100), as the dashboard computes it.  Rules below ``min_support`` (share of
+    the orders) or ``min_confidence`` are left out; both are 0 in the dashboard, which is every pair that occurs.
     """
-    items = item_baskets(d)
+    items = item_baskets(d, facts)
     sizes = order_sizes(items)
     n_orders = sizes.select(F.count(F.lit(1))).scalar()  # baskets = orders with at least one item
     item_count = items.groupBy("dish_name").agg(F.count(F.lit(1)).alias("cnt"))
@@ -116,8 +132,12 @@ def basket_rules(d: Domain) -> DataFrame:
     )
     sa = item_count.select(F.col("dish_name").alias("source"), F.col("cnt").alias("source_count"))
     tb = item_count.select(F.col("dish_name").alias("target"), F.col("cnt").alias("target_count"))
+    if min_support > 0:
+        pair = pair.where(F.col("pair_count") / n_orders >= min_support)  # before the joins: the table of pairs is the large one
     r = pair.join(sa, "source").join(tb, "target")
     conf = F.col("pair_count") / F.col("source_count")
+    if min_confidence > 0:
+        r = r.where(conf >= min_confidence)
     return r.select(
         "source", "target", "pair_count", "source_count", "target_count",
         (F.col("pair_count") / n_orders).alias("support"),
@@ -127,13 +147,103 @@ def basket_rules(d: Domain) -> DataFrame:
     )
 
 
-def top_rules(d: Domain, k: int = 2) -> DataFrame:
+def top_rules(d: Domain, k: int = 2, facts: DataFrame | None = None) -> DataFrame:
     """Best rules by pair count (then confidence, names): the dashboard's pair cards."""
-    return basket_rules(d).orderBy(
+    return basket_rules(d, facts).orderBy(
         F.col("pair_count").desc(), F.col("confidence").desc(), "source", "target"
     ).limit(k)
 
 
+# ------------------------------------------------- D12: sets of three and more dishes
+#: Orders in ten thousand that must hold a set, and the most dishes of a set.
+PER_10K, MAX_ITEMS = 2, 4
+
+
+def min_orders(orders: int, per_10k: int = PER_10K) -> int:
+    """Least number of orders of a frequent set: ``per_10k`` in ten thousand, rounded up, two at least."""
+    return max(2, -(-orders * per_10k // 10_000))
+
+
+def frequent_sets(baskets: DataFrame, least: int, max_items: int = MAX_ITEMS) -> DataFrame:
+    """(items, orders): the sets of up to ``max_items`` items that ``least`` baskets or more hold.
+
+    ``baskets`` has distinct rows (order_id, item).  Level by level: a candidate of k + 1 items joins two frequent sets
+    of k items that differ in the last one, and stays when all its subsets of k items are frequent; only the orders that
+    hold the first k items are looked at for the last one.  ``items`` is a sorted array.  A level is written
+    once and read by the next, so rows shrink with the frequent sets, not with the baskets.
+    """
+    counts = baskets.groupBy("item").agg(F.count(F.lit(1)).alias("orders")).where(F.col("orders") >= least)
+    single = staged(baskets.join(counts, "item", "left_semi").select("order_id", "item"), "items")
+    level = staged(counts.select(F.array("item").alias("items"), "orders"), "sets")
+    levels, held = [level], None
+    for size in range(2, max_items + 1):
+        if size == 2:  # pairs of an order; every pair of frequent items is a candidate
+            found = order_pairs(single, {"first": "item"}, {"last": "item"}, lambda a, b: a["first"] < b["last"])
+            found = found.select("order_id", F.array("first", "last").alias("items"))
+        else:
+            wanted = _candidates(level, size - 1)
+            found = held.join(wanted, "items").join(single.withColumnRenamed("item", "last"), ["order_id", "last"], "left_semi")
+            found = found.select("order_id", F.concat("items", F.array("last")).alias("items"))
+        found = staged(found, "found")
+        level = staged(found.groupBy("items").agg(F.count(F.lit(1)).alias("orders")).where(F.col("orders") >= least), "sets")
+        levels.append(level)
+        if level.isEmpty():
+            break
+        held = found.join(level, "items", "left_semi")
+    out = levels[0]
+    for more in levels[1:]:
+        out = out.unionByName(more)
+    return out
+
+
+def _candidates(level: DataFrame, size: int) -> DataFrame:
+    """(items, last): sets of ``size`` items and a larger item, all of whose subsets of ``size`` items are in ``level``."""
+    parts = level.select("items", F.slice("items", 1, size - 1).alias("head"), F.element_at("items", -1).alias("last"))
+    more = parts.select("head", F.col("last").alias("more"))
+    pairs = parts.join(more, "head").where("last < more").select("items", F.col("more").alias("last"))
+    # the two joined sets are frequent; the others leave out one of the first size - 1 items
+    drops = F.transform(F.sequence(F.lit(0), F.lit(size - 2)), lambda k: F.concat(F.filter("items", lambda x, i: i != k), F.array("last")))
+    subsets = pairs.select("items", "last", F.explode(drops).alias("subset"))
+    known = subsets.join(level.select(F.col("items").alias("subset")), "subset", "left_semi")
+    return known.groupBy("items", "last").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") == size - 1).select("items", "last")
+
+
+def _named_baskets(d: Domain) -> tuple[DataFrame, int]:
+    baskets = staged(item_baskets(d).select("order_id", F.col("dish_name").alias("item")), "baskets")
+    return baskets, baskets.select(F.countDistinct("order_id")).first()[0]
+
+
+def _said(items) -> Column:
+    return F.array_join(items, " + ")
+
+
+def basket_itemsets(d: Domain, per_10k: int = PER_10K, max_items: int = MAX_ITEMS) -> DataFrame:
+    """Sets of two and more dishes that at least ``per_10k`` in ten thousand orders hold: items, size, orders, support."""
+    baskets, n = _named_baskets(d)
+    found = frequent_sets(baskets, min_orders(n, per_10k), max_items).where(F.size("items") > 1)
+    return found.select(_said("items").alias("items"), F.size("items").alias("size"), "orders", (F.col("orders") / F.lit(n)).alias("support"))
+
+
+def basket_set_rules(d: Domain, per_10k: int = PER_10K, max_items: int = MAX_ITEMS, min_confidence: float = 0.0) -> DataFrame:
+    """Rules from two or more dishes to one more: antecedent, consequent, orders, support, confidence, lift.
+
+    Rules between single dishes are those of ``basket_rules``.
+    """
+    baskets, n = _named_baskets(d)
+    sets = staged(frequent_sets(baskets, min_orders(n, per_10k), max_items), "sets")
+    large = sets.where(F.size("items") > 2).select("items", "orders", F.explode("items").alias("consequent"))
+    large = large.withColumn("antecedent", F.filter("items", lambda x: x != F.col("consequent")))
+    one = sets.where(F.size("items") == 1).select(F.col("items")[0].alias("consequent"), F.col("orders").alias("of_consequent"))
+    some = sets.select(F.col("items").alias("antecedent"), F.col("orders").alias("of_antecedent"))
+    rules = large.join(some, "antecedent").join(one, "consequent")
+    confidence = F.col("orders") / F.col("of_antecedent")
+    rules = rules.select(
+        _said("antecedent").alias("antecedent"), "consequent", "orders", (F.col("orders") / F.lit(n)).alias("support"),
+        confidence.alias("confidence"), (confidence / (F.col("of_consequent") / F.lit(n))).alias("lift"),
+    )
+    return rules.where(F.col("confidence") >= min_confidence) if min_confidence > 0 else rules
+
+
 def basket_fpgrowth(d: Domain, min_support: float = 0.001, min_confidence: float = 0.0) -> DataFrame:
     """Association rules from Spark ML's distributed FP-Growth over the distinct-item baskets.
 

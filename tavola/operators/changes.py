@@ -111,6 +111,46 @@ def reservation_completed(d: Domain) -> DataFrame:
     )
 
 
+#: Days after which a reservation no longer waits for its order to close (bounds the state of the stream).
+COMPLETION_DAYS = 30
+
+
+def order_changes(d: Domain) -> DataFrame:
+    """The order feed as a change log with both images, as the trigger sees them: (order_key, reservation_id,
+    old_status, new_status, changed_at, seq).  old_status is null for an insert; an order belongs to
+    its guest's first reservation."""
+    feed = order_feed(d)
+    log = keyed_lag(feed, ["order_key"], [F.col("changed_at"), F.col("seq")], "order_status", "old_status")
+    held = d.raw("events").where(F.col("event_type") == "signup").groupBy(F.col("user_id").alias("order_key")).agg(F.min("event_id").alias("reservation_id"))
+    return log.join(held, "order_key", "left").select(
+        "order_key", "reservation_id", "old_status", F.col("order_status").alias("new_status"), "changed_at", "seq"
+    )
+
+
+def completions(changes: DataFrame, reservations: DataFrame, days: int = COMPLETION_DAYS) -> DataFrame:
+    """Reservations that an order's *transition* into closed completes, whatever their status.
+
+    An order that was closed already, or came in as closed, completes nothing; neither does one whose reservation was
+    made later or more than ``days`` days before.  ``changes`` has the time ``closed_at`` and ``reservations``
+    the time ``made_at`` as TIMESTAMP; the time bounds let a stream forget both sides.
+    """
+    closing = (F.col("new_status") == "closed") & F.col("old_status").isNotNull() & (F.col("old_status") != "closed")
+    c = changes.where(closing & F.col("reservation_id").isNotNull()).select(
+        F.col("reservation_id").alias("of"), "order_key", F.col("changed_at").alias("completed_at"), "closed_at"
+    )
+    r = reservations.select("reservation_id", F.col("status").alias("old_status"), "made_at")
+    when = (F.col("closed_at") >= F.col("made_at")) & (F.col("closed_at") <= F.col("made_at") + F.expr(f"INTERVAL {days} DAY"))
+    return r.join(c, (F.col("of") == F.col("reservation_id")) & when).select(
+        "reservation_id", "old_status", F.lit("completed").alias("new_status"), "order_key", "completed_at"
+    )
+
+
+def reservation_completions(d: Domain) -> DataFrame:
+    """Batch twin of ``feeds.reservation_completions_stream``."""
+    changes = order_changes(d).withColumn("closed_at", instant_of(F.col("changed_at")))
+    return completions(changes, d.reservations.withColumn("made_at", instant_of(F.col("created_at"))))
+
+
 # ------------------------------------------------------------------------ I4
 def incoming_lines(d: Domain, lines: DataFrame | None = None) -> DataFrame:
     """Order lines as submitted: price missing (NULL) on returned lines, 0 on first lines of flag A."""
@@ -216,7 +256,7 @@ def audit_diff(before: DataFrame, after: DataFrame, key: str, table_name: str, w
     out = j.where(action.isNotNull()).select(
         F.lit(table_name).alias("table_name"), action.alias("action"), F.col(key).alias("record_id"),
         F.when(action == "UPDATE", changed).alias("changed_columns"),
-        *([F.to_json("_old").alias("old_value"), F.to_json("_new").alias("new_value")] if with_json else []),
+        *([F.to_json(f"_{side}", {"ignoreNullFields": "false"}).alias(f"{side}_value") for side in ("old", "new")] if with_json else []),
     )
     return out
 
@@ -235,4 +275,4 @@ def customer_audit(d: Domain) -> DataFrame:
         F.col("name").alias("customer_name"), F.col("phone").alias("phone_number"), "email",
         F.lit(0).alias("loyalty_points"), F.lit(True).alias("is_active"),
     )
-    return audit_diff(before, kept.unionByName(new), "customer_id", "customers", with_json=False)
+    return audit_diff(before, kept.unionByName(new), "customer_id", "customers")

@@ -11,8 +11,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tavola.operators.basket import top_rules
+from tavola.operators.basket import shared_order_dishes, top_rules
 from tavola.operators.reports import dish_sales, money_text, revenue_latest_days
+from tavola.operators.staged import staged
 from tavola.sources.domain import Domain
 
 # Insight texts of the dashboard (rule B) and our English wording of rule set A.
@@ -23,9 +24,12 @@ OVERLOAD_THRESHOLD = 30
 INSIGHT_COLUMNS = ["position", "category", "title", "message", "color"]
 
 
-def kpis(d: Domain) -> DataFrame:
-    """One row: latest revenue date's revenue and bills, occupancy %, guests at occupied tables."""
-    latest = revenue_latest_days(d, 1)
+def kpis(d: Domain, latest: DataFrame | None = None) -> DataFrame:
+    """One row: latest revenue date's revenue and bills, occupancy %, guests at occupied tables.
+
+    ``latest`` may hold the newest revenue dates already.
+    """
+    latest = revenue_latest_days(d, 1) if latest is None else latest.orderBy(F.col("date").desc_nulls_last()).limit(1)
     t = d.dining_tables
     occupied = F.col("status") == "occupied"
     agg = t.agg(
@@ -58,9 +62,13 @@ def _row(position: int, category: str, title: Column, message: Column, color: Co
     ]
 
 
-def insights_dashboard(d: Domain) -> DataFrame:
-    """Rule set B: best pair, weakest of the top-8 dishes, constant staffing notice."""
-    best = top_rules(d, 1).select(
+def insights_dashboard(d: Domain, facts: DataFrame | None = None) -> DataFrame:
+    """Rule set B: best pair, weakest of the top-8 dishes, constant staffing notice.
+
+    Pairs and sales read one (order, dish) aggregate, so the order lines are scanned once.
+    """
+    facts = shared_order_dishes(d) if facts is None else facts
+    best = top_rules(d, 1, facts).select(
         *_row(
             1, "Revenue Optimization",
             F.concat(F.lit("Combo Suggestion: "), F.col("source"), F.lit(" & "), F.col("target")),
@@ -69,7 +77,7 @@ def insights_dashboard(d: Domain) -> DataFrame:
             "green",
         )
     )
-    top8 = dish_sales(d).orderBy(F.col("total_sold").desc(), F.col("dish_id")).limit(8)
+    top8 = dish_sales(d, facts).orderBy(F.col("total_sold").desc(), F.col("dish_id")).limit(8)
     last = top8.orderBy(F.col("total_sold").asc(), F.col("dish_id").desc()).limit(1).select(
         *_row(
             2, "Menu Strategy",
@@ -85,8 +93,12 @@ def insights_dashboard(d: Domain) -> DataFrame:
     return best.unionByName(last).unionByName(staffing)
 
 
-def insights_rules(d: Domain, day: str = "2001-08-01") -> DataFrame:
-    """Rule set A: busiest hour of ``day``, least-sold dish, up to two upsell / weak-combo rules."""
+def insights_rules(d: Domain, day: str = "2001-08-01", facts: DataFrame | None = None) -> DataFrame:
+    """Rule set A: busiest hour of ``day``, least-sold dish, up to two upsell / weak-combo rules.
+
+    Pairs and sales read one (order, dish) aggregate, so the order lines are scanned once.
+    """
+    facts = shared_order_dishes(d) if facts is None else facts
     start = F.lit(day).cast("date").cast("timestamp_ntz")
     orders = d.dine_orders.where(
         (F.col("order_day") >= start - F.expr("INTERVAL 1 DAY"))
@@ -107,7 +119,7 @@ def insights_rules(d: Domain, day: str = "2001-08-01") -> DataFrame:
             F.when(overload, "yellow").otherwise("blue"),
         )
     )
-    low = dish_sales(d).orderBy(F.col("total_sold"), F.col("dish_id")).limit(1).select(
+    low = dish_sales(d, facts).orderBy(F.col("total_sold"), F.col("dish_id")).limit(1).select(
         *_row(
             2, "Menu",
             F.concat(F.lit("Slow seller '"), F.col("dish_name"), F.lit("'")),
@@ -117,7 +129,8 @@ def insights_rules(d: Domain, day: str = "2001-08-01") -> DataFrame:
         )
     )
     # window over the two selected rules only
-    rules = top_rules(d, 2).withColumn("_k", F.row_number().over(
+    # the two rules feed two branches: written once, two rows
+    rules = staged(top_rules(d, 2, facts), "top-rules").withColumn("_k", F.row_number().over(
         Window.orderBy(F.col("confidence").desc(), F.col("pair_count").desc(), "source", "target")))
     strong = rules.where(F.col("confidence_pct") >= 80).select(
         *_row(0, "Revenue Optimization",

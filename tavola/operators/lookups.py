@@ -6,7 +6,7 @@ whole-stage codegen and need no shuffle.  Keywords are parameters.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tavola.functions.scalar import (
@@ -96,14 +96,14 @@ def invoice_search(d: Domain, keyword: str = "walk") -> DataFrame:
 
 
 # ------------------------------------------------------------------------ B6
-def menu_search(d: Domain, category: str = "All", keyword: str = "ring") -> DataFrame:
-    """Menu rows of a category ('All' = any) whose name contains the keyword (case-insensitive)."""
+def menu_search(d: Domain, category: str | Column = "All", keyword: str = "ring") -> DataFrame:
+    """Menu rows of a category ('All' = any; a column or scalar names one too) whose name contains the keyword (case-insensitive)."""
     m = d.menu_items.select(
         F.col("dish_id").alias("id"), F.col("dish_name").alias("name"), "price",
         F.trim(F.coalesce("category_name", F.lit("Uncategorized"))).alias("category"),
     )
     cond = F.lower("name").contains(keyword.lower())
-    if category != "All":
+    if not isinstance(category, str) or category != "All":
         cond = cond & (F.coalesce(F.col("category"), F.lit("Others")) == category)
     return m.where(cond)
 
@@ -176,7 +176,7 @@ def menu_item(d: Domain, dish_id: int) -> DataFrame:
     return menu_catalog(d, ordering="id").where(F.col("id") == dish_id)
 
 
-def invoice_detail(d: Domain, invoice_id: int) -> dict[str, DataFrame]:
+def invoice_detail(d: Domain, invoice_id: int | Column) -> dict[str, DataFrame]:
     """Point lookup of one invoice: header, items and split payments (filters reach every scan)."""
     from tavola.operators.views import invoice_list, receipt_items, split_payments
 
@@ -219,6 +219,27 @@ def latest_invoices(d: Domain, n: int = 50) -> DataFrame:
 
 
 # ---------------------------------------------------------------- SQL API
+def register_table_functions(d: Domain) -> None:
+    """The revenue procedure as a SQL table function: ``SELECT * FROM monthly_revenue(2001, 7)``."""
+    from tavola.operators.reports import paid_invoices
+
+    paid_invoices(d).createOrReplaceTempView("tavola_paid_invoices")
+    d.spark.sql("""
+        CREATE OR REPLACE TEMPORARY FUNCTION monthly_revenue(in_year INT, in_month INT)
+        RETURNS TABLE (day DATE, bills BIGINT, revenue DECIMAL(18,2), discounts DECIMAL(18,2), avg_bill DECIMAL(18,2))
+        RETURN SELECT payment_date, count(invoice_id), CAST(sum(total_amount) AS DECIMAL(18,2)), CAST(sum(discount_amount) AS DECIMAL(18,2)),
+          CAST(CAST((CAST(sum(total_amount) * 100 AS BIGINT) * 2 + count(invoice_id)) DIV (2 * count(invoice_id)) AS DECIMAL(18,0)) * 0.01 AS DECIMAL(18,2))
+        FROM tavola_paid_invoices
+        WHERE payment_date >= make_date(in_year, in_month, 1) AND payment_date < add_months(make_date(in_year, in_month, 1), 1)
+        GROUP BY payment_date""")
+
+
+def monthly_revenue_via_sql(d: Domain) -> DataFrame:
+    """J6 from SQL: the table function in FROM."""
+    register_table_functions(d)
+    return d.spark.sql("SELECT * FROM monthly_revenue(2001, 7) ORDER BY day")
+
+
 def discounts_via_sql(d: Domain) -> DataFrame:
     """The scalar rules through Spark SQL: SQL-language functions over a table given by name."""
     from tavola.functions.scalar import register_sql_functions

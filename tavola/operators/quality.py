@@ -1,48 +1,54 @@
-"""Constraint report: the schema's NOT NULL / CHECK / ENUM / UNIQUE / FOREIGN KEY rules as queries.
-
-Parquet enforces none of them, so each rule is one aggregate (filter + count,
-duplicate-key count, or left-anti join count) and all rules are combined with
-``unionByName`` into one result with a row per rule (0 = clean).
+"""Constraint report: the schema's NOT NULL / CHECK / ENUM / length / UNIQUE / FOREIGN KEY rules as one query.
+
+Parquet enforces none of them.  Every table is scanned once: a row gives one fact for each rule that it
+breaks, one for each key that must be unique, one for each reference and, where others refer to the
+table, one for its primary key.  Facts are counted by (table, rule, key) with partial sums before the only
+shuffle of the rows, so a key of very many rows is one row there.  The counts are written once, and from
+them come broken rows (their sum), repeated keys (counts over one) and orphans (references without a
+primary key).  The result has a row for each rule (0 = clean).
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass, field
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tavola.operators.staged import staged
 from tavola.sources.domain import (
     INVOICE_STATUSES, ORDER_STATUSES, PAYMENT_METHODS, RESERVATION_STATUSES, STAFF_ROLES, TABLE_STATUSES, Domain,
 )
 
+ROW, UNIQUE, REFERENCE, PRIMARY = "row", "unique", "fk", "pk"
 
-def _count(df: DataFrame, check: str, table: str) -> DataFrame:
-    return df.agg(F.count(F.lit(1)).cast("long").alias("violations")).select(
-        F.lit(check).alias("check_name"), F.lit(table).alias("table_name"), "violations"
-    )
 
+@dataclass
+class Rules:
+    """The rules of one table.  ``rows``: (name, condition of a broken row); ``references``: (column, table)."""
 
-def unique(df: DataFrame, col: str, table: str) -> DataFrame:
-    """Rows whose (non-NULL) key value occurs more than once."""
-    dup = df.where(F.col(col).isNotNull()).groupBy(col).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1)
-    return dup.agg(F.coalesce(F.sum("n"), F.lit(0)).cast("long").alias("violations")).select(
-        F.lit(f"unique:{col}").alias("check_name"), F.lit(table).alias("table_name"), "violations"
-    )
+    table: str
+    rows: list[tuple[str, Column]]
+    primary: str | None = None
+    unique: list[str] = field(default_factory=list)
+    references: list[tuple[str, str]] = field(default_factory=list)
 
+    def names(self) -> list[tuple[str, str]]:
+        return [(self.table, name) for name, _ in self.rows] + [(self.table, f"unique:{c}") for c in self.unique] + [(self.table, f"fk:{c}->{t}") for c, t in self.references]
 
-def foreign_key(child: DataFrame, col: str, parent: DataFrame, pcol: str, table: str, ref: str) -> DataFrame:
-    orphans = child.where(F.col(col).isNotNull()).select(col).join(
-        parent.select(F.col(pcol).alias(col)), col, "left_anti"
-    )
-    return _count(orphans, f"fk:{col}->{ref}", table)
+    def facts(self, df: DataFrame) -> DataFrame:
+        """(kind, parent, rule, key) of every row, from one scan."""
 
+        def fact(kind: str, parent: str, rule: str, key: Column) -> Column:
+            return F.struct(F.lit(kind).alias("kind"), F.lit(parent).alias("parent"), F.lit(rule).alias("rule"), key.cast("string").alias("key"))
 
-def row_rules(df: DataFrame, table: str, rules: list[tuple[str, Column]]) -> DataFrame:
-    """All row-level rules of one table in a single scan: one conditional count per rule, then one row per rule."""
-    agg = df.agg(*[F.count(F.when(bad, F.lit(1))).cast("long").alias(f"_r{i}") for i, (_, bad) in enumerate(rules)])
-    rows = F.explode(F.array(*[
-        F.struct(F.lit(name).alias("check_name"), F.col(f"_r{i}").alias("violations")) for i, (name, _) in enumerate(rules)
-    ]))
-    return agg.select(rows.alias("r")).select("r.check_name", F.lit(table).alias("table_name"), "r.violations")
+        keys = [fact(UNIQUE, "", f"unique:{c}", F.col(c)) for c in self.unique]
+        keys += [fact(REFERENCE, t, f"fk:{c}->{t}", F.col(c)) for c, t in self.references]
+        keys += [fact(PRIMARY, "", PRIMARY, F.col(self.primary))] if self.primary else []
+        parts = [F.filter(F.array(*keys), lambda f: f["key"].isNotNull())] if keys else []
+        if self.rows:
+            parts.append(F.array_compact(F.array(*[F.when(bad, fact(ROW, "", name, F.lit(""))) for name, bad in self.rows])))
+        return df.select(F.explode(F.concat(*parts)).alias("f")).select(F.lit(self.table).alias("table_name"), "f.*")
 
 
 def _nn(col: str) -> tuple[str, Column]:
@@ -57,41 +63,71 @@ def _en(col: str, domain: list[str]) -> tuple[str, Column]:
     return f"enum:{col}", F.col(col).isNotNull() & ~F.lower(F.col(col)).isin(*domain)
 
 
-def constraint_report(d: Domain) -> DataFrame:
-    c, t, m, r = d.customers, d.dining_tables, d.menu_items, d.reservations
-    o, od, inv, p, s, cat = d.dine_orders, d.order_details, d.invoices, d.payments, d.staff, d.categories
-    parts = [
-        # NOT NULL / CHECK / ENUM: one scan per table
-        row_rules(c, "customers", [_nn("customer_name"), _nn("phone_number"),
-                                   _ck("points_non_negative", F.col("loyalty_points") >= 0)]),
-        row_rules(m, "menu_items", [_nn("dish_name"), _ck("price_positive", F.col("price") > 0)]),
-        row_rules(o, "orders", [_nn("table_id"), _en("status", ORDER_STATUSES)]),
-        row_rules(od, "order_details", [_nn("dish_id"), _ck("quantity_min_1", F.col("quantity") >= 1)]),
-        row_rules(t, "tables", [_ck("capacity_1_20", F.col("capacity").between(1, 20)), _en("status", TABLE_STATUSES)]),
-        row_rules(r, "reservations", [_ck("guest_count_min_1", F.col("guest_count") >= 1),
-                                      _en("status", RESERVATION_STATUSES)]),
-        row_rules(p, "payments", [_ck("amount_positive", F.col("amount") > 0), _en("method", PAYMENT_METHODS)]),
-        row_rules(inv, "invoices", [_en("payment_method", PAYMENT_METHODS), _en("status", INVOICE_STATUSES)]),
-        row_rules(s, "staff", [_en("role", STAFF_ROLES)]),
-        # UNIQUE: one aggregate per key
-        unique(c, "phone_number", "customers"),
-        unique(c, "email", "customers"),
-        unique(t, "table_number", "tables"),
-        unique(cat, "category_name", "categories"),
-        unique(inv, "order_id", "invoices"),
-        # FOREIGN KEY: one anti-join per reference
-        foreign_key(o, "table_id", t, "table_id", "orders", "tables"),
-        foreign_key(o, "customer_id", c, "customer_id", "orders", "customers"),
-        foreign_key(od, "order_id", o, "order_id", "order_details", "orders"),
-        foreign_key(od, "dish_id", m, "dish_id", "order_details", "menu_items"),
-        foreign_key(m, "category_id", cat, "category_id", "menu_items", "categories"),
-        foreign_key(r, "customer_id", c, "customer_id", "reservations", "customers"),
-        foreign_key(r, "table_id", t, "table_id", "reservations", "tables"),
-        foreign_key(r, "staff_id", s, "staff_id", "reservations", "staff"),
-        foreign_key(inv, "order_id", o, "order_id", "invoices", "orders"),
-        foreign_key(p, "invoice_id", inv, "invoice_id", "payments", "invoices"),
+def _len(col: str, most: int) -> tuple[str, Column]:
+    return f"length:{col}", F.char_length(F.col(col)) > most
+
+
+def schema_rules() -> list[Rules]:
+    """All rules of the schema; fixed values: limits and lengths of its columns."""
+    c = F.col
+    return [
+        Rules("categories", [_nn("category_name"), _len("category_name", 100)], "category_id", ["category_name"]),
+        Rules("customers", [_nn("customer_name"), _nn("phone_number"), _ck("points_non_negative", c("loyalty_points") >= 0), _len("customer_name", 150),
+                            _len("phone_number", 20), _len("email", 255)], "customer_id", ["phone_number", "email"]),
+        Rules("staff", [_nn("staff_name"), _nn("role"), _en("role", STAFF_ROLES), _ck("salary_positive", c("salary") > 0), _len("staff_name", 150),
+                        _len("phone_number", 20)], "staff_id", ["phone_number"]),
+        Rules("tables", [_nn("table_number"), _nn("capacity"), _ck("capacity_1_20", c("capacity").between(1, 20)), _en("status", TABLE_STATUSES), _len("location", 100)],
+              "table_id", ["table_number"]),
+        Rules("menu_items", [_nn("category_id"), _nn("dish_name"), _nn("price"), _ck("price_positive", c("price") > 0), _len("dish_name", 200)], "dish_id", [],
+              [("category_id", "categories")]),
+        Rules("reservations", [_nn("customer_id"), _nn("table_id"), _nn("reserved_at"), _nn("guest_count"), _ck("guest_count_min_1", c("guest_count") >= 1),
+                               _en("status", RESERVATION_STATUSES)], "reservation_id", [],
+              [("customer_id", "customers"), ("table_id", "tables"), ("staff_id", "staff")]),
+        Rules("orders", [_nn("table_id"), _en("status", ORDER_STATUSES)], "order_id", [],
+              [("reservation_ref", "reservations"), ("table_id", "tables"), ("customer_id", "customers"), ("staff_id", "staff")]),
+        Rules("order_details", [_nn("order_id"), _nn("dish_id"), _nn("quantity"), _nn("unit_price"), _ck("quantity_min_1", c("quantity") >= 1)], None, [],
+              [("order_id", "orders"), ("dish_id", "menu_items")]),
+        Rules("invoices", [_nn("order_id"), _nn("sub_total"), _nn("total_amount"), _en("payment_method", PAYMENT_METHODS), _en("status", INVOICE_STATUSES)], "invoice_id",
+              ["order_id"], [("order_id", "orders"), ("customer_id", "customers")]),
+        Rules("payments", [_nn("invoice_id"), _nn("amount"), _ck("amount_positive", c("amount") > 0), _en("method", PAYMENT_METHODS)], None, [],
+              [("invoice_id", "invoices")]),
+        Rules("table_status_log", [_nn("table_id"), _en("old_status", TABLE_STATUSES), _en("new_status", TABLE_STATUSES), _len("changed_by", 100)], None, [],
+              [("table_id", "tables")]),
     ]
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
+
+
+def schema_tables(d: Domain) -> dict[str, DataFrame]:
+    """The tables that the rules are about; invoices are written once where payments are derived from them."""
+    from tavola.operators.changes import status_log
+
+    if "payments" not in d.__dict__:
+        d = d.with_tables(invoices=staged(d.invoices, "invoices"))
+    return {"categories": d.categories, "customers": d.customers, "staff": d.staff, "tables": d.dining_tables, "menu_items": d.menu_items,
+            "reservations": d.reservations, "orders": d.dine_orders, "order_details": d.order_details, "invoices": d.invoices, "payments": d.payments,
+            "table_status_log": status_log(d)}
+
+
+def fact_counts(tables: dict[str, DataFrame], rules: list[Rules]) -> DataFrame:
+    """(table_name, kind, parent, rule, key, n): the facts of all tables, counted; one scan for each table."""
+    facts = None
+    for r in rules:
+        own = r.facts(tables[r.table])
+        facts = own if facts is None else facts.unionByName(own)
+    return facts.groupBy("table_name", "kind", "parent", "rule", "key").agg(F.count(F.lit(1)).alias("n"))
+
+
+def violations(counts: DataFrame, rules: list[Rules]) -> DataFrame:
+    """(check_name, table_name, violations) of every rule."""
+    broken = counts.where((F.col("kind") == ROW) | ((F.col("kind") == UNIQUE) & (F.col("n") > 1))).select("table_name", "rule", "n")
+    known = counts.where(F.col("kind") == PRIMARY).select(F.col("table_name").alias("parent"), "key")
+    orphans = counts.where(F.col("kind") == REFERENCE).join(known, ["parent", "key"], "left_anti").select("table_name", "rule", "n")
+    found = broken.unionByName(orphans).groupBy("table_name", "rule").agg(F.sum("n").cast("long").alias("n"))
+    names = counts.sparkSession.createDataFrame([n for r in rules for n in r.names()], "table_name string, rule string")
+    return names.join(found, ["table_name", "rule"], "left").select(
+        F.col("rule").alias("check_name"), "table_name", F.coalesce("n", F.lit(0).cast("long")).alias("violations")
+    )
+
+
+def constraint_report(d: Domain) -> DataFrame:
+    rules = schema_rules()
+    return violations(staged(fact_counts(schema_tables(d), rules), "facts"), rules)

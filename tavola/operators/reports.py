@@ -8,7 +8,7 @@ per dish / day / customer instead of one row per line.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tavola.functions.scalar import MONEY_SUM, dec, hour_label
@@ -75,6 +75,7 @@ def paid_invoices(d: Domain) -> DataFrame:
 
 
 def daily_revenue(d: Domain) -> DataFrame:
+    """Paid revenue by day; ``position`` counts from the newest day."""
     agg = paid_invoices(d).groupBy(F.col("payment_date").alias("revenue_date")).agg(
         F.count("invoice_id").alias("invoice_count"),
         F.sum("sub_total").cast(MONEY_SUM).alias("gross_revenue"),
@@ -83,7 +84,8 @@ def daily_revenue(d: Domain) -> DataFrame:
         F.sum("tax_amount").cast(MONEY_SUM).alias("total_tax"),
         F.sum("total_amount").cast(MONEY_SUM).alias("net_revenue"),
     )
-    return agg.withColumn("avg_bill_amount", _avg_money(F.col("net_revenue"), F.col("invoice_count")))
+    agg = agg.withColumn("avg_bill_amount", _avg_money(F.col("net_revenue"), F.col("invoice_count")))
+    return global_rank(agg, [F.col("revenue_date").desc_nulls_last()], "position", method="row_number")
 
 
 # ------------------------------------------------------------------------ D3
@@ -102,8 +104,27 @@ def monthly_revenue(d: Domain, year: int = 2001, month: int = 7) -> DataFrame:
 
 
 # ---------------------------------------------------------------------- D7/D6
+def latest_months(invoices: DataFrame, n: int) -> DataFrame:
+    """Of invoices stored by month, the newest months that hold ``n`` paid dates (or all months).
+
+    Months come from the file listing; each look reads twice as many of the newest partitions as the one before, so
+    history that the report doesn't show is not read.
+    """
+    months = sorted({part.split("=", 1)[1] for f in invoices.inputFiles() for part in f.split("/") if part.startswith("payment_month=")}, reverse=True)
+    months = [m for m in months if not m.startswith("__HIVE")]
+    taken = 1
+    while taken < len(months):
+        some = invoices.where(F.col("payment_month") >= F.lit(months[taken - 1]).cast("date"))
+        if some.where(F.col("status") == "paid").select("payment_date").distinct().limit(n).count() >= n:
+            return some
+        taken *= 2
+    return invoices
+
+
 def revenue_latest_days(d: Domain, n: int = 7) -> DataFrame:
     """Paid revenue of the latest ``n`` dates that have revenue (top-k is the feature)."""
+    if "payment_month" in d.invoices.columns:  # stored layout
+        d = d.with_tables(invoices=latest_months(d.invoices, n))
     agg = paid_invoices(d).groupBy(F.col("payment_date").alias("date")).agg(
         F.count("invoice_id").alias("order_count"),
         F.sum("total_amount").cast(MONEY_SUM).alias("daily_revenue"),
@@ -115,28 +136,33 @@ def _period_rows(df: DataFrame, period: Column) -> DataFrame:
     g = df.groupBy(period.alias("period")).agg(
         F.sum("order_count").cast("long").alias("orders"),
         F.sum("daily_revenue").cast(MONEY_SUM).alias("gross"),
+        F.max("date").alias("date"),
     )
     return _money_columns(g)
 
 
 def _money_columns(g: DataFrame) -> DataFrame:
+    """The report's columns; ``position`` counts from the newest period (a window over the report's few rows)."""
     gross = F.col("gross").cast("double")
     return g.select(
-        "period", "orders", "gross",
+        F.row_number().over(Window.orderBy(F.col("date").desc())).alias("position"), "period", "orders", "gross",
         money_text(gross * F.lit(0.92)).alias("net_text"),
         money_text(gross * F.lit(0.08)).alias("tax_text"),
         money_text(gross).alias("gross_text"),
     )
 
 
-def revenue_report(d: Domain, grain: str = "week", dates: int = 30, day_rows: int = 7) -> DataFrame:
-    """Dashboard revenue report over the latest ``dates`` revenue dates, by day / ISO week / month."""
-    latest = revenue_latest_days(d, dates)
+def revenue_report(d: Domain, grain: str = "week", dates: int = 30, day_rows: int = 7, latest: DataFrame | None = None) -> DataFrame:
+    """Dashboard revenue report over the latest ``dates`` revenue dates, by day / ISO week / month.
+
+    ``latest`` may hold those dates already (``revenue_latest_days``), for several reports to share.
+    """
+    latest = revenue_latest_days(d, dates) if latest is None else latest
     if grain == "day":
         rows = latest.orderBy(F.col("date").desc()).limit(day_rows).select(
             F.col("date").cast("string").alias("period"),
             F.col("order_count").cast("long").alias("orders"),
-            F.col("daily_revenue").alias("gross"),
+            F.col("daily_revenue").alias("gross"), "date",
         )
         return _money_columns(rows)
     if grain == "week":
@@ -149,14 +175,14 @@ def revenue_report(d: Domain, grain: str = "week", dates: int = 30, day_rows: in
 
 
 # ---------------------------------------------------------------------- D8/D9/D19
-def dish_sales(d: Domain) -> DataFrame:
-    """All-time quantity per dish (inner join: dishes never sold do not appear)."""
-    per_dish = d.order_details.groupBy("dish_id").agg(F.sum("quantity").cast("long").alias("total_sold"))
+def dish_sales(d: Domain, facts: DataFrame | None = None) -> DataFrame:
+    """All-time quantity per dish (inner join: dishes never sold do not appear); ``facts``: see ``basket.shared_order_dishes``."""
+    per_dish = (d.order_details if facts is None else facts).groupBy("dish_id").agg(F.sum("quantity").cast("long").alias("total_sold"))
     return per_dish.join(d.menu_items.select("dish_id", "dish_name", "price"), "dish_id")
 
 
-def top_dishes(d: Domain, n: int = 5) -> DataFrame:
-    return dish_sales(d).orderBy(F.col("total_sold").desc(), F.col("dish_id")).limit(n).select(
+def top_dishes(d: Domain, n: int = 5, facts: DataFrame | None = None) -> DataFrame:
+    return dish_sales(d, facts).orderBy(F.col("total_sold").desc(), F.col("dish_id")).limit(n).select(
         "dish_id", "dish_name", "total_sold"
     )
 
@@ -167,11 +193,9 @@ def slowest_dish(d: Domain) -> DataFrame:
     )
 
 
-def menu_performance(d: Domain, n: int = 8) -> DataFrame:
+def menu_performance(d: Domain, n: int = 8, facts: DataFrame | None = None) -> DataFrame:
     """Top-n table: position, revenue = menu price x units, share of the n rows, status."""
-    from pyspark.sql import Window
-
-    top = dish_sales(d).orderBy(F.col("total_sold").desc(), F.col("dish_id")).limit(n)
+    top = dish_sales(d, facts).orderBy(F.col("total_sold").desc(), F.col("dish_id")).limit(n)
     # the window runs on the n returned rows only (n is the report size)
     w_all = Window.partitionBy()
     w_pos = Window.orderBy(F.col("total_sold").desc(), F.col("dish_id"))

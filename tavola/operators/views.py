@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tavola.functions.scalar import MONEY_SUM, mask_phone, membership_tier, payment_label
+from tavola.operators.ranking import global_rank
 from tavola.operators.reports import money_text, paid_invoices, ts
 from tavola.sources.domain import Domain
 
@@ -132,11 +133,11 @@ def _menu_ordering(kind: str) -> list[Column]:
     }[kind]()
 
 
-def menu_catalog(d: Domain, ordering: str = "category_name") -> DataFrame:
-    """Menu with display defaults; ordered by category then name (or newest-first / id)."""
+def menu_rows(d: Domain) -> DataFrame:
+    """Menu with display defaults."""
     m = d.menu_items.select("dish_id", "category_id", "dish_name", "price", "description", "preparation_time", "is_available")
     cats = d.categories.select("category_id", F.col("category_name").alias("_cat"))
-    out = m.join(cats, "category_id", "left").select(
+    return m.join(cats, "category_id", "left").select(
         F.col("dish_id").alias("id"),
         F.col("dish_name").alias("name"),
         F.coalesce(F.col("price"), F.lit(0).cast("decimal(10,2)")).alias("price"),
@@ -146,7 +147,17 @@ def menu_catalog(d: Domain, ordering: str = "category_name") -> DataFrame:
         .otherwise(F.col("preparation_time")).cast("int").alias("prep_time"),
         F.coalesce(F.col("is_available"), F.lit(False)).alias("is_available"),
     )
-    return out.orderBy(*_menu_ordering(ordering))
+
+
+def menu_catalog(d: Domain, ordering: str = "category_name") -> DataFrame:
+    """Menu with display defaults; ordered by category then name (or newest-first / id)."""
+    return menu_rows(d).orderBy(*_menu_ordering(ordering))
+
+
+def menu_listed(d: Domain, ordering: str) -> DataFrame:
+    """The menu with the position of every dish in the newest-first or the id order."""
+    key = F.col("id").desc() if ordering == "newest" else F.col("id").asc()
+    return global_rank(menu_rows(d), [key], "position", method="row_number")
 
 
 # ---------------------------------------------------------------------- C5/E4
@@ -206,14 +217,17 @@ def floor_view(d: Domain) -> DataFrame:
 
 
 # ------------------------------------------------------------------------ L2
-def dashboard_floor(d: Domain) -> DataFrame:
-    """Dashboard floor: latest non-closed order with a known customer; total of all non-closed orders."""
+def dashboard_floor(d: Domain, facts: DataFrame | None = None) -> DataFrame:
+    """Dashboard floor: latest non-closed order with a known customer; total of all non-closed orders.
+
+    ``facts``: see ``basket.shared_order_dishes``.
+    """
     open_orders = d.dine_orders.where(F.col("status") != "closed")
     known = open_orders.join(d.customers.select("customer_id", "customer_name"), "customer_id")
     latest = known.groupBy("table_id").agg(
         F.max_by("customer_name", F.struct("order_time", "order_id")).alias("customer_name")
     )
-    lines = d.order_details.select("order_id", "line_total").join(open_orders.select("order_id", "table_id"), "order_id")
+    lines = (d.order_details if facts is None else facts).select("order_id", "line_total").join(open_orders.select("order_id", "table_id"), "order_id")
     totals = lines.groupBy("table_id").agg(F.sum("line_total").cast(MONEY_SUM).alias("last_total"))
     t = d.dining_tables.select("table_id", "status", "capacity", "location")
     j = t.join(latest, "table_id", "left").join(totals, "table_id", "left")
@@ -310,6 +324,23 @@ def receipts(d: Domain) -> DataFrame:
     return head.join(items, "invoice_id", "left").join(pays, "invoice_id", "left")
 
 
+def receipt_texts(d: Domain) -> DataFrame:
+    """The receipt of every invoice with its items and payments as text lines, in the order of the bill."""
+    doc = receipts(d)
+    c = d.customers.select("customer_id", "customer_name")
+    named = doc.where(F.col("customer_id").isNotNull()).join(c, "customer_id", "left")
+    walk_ins = doc.where(F.col("customer_id").isNull()).withColumn("customer_name", F.lit(None).cast("string"))
+    item = F.transform("items", lambda i: F.concat(i["name"], F.lit(" x "), i["qty"].cast("string"), F.lit(" = "), i["line_total"].cast(MONEY_SUM).cast("string")))
+    paid = F.transform("payments", lambda p: F.concat(p["payment_method"], F.lit(" "), p["amount"].cast("string")))
+    return named.unionByName(walk_ins).select(
+        "invoice_id", "table_id", F.date_format("payment_date", "yyyy-MM-dd").alias("payment_date"),
+        F.coalesce(F.when(F.col("customer_name") != "", F.col("customer_name")), F.lit("Walk-in Guest")).alias("customer_name"),
+        "sub_total", "discount_amount", "service_charge", "tax_amount", "total_amount", "status",
+        F.coalesce(F.size("items"), F.lit(0)).cast("long").alias("item_count"),
+        F.coalesce(F.array_join(item, "; "), F.lit("")).alias("items"), F.array_join(paid, "; ").alias("payments"),
+    )
+
+
 # ------------------------------------------------------------------------ D21
 def receipt_change(d: Domain) -> DataFrame:
     """Paid = Σ payments, change = max(0, paid - total) per invoice."""

@@ -10,6 +10,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tavola.operators import reports as R
 from tavola.operators import views as V
@@ -17,9 +18,12 @@ from tavola.operators import lookups as L
 from tavola.operators import basket as B
 from tavola.operators import insights as I
 from tavola.operators import jobs as J
+from tavola.operators import menu_writes as M
+from tavola.operators import settlement as S
 from tavola.operators import changes as C
 from tavola.operators import quality as Q
 from tavola.operators import defaults as DF
+from tavola.plans.dashboard import dashboard_rows
 from tavola.sources.domain import Domain
 
 QueryFn = Callable[[Domain], DataFrame]
@@ -82,6 +86,8 @@ register("category_list", L.category_list)
 register("basket_pairs", B.basket_pairs)
 register("basket_rules", B.basket_rules)
 register("basket_fpgrowth", B.basket_fpgrowth)
+register("basket_itemsets", B.basket_itemsets)
+register("basket_set_rules", B.basket_set_rules)
 register("kpis", I.kpis)
 register("insights_rules", I.insights_rules)
 register("insights_dashboard", I.insights_dashboard)
@@ -128,6 +134,24 @@ register("menu_quick_update", J.menu_quick_update)
 register("table_update", J.table_update)
 register("table_update_closures", J.table_update_closures)
 
+# results of a batch of checkouts and of full menu writes; receipts, menu orders, point look-ups, table function
+register("checkout_invoices", S.checkout_invoices)
+register("checkout_orders", S.checkout_orders)
+register("checkout_tables", S.checkout_tables)
+register("checkout_points", S.checkout_points)
+register("menu_created", M.menu_created)
+register("menu_categories_created", M.menu_categories_created)
+register("menu_update", M.menu_update)
+register("receipts", V.receipt_texts)
+register("menu_newest", lambda d: V.menu_listed(d, "newest"))
+register("menu_by_id", lambda d: V.menu_listed(d, "id"))
+register("menu_search_category", lambda d: L.menu_search(d, d.menu_items.select(F.min("category_name")).scalar(), "e"))
+register("menu_item", lambda d: L.menu_item(d, 77))
+register("invoice_detail", lambda d: L.invoice_detail(d, d.invoices.select(F.max("invoice_id")).scalar())["items"])
+register("monthly_revenue_sql", L.monthly_revenue_via_sql)
+register("dashboard", dashboard_rows)
+register("reservation_completions", C.reservation_completions)
+
 
 def run(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     if name in CATALOG:

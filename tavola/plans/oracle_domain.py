@@ -49,7 +49,9 @@ CTES: dict[str, str] = {
                c_mktsegment <> 'AUTOMOBILE' AS is_active
         FROM customer""",
     "staff": f"""
-        SELECT CAST(n_nationkey AS BIGINT) AS staff_id, 'Staff ' || n_name AS staff_name, {_ROLE} AS role
+        SELECT CAST(n_nationkey AS BIGINT) AS staff_id, 'Staff ' || n_name AS staff_name, {_ROLE} AS role,
+               CASE WHEN n_nationkey % 6 <> 0 THEN '08' || lpad(CAST(n_nationkey AS VARCHAR), 8, '0') END AS phone_number,
+               CAST(n_regionkey * 250 + 900 AS DECIMAL(10,2)) AS salary
         FROM nation""",
     "dining_tables": f"""
         SELECT s_suppkey AS table_id, CAST(s_suppkey + 1 AS INTEGER) AS table_number,
@@ -166,6 +168,17 @@ CTES: dict[str, str] = {
         SELECT p_partkey AS request_id, p_partkey AS dish_id,
                CASE WHEN p_partkey % 2 = 0 THEN lower(p_type) ELSE p_brand END AS category
         FROM part""",
+    "menu_writes": """
+        SELECT p_partkey AS request_id,
+               CASE WHEN p_partkey % 11 = 0 THEN NULL WHEN p_partkey % 22 = 1 THEN (SELECT max(p_partkey) FROM part) + 1 + p_partkey % 50
+                    ELSE (p_partkey * 7) % (SELECT count(*) FROM part) END AS dish_id,
+               CASE WHEN p_partkey % 11 = 0 OR p_partkey % 4 = 0 THEN 'Special ' || p_name END AS name,
+               CASE WHEN p_partkey % 11 = 0 OR p_partkey % 3 = 0 THEN CASE WHEN p_partkey % 2 = 0 THEN lower(p_type) ELSE 'Chef ' || p_brand END END AS category,
+               CASE WHEN p_partkey % 11 = 0 OR p_partkey % 5 = 0 THEN CAST(CAST(p_retailprice AS DECIMAL(10,2)) + 1.50 AS DECIMAL(10,2)) END AS price,
+               CASE WHEN p_partkey % 11 = 0 OR p_partkey % 7 = 0 THEN p_partkey % 14 <> 0 END AS is_available,
+               CASE WHEN (p_partkey % 11 = 0 AND p_partkey % 2 = 0) OR p_partkey % 6 = 0 THEN p_brand END AS description,
+               CASE WHEN p_partkey % 11 = 0 OR p_partkey % 8 = 0 THEN CAST(p_size + 1 AS INTEGER) END AS prep_time
+        FROM part""",
     "customer_updates": """
         SELECT event_id AS request_id, user_id AS customer_id, CAST(NULL AS VARCHAR) AS name, CAST(NULL AS VARCHAR) AS phone,
                CASE WHEN event_id % 3 = 0 THEN 'new' || CAST(event_id AS VARCHAR) || '@mail.example' END AS email,

@@ -155,6 +155,8 @@ class Domain:
             F.col("n_nationkey").cast("long").alias("staff_id"),
             F.concat(F.lit("Staff "), F.col("n_name")).alias("staff_name"),
             pick(STAFF_ROLES, F.col("n_nationkey") % 5).alias("role"),
+            F.when(F.col("n_nationkey") % 6 != 0, F.concat(F.lit("08"), F.lpad(F.col("n_nationkey").cast("string"), 8, "0"))).alias("phone_number"),
+            (F.col("n_regionkey") * 250 + 900).cast(MONEY).alias("salary"),
         )
 
     @loaded
@@ -387,6 +389,26 @@ class Domain:
             F.when(F.col("p_partkey") % 2 == 0, F.lower("p_type")).otherwise(F.col("p_brand")).alias("category"),
         )
 
+    @cached_property
+    def menu_writes(self) -> DataFrame:
+        """Menu editor requests: a new dish for every 11th part, else a partial update of some dish (NULL = leave unchanged);
+        every 22nd request changes a dish that the batch itself creates."""
+        p, n = self.raw("part"), self.part_count()
+        key = F.col("p_partkey")
+        new = key % 11 == 0
+        max_id = self.raw("part").select(F.max("p_partkey")).scalar()
+        target = F.when(key % 22 == 1, max_id + 1 + key % 50).otherwise((key * 7) % n)
+        return p.select(
+            key.alias("request_id"),
+            F.when(~new, target).alias("dish_id"),
+            F.when(new | (key % 4 == 0), F.concat(F.lit("Special "), F.col("p_name"))).alias("name"),
+            F.when(new | (key % 3 == 0), F.when(key % 2 == 0, F.lower("p_type")).otherwise(F.concat(F.lit("Chef "), F.col("p_brand")))).alias("category"),
+            F.when(new | (key % 5 == 0), (F.col("p_retailprice").cast(MONEY) + dec("1.50")).cast(MONEY)).alias("price"),
+            F.when(new | (key % 7 == 0), key % 14 != 0).alias("is_available"),
+            F.when((new & (key % 2 == 0)) | (key % 6 == 0), F.col("p_brand")).alias("description"),
+            F.when(new | (key % 8 == 0), (F.col("p_size") + 1).cast("int")).alias("prep_time"),
+        )
+
     @cached_property
     def customer_updates(self) -> DataFrame:
         """Partial customer updates (NULL = leave unchanged): ``events`` of type signup."""

@@ -8,14 +8,15 @@ DataFrame, so stream and twin can be compared row for row.
 
 Stateful logic (table status from order and reservation changes) uses
 ``transformWithStateInPandas`` keyed by table: a value state for the table and a
-map state of its orders' last statuses (RocksDB state store); events older than
-the table's last applied event are late and are not applied.
+map state of its orders' last statuses (RocksDB state store), which orders leave some time after they
+were closed; events older than the table's last applied event are late and are not applied.
 """
 
 from __future__ import annotations
 
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -24,6 +25,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from tavola.operators import changes as C
+from tavola.operators.staged import new_folder
 from tavola.session import ensure_checkpoint_dir
 from tavola.sources.domain import Domain
 
@@ -37,13 +39,25 @@ def stream_table(spark: SparkSession, sf_dir: str, name: str, max_files: int | N
     return reader.load(f"{sf_dir}/{name}*.parquet")
 
 
-def run_to_table(spark: SparkSession, stream: DataFrame, name: str, output_mode: str = "append") -> DataFrame:
+@contextmanager
+def rocksdb_state(spark: SparkSession) -> Iterator[None]:
+    """The RocksDB state store (which ``transformWithState`` needs) for queries started inside; the caller's setting comes back."""
+    key = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, ROCKSDB)
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
+def run_to_table(spark: SparkSession, stream: DataFrame, name: str, output_mode: str = "append", base: str | None = None) -> DataFrame:
     """Run ``stream`` until the source is drained; return what the sink received.
 
     Checkpoint and sink live under ``spark.checkpoint.dir`` (shared storage on a
-    cluster), in a fresh folder per run.
+    cluster), in a fresh folder per run, or in ``base``, to go on with an earlier run.
     """
-    base = ensure_checkpoint_dir(spark).rstrip("/") + f"/tavola-streams/{name}-{uuid.uuid4().hex}"
+    base = base or ensure_checkpoint_dir(spark).rstrip("/") + f"/tavola-streams/{name}-{uuid.uuid4().hex}"
     if output_mode == "append":
         q = (stream.writeStream.format("parquet").option("path", f"{base}/out")
              .option("checkpointLocation", f"{base}/chk").outputMode("append")
@@ -67,28 +81,41 @@ ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvi
 TERMINAL = ("closed", "cancelled")
 
 
+#: How long an order stays in the state after it was closed or cancelled, and how late an event may come, in event time.
+KEEP_DAYS, LATE = 60, "1 day"
+HOUR_MS = 3_600_000
+
+
 class TableStatusProcessor(StatefulProcessor):
-    """Per table: the table's status, the last applied (time, seq), and a map order -> last order status.
+    """Per table: the table's status, the last applied (time, seq), and a map order -> last status and its time.
 
     Events of a micro-batch are applied in (time, seq) order.  An event not newer
     than the last applied one is late and is skipped (it would rewrite history).
     Order events change the table only on the trigger transitions; reservation
     inserts set it to reserved.  The map state keeps one small entry per order
     seen at the table (per-key entries in RocksDB, never one big value).
+
+    State ends: a closed or cancelled order sets an event-time timer, rounded up to the hour, at which the
+    watermark takes it out of the map.  An order that changes ``keep_days`` or more after it was closed is
+    taken as a new one.
     """
 
+    def __init__(self, keep_days: float = KEEP_DAYS):
+        self.keep_ms = int(keep_days * 24 * HOUR_MS)
+
     def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
         self.table = handle.getValueState("table", "status string, at_us long, seq long")
-        self.orders = handle.getMapState("orders", "order_key long", "status string")
+        self.orders = handle.getMapState("orders", "order_key long", "status string, at_us long")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         pdf = pd.concat(list(rows), ignore_index=True).sort_values(["changed_at", "seq"], kind="stable")
         status, at_us, seq = self.table.get() if self.table.exists() else (None, None, None)
         # one state read and one write per order of this micro-batch
-        touched: dict[int, str | None] = {}
+        touched: dict[int, tuple[str, int] | None] = {}
         for ok in pdf["order_key"].dropna().unique().tolist():
             k = (int(ok),)
-            touched[int(ok)] = self.orders.getValue(k)[0] if self.orders.containsKey(k) else None
+            touched[int(ok)] = self.orders.getValue(k) if self.orders.containsKey(k) else None
         changed: set[int] = set()
         out = []
         for row in pdf.itertuples(index=False):
@@ -100,8 +127,8 @@ class TableStatusProcessor(StatefulProcessor):
                 new = "reserved"
             else:
                 ok = int(row.order_key)
-                prev = touched.get(ok)
-                touched[ok] = row.order_status
+                prev = touched[ok][0] if touched.get(ok) else None
+                touched[ok] = (row.order_status, us)
                 changed.add(ok)
                 if row.order_status == "open" and prev is None:  # inserted as open
                     new = "occupied"
@@ -115,20 +142,33 @@ class TableStatusProcessor(StatefulProcessor):
             if old != new:
                 out.append((int(row.table_id), old, new, row.changed_at, sq, row.changed_by))
             status = new
+        due = set()
         for ok in changed:
-            self.orders.updateValue((ok,), (touched[ok],))
+            self.orders.updateValue((ok,), touched[ok])
+            if touched[ok][0] in TERMINAL:
+                due.add(-(-(touched[ok][1] // 1000 + self.keep_ms) // HOUR_MS) * HOUR_MS)
+        for at_ms in due:
+            self.handle.registerTimer(at_ms)
         self.table.update((status, at_us, seq))
         if out:
             yield pd.DataFrame(out, columns=["table_id", "old_status", "new_status", "changed_at", "seq", "changed_by"])
 
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        limit = (expiredTimerInfo.getExpiryTimeInMs() - self.keep_ms) * 1000
+        gone = [k for k, (status, at_us) in self.orders.iterator() if status in TERMINAL and at_us <= limit]
+        for k in gone:
+            self.orders.removeKey(k)
+        return iter(())
+
     def close(self) -> None:
         pass
 
 
-def status_log_stream(spark: SparkSession, sf_dir: str, events: DataFrame | None = None) -> DataFrame:
-    """I1/I2 as a stream: events -> per-table state (table status + order statuses) -> log of real changes."""
-    if spark.conf.get("spark.sql.streaming.stateStore.providerClass", "") != ROCKSDB:
-        spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)  # needed by transformWithState
+def status_log_stream(spark: SparkSession, sf_dir: str, events: DataFrame | None = None, keep_days: float = KEEP_DAYS, late: str = LATE) -> DataFrame:
+    """I1/I2 as a stream: events -> per-table state (table status + order statuses) -> log of real changes.
+
+    Start it inside ``rocksdb_state(spark)`` unless the session uses the RocksDB state store already.
+    """
     d = Domain(spark, sf_dir)
     n = d.dining_tables.count()  # one small count: the feed's table key is user_id % n
     e = events if events is not None else stream_table(spark, sf_dir, "events")
@@ -139,11 +179,12 @@ def status_log_stream(spark: SparkSession, sf_dir: str, events: DataFrame | None
         F.col("event_id").alias("seq"),
         C.order_event_status(F.col("event_type")).alias("order_status"),
         F.concat(F.lit("user"), F.col("user_id").cast("string")).alias("changed_by"),
-    )
+        C.instant_of(F.col("ts")).alias("event_time"),
+    ).withWatermark("event_time", late)
     tables = d.dining_tables.select("table_id", F.lower("status").alias("initial_status"))
     enriched = feed.join(tables, "table_id", "left")  # stream-static join
     return enriched.groupBy("table_id").transformWithStateInPandas(
-        statefulProcessor=TableStatusProcessor(), outputStructType=LOG_SCHEMA, outputMode="Append", timeMode="None"
+        statefulProcessor=TableStatusProcessor(keep_days), outputStructType=LOG_SCHEMA, outputMode="Append", timeMode="EventTime"
     )
 
 
@@ -156,6 +197,38 @@ def table_state_from_log(d: Domain, log: DataFrame) -> DataFrame:
     )
 
 
+# ---------------------------------------------------------------------- I3
+def feed_folder(df: DataFrame, name: str) -> DataFrame:
+    """A table written below the checkpoint folder and read as a file stream (a change log as a source)."""
+    path = new_folder(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.readStream.schema(df.schema).parquet(path)
+
+
+def reservation_completions_stream(changes: DataFrame, reservations: DataFrame, late: str = LATE, days: int = C.COMPLETION_DAYS) -> DataFrame:
+    """I3 as a stream-stream join of the order change log and the reservations, each with its watermark.
+
+    A reservation waits ``days`` days of event time for its order to close; a closing waits ``late`` for its
+    reservation.  After that the join forgets them.
+    """
+    c = changes.withColumn("closed_at", C.instant_of(F.col("changed_at"))).withWatermark("closed_at", late)
+    r = reservations.withColumn("made_at", C.instant_of(F.col("created_at"))).withWatermark("made_at", late)
+    return C.completions(c, r, days)
+
+
+def completions_to_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = Domain(spark, sf_dir)
+    stream = reservation_completions_stream(
+        feed_folder(C.order_changes(d), "order-changes"), feed_folder(d.reservations.select("reservation_id", "status", "created_at"), "reservations")
+    )
+    return run_to_table(spark, stream, "completions")
+
+
+def status_log_to_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    with rocksdb_state(spark):
+        return run_to_table(spark, status_log_stream(spark, sf_dir), "status_log")
+
+
 # ---------------------------------------------------------------------- I4
 def price_snapshot_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = Domain(spark, sf_dir)
@@ -187,7 +260,8 @@ def _final_update_rows(df: DataFrame, keys: list[str]) -> DataFrame:
 
 def stream_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
-        "stream_status_log": lambda spark, sf: run_to_table(spark, status_log_stream(spark, sf), "status_log"),
+        "stream_status_log": status_log_to_table,
+        "stream_reservation_completions": completions_to_table,
         "stream_price_snapshot": lambda spark, sf: run_to_table(spark, price_snapshot_stream(spark, sf), "price_snapshot"),
         "stream_maintenance_reject": lambda spark, sf: run_to_table(spark, maintenance_reject_stream(spark, sf), "maintenance"),
         "stream_hourly_activity": lambda spark, sf: _final_update_rows(
