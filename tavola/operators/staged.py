@@ -22,6 +22,7 @@ def staged(df: DataFrame, name: str) -> DataFrame:
 
 
 def drop_staged(spark: SparkSession) -> None:
-    """Delete every staged table of this checkpoint folder; call it when the results are written."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{ensure_checkpoint_dir(spark).rstrip('/')}/tavola-staged")
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    """Delete every staged table and finished stream of this checkpoint folder; call it when the results are written."""
+    for name in ("tavola-staged", "tavola-streams"):
+        path = spark._jvm.org.apache.hadoop.fs.Path(f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}")
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

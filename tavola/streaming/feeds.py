@@ -59,19 +59,18 @@ def run_to_table(spark: SparkSession, stream: DataFrame, name: str, output_mode:
     """
     base = base or ensure_checkpoint_dir(spark).rstrip("/") + f"/tavola-streams/{name}-{uuid.uuid4().hex}"
     if output_mode == "append":
-        q = (stream.writeStream.format("parquet").option("path", f"{base}/out")
-             .option("checkpointLocation", f"{base}/chk").outputMode("append")
-             .trigger(availableNow=True).start())
-        q.awaitTermination()
-        return spark.read.schema(stream.schema).parquet(f"{base}/out")
-    # update / complete: keep the latest row per key with foreachBatch (batch id order)
-    def sink(batch: DataFrame, batch_id: int) -> None:
-        batch.withColumn("_batch", F.lit(batch_id)).write.mode("append").parquet(f"{base}/out")
-
-    q = (stream.writeStream.foreachBatch(sink).option("checkpointLocation", f"{base}/chk")
-         .outputMode(output_mode).trigger(availableNow=True).start())
-    q.awaitTermination()
-    schema = T.StructType(list(stream.schema.fields) + [T.StructField("_batch", T.LongType())])
+        writer = stream.writeStream.format("parquet").option("path", f"{base}/out")
+        schema = stream.schema
+    else:  # update / complete: keep every version of a row with its batch
+
+        def sink(batch: DataFrame, batch_id: int) -> None:
+            batch.withColumn("_batch", F.lit(batch_id)).write.mode("append").parquet(f"{base}/out")
+
+        writer = stream.writeStream.foreachBatch(sink)
+        schema = T.StructType([*stream.schema.fields, T.StructField("_batch", T.LongType())])
+    with rocksdb_state(spark):  # read when the query starts
+        query = writer.option("checkpointLocation", f"{base}/chk").outputMode(output_mode).trigger(availableNow=True).start()
+        query.awaitTermination()
     return spark.read.schema(schema).parquet(f"{base}/out")
 
 
@@ -167,7 +166,7 @@ class TableStatusProcessor(StatefulProcessor):
 def status_log_stream(spark: SparkSession, sf_dir: str, events: DataFrame | None = None, keep_days: float = KEEP_DAYS, late: str = LATE) -> DataFrame:
     """I1/I2 as a stream: events -> per-table state (table status + order statuses) -> log of real changes.
 
-    Start it inside ``rocksdb_state(spark)`` unless the session uses the RocksDB state store already.
+    Start it inside ``rocksdb_state(spark)`` unless the session uses the RocksDB state store already; ``run_to_table`` does.
     """
     d = Domain(spark, sf_dir)
     n = d.dining_tables.count()  # one small count: the feed's table key is user_id % n
@@ -224,11 +223,6 @@ def completions_to_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return run_to_table(spark, stream, "completions")
 
 
-def status_log_to_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    with rocksdb_state(spark):
-        return run_to_table(spark, status_log_stream(spark, sf_dir), "status_log")
-
-
 # ---------------------------------------------------------------------- I4
 def price_snapshot_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = Domain(spark, sf_dir)
@@ -260,7 +254,7 @@ def _final_update_rows(df: DataFrame, keys: list[str]) -> DataFrame:
 
 def stream_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
-        "stream_status_log": status_log_to_table,
+        "stream_status_log": lambda spark, sf: run_to_table(spark, status_log_stream(spark, sf), "status_log"),
         "stream_reservation_completions": completions_to_table,
         "stream_price_snapshot": lambda spark, sf: run_to_table(spark, price_snapshot_stream(spark, sf), "price_snapshot"),
         "stream_maintenance_reject": lambda spark, sf: run_to_table(spark, maintenance_reject_stream(spark, sf), "maintenance"),

@@ -256,3 +256,15 @@ def test_audit_images_hold_nulls(spark):
     a, b = spark.createDataFrame([(1, "x", None), (2, "y", 1), (3, "z", 1)], shape), spark.createDataFrame([(1, "x", None), (2, "y", 2), (4, None, 1)], shape)
     assert rows(audit_diff(a, b, "id", "t"), "record_id", "action", "old_value", "new_value") == [
         (2, "UPDATE", '{"name":"y","n":1}', '{"name":"y","n":2}'), (3, "DELETE", '{"name":"z","n":1}', None), (4, "INSERT", None, '{"name":null,"n":1}')]
+
+
+# ------------------------------------------------------------ broadcasts
+def test_broadcasts_stop_at_rows_and_at_bytes(spark):
+    from tavola.operators.joins import sized_broadcast
+
+    def hinted(df):
+        return "ResolvedHint" in df._jdf.queryExecution().analyzed().toString()
+
+    df = spark.range(100).select("id", F.repeat(F.lit("x"), 50).alias("t"))
+    assert hinted(sized_broadcast(df)) and not hinted(sized_broadcast(df, max_rows=99)) and not hinted(sized_broadcast(df, max_bytes=3000))
+    assert hinted(sized_broadcast(df.limit(0)))
