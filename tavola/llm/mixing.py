@@ -9,13 +9,13 @@ tokens and add up exactly.
 
 A leaf with budget b and t tokens takes ``b div t`` whole epochs and, of the next one, the shortest
 prefix whose tokens reach the rest.  Each epoch has its own order, by MD5 of
-(seed, epoch, id).  The end of a prefix is found from sums over about sqrt(n) hash ranges
+(seed, epoch, id), then by the hash of the text; of rows that share both, as many as are needed are taken, which are alike.  The end of a prefix is found from sums over about sqrt(n) hash ranges
 and then inside a single range, so no leaf is ever sorted as a whole; documents are then
 picked by comparing their hash with the leaf's limit, without moving their text.
 
 Defined cases: a null level is the node ''; a null text has no tokens and is taken when its
-place in the order lies before the limit; a weight of 0 or null takes nothing; rows with one id share one place;
-a budget beyond all capacities takes everything ``max_epochs`` times; names can't clash.
+place in the order lies before the limit; a weight of 0 or null takes nothing; rows with one id, or without, follow each
+other by the hashes of their texts, and only those that the budget needs are taken; a budget beyond all capacities takes everything ``max_epochs`` times; names can't clash.
 """
 
 from __future__ import annotations
@@ -72,9 +72,10 @@ def leaf_budgets(leaves: DataFrame, levels: list[str], weights: list[Column], bu
 
 
 def selection(units: DataFrame, levels: list[str], weights: list[Column], budget_share: float, max_epochs: int, seed: int) -> DataFrame:
-    """Per leaf: levels, tokens, budget, epochs (whole ones) and limit (largest order key taken in the next epoch, or null).
+    """Per leaf: levels, tokens, budget, epochs (whole ones) and the end of the next epoch's prefix.
 
-    ``units`` has doc_id, the levels and tokens; the total budget is ``budget_share`` of all tokens.
+    The end is the place (``limit``, ``limit_mark``) of its last rows, ``taken`` of which, out of ``members``, belong to it; null
+    for none.  ``units`` has doc_id, the levels, tokens and mark (hash of the text); the total budget is ``budget_share`` of all tokens.
     """
     leaves = stage(units.groupBy(*levels).agg(F.sum("tokens").alias("tokens"), F.count("*").alias("docs")), "leaves")
     total = leaves.agg(F.floor(F.sum("tokens") * F.lit(budget_share))).scalar()
@@ -82,15 +83,28 @@ def selection(units: DataFrame, levels: list[str], weights: list[Column], budget
     leaves = leaves.withColumn("epochs", F.when(F.col("tokens") > 0, F.expr("budget div tokens")).otherwise(0)).withColumn("rest", F.col("budget") - F.col("epochs") * F.col("tokens"))
 
     part = leaves.where("rest > 0").withColumn("ranges", F.ceil(F.sqrt(F.col("docs").cast("double"))))
-    keyed = units.join(part.select(*levels, "epochs", "rest", "ranges"), levels).withColumn("key", order_key(seed, F.col("epochs"), F.col("doc_id")))
-    keyed = keyed.withColumn("range", F.expr("(cast(conv(substring(key, 1, 8), 16, 10) as bigint) * ranges) div 4294967296"))
+    alike = units.groupBy(*levels, "doc_id", "mark").agg(F.max("tokens").alias("each"), F.count("*").alias("members"))
+    keyed = alike.join(part.select(*levels, "epochs", "rest", "ranges"), levels).withColumn("key", order_key(seed, F.col("epochs"), F.col("doc_id")))
+    keyed = keyed.withColumn("range", F.expr("(cast(conv(substring(key, 1, 8), 16, 10) as bigint) * ranges) div 4294967296")).withColumn("tokens", F.col("each") * F.col("members"))
     sums = keyed.groupBy(*levels, "rest", "range").agg(F.sum("tokens").alias("sum"))
     sums = sums.withColumn("upto", F.sum("sum").over(Window.partitionBy(*levels).orderBy("range")))
     end = sums.where("upto >= rest and upto - sum < rest").select(*levels, "range", (F.col("upto") - F.col("sum")).alias("before"))
     inside = keyed.join(end, [*levels, "range"])
-    inside = inside.withColumn("reached", F.col("before") + F.sum("tokens").over(Window.partitionBy(*levels).orderBy("key")))
-    limit = inside.where("reached >= rest").groupBy(*levels).agg(F.min("key").alias("limit"))
-    return leaves.join(limit, levels, "left").select(*levels, F.col("tokens").alias("leaf_tokens"), "budget", "epochs", "limit")
+    inside = inside.withColumn("reached", F.col("before") + F.sum("tokens").over(Window.partitionBy(*levels).orderBy("key", "mark")))
+    last = inside.where("reached >= rest and reached - tokens < rest")
+    due = F.ceil((F.col("rest") - F.col("reached") + F.col("tokens")) / F.col("each"))
+    limit = last.select(*levels, F.col("key").alias("limit"), F.col("mark").alias("limit_mark"), due.alias("taken"), "members")
+    return leaves.join(limit, levels, "left").select(*levels, F.col("tokens").alias("leaf_tokens"), "budget", "epochs", "limit", "limit_mark", "taken", "members")
+
+
+def _first(rows: DataFrame, names: list[str]) -> DataFrame:
+    """``rows`` with the first ``taken`` of each leaf marked by ``took``: numbered by parts of what was written, not by one task."""
+    rows = stage(rows.withColumn("place", F.monotonically_increasing_id()), "alike").withColumn("chunk", F.shiftright("place", 33))
+    counts = rows.groupBy(*names, "chunk").agg(F.count("*").alias("n"))
+    start = F.sum("n").over(Window.partitionBy(*names).orderBy("chunk")) - F.col("n")
+    numbered = rows.join(counts.withColumn("start", start).drop("n"), [*names, "chunk"])
+    number = F.col("start") + F.row_number().over(Window.partitionBy(*names, "chunk").orderBy("place"))
+    return numbered.withColumn("took", number <= F.col("taken")).drop("place", "chunk", "start")
 
 
 def order_key(seed: int, epoch: Column, id: Column) -> Column:  # noqa: A002
@@ -107,11 +121,20 @@ def mix(docs: DataFrame, levels: dict[str, Column], weights: list[Column], budge
     """
     names = list(levels)
     fields = [F.coalesce(e.cast("string"), F.lit("")).alias(k) for k, e in levels.items()]
-    narrow = docs.select(F.col(id).alias("doc_id"), *fields, word_count(F.col(text)).alias("tokens"))
+    mark = F.xxhash64(F.col(text).cast("string")).alias("mark")
+    narrow = docs.select(F.col(id).alias("doc_id"), *fields, word_count(F.col(text)).alias("tokens"), mark)
     narrow = stage(narrow, "units")
     plan = stage(selection(narrow, names, weights, budget_share, max_epochs, seed), "selection")
-    rows = docs.select(F.struct("*").alias("row"), F.col(id).alias("doc_id"), *fields) if whole else narrow
-    took = F.col("limit").isNotNull() & (order_key(seed, F.col("epochs"), F.col("doc_id")) <= F.col("limit"))
-    rows = rows.join(plan, names).withColumn("times", F.col("epochs") + took.cast("long")).where("times > 0")
+    rows = docs.select(F.struct("*").alias("row"), F.col(id).alias("doc_id"), *fields, mark) if whole else narrow
+    rows = rows.join(plan, names).withColumn("key", order_key(seed, F.col("epochs"), F.col("doc_id")))
+    known = F.col("limit").isNotNull()
+    at_end = F.coalesce(known & (F.col("key") == F.col("limit")) & (F.col("mark") == F.col("limit_mark")), F.lit(False))
+    ahead = known & ((F.col("key") < F.col("limit")) | ((F.col("key") == F.col("limit")) & (F.col("mark") <= F.col("limit_mark"))))
+    if plan.where("taken < members").isEmpty():
+        rows = rows.withColumn("took", ahead)
+    else:  # some of the rows at an end, which are alike, stay out
+        cut = at_end & (F.col("taken") < F.col("members"))
+        rows = rows.where(~cut).withColumn("took", ahead).unionByName(_first(rows.where(cut), names))
+    rows = rows.withColumn("times", F.col("epochs") + F.col("took").cast("long")).where("times > 0")
     rows = rows.withColumn("epoch", F.explode(F.sequence(F.lit(0).cast("long"), F.col("times") - 1)))
     return rows.select("row.*") if whole else rows.select("doc_id", *names, "tokens", "epoch")

@@ -11,25 +11,26 @@ The matrix has a row per input partition and a column per shard; its size is bou
 ``MAX_PARTITIONS`` rows.  The input is written once to the shared folder first, so that a retried task
 meets the same rows in the same order.
 
-The second permutation orders a shard by a seeded 64-bit hash of its rows.  Slots come
+The second permutation orders a shard by a seeded 64-bit hash of each row's place in the input (its partition
+and its number there), so equal rows are spread like any others.  Slots come
 from counts of about sqrt(n) hash ranges and a sort inside each, so a shard is never
 sorted by one task.
 
 Defined cases: an empty table gives no rows; fewer rows than shards leave the last shards empty; equal rows
-are rows of their own; nulls are values like any other; the columns of the input are kept, and may not be called shard or slot.
+are rows of their own; nulls are values like any other; the columns of the input are kept, those called shard or
+slot (in any case) under that name with ``_before`` behind it.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from math import exp, lgamma
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType, StructType
+from pyspark.sql.types import IntegerType, LongType, StructType
 
 from tavola.llm.staging import stage
 from tavola.session import ensure_checkpoint_dir
@@ -55,35 +56,31 @@ def communication_matrix(rows: list[int], shards: int, seed: int) -> np.ndarray:
     return out
 
 
+#: Standard deviations around the mode that a draw beyond numpy's range looks at; the rest has a chance below 1e-30.
+_REACH = 12
+
+
 def hypergeometric(rng: np.random.Generator, good: int, bad: int, n: int) -> int:
-    """How many of n draws without replacement are good."""
-    if good + bad < 10**9:
-        return int(rng.hypergeometric(good, bad, n)) if good + bad and n else 0
-    # numpy's generator stops at 1e9: walk outwards from the mode until the drawn probability is spent
+    """How many of n draws without replacement are good.
+
+    Beyond 1e9 items, where numpy's generator stops, the chances of all counts near the mode are built up from
+    their exact ratios and summed, so they make one whole whatever the size.
+    """
+    total = good + bad
+    if not n or not total:
+        return 0
+    if total < 10**9:
+        return int(rng.hypergeometric(good, bad, n))
     low, high = max(0, n - bad), min(n, good)
-    mode = min(high, max(low, (n + 1) * (good + 1) // (good + bad + 2)))
-
-    def log_choose(a: int, b: int) -> float:
-        return lgamma(a + 1) - lgamma(b + 1) - lgamma(a - b + 1)
-
-    peak = exp(log_choose(good, mode) + log_choose(bad, n - mode) - log_choose(good + bad, n))
-    spend = rng.random() - peak
-    up = down = mode
-    p_up = p_down = peak
-    while spend > 0 and (up < high or down > low):
-        if up < high:
-            p_up *= (good - up) * (n - up) / ((up + 1) * (bad - n + up + 1))
-            up += 1
-            spend -= p_up
-            if spend <= 0:
-                return up
-        if down > low:
-            p_down *= down * (bad - n + down) / ((good - down + 1) * (n - down + 1))
-            down -= 1
-            spend -= p_down
-            if spend <= 0:
-                return down
-    return mode
+    mode = min(high, max(low, (n + 1) * (good + 1) // (total + 2)))
+    spread = (n * (good / total) * (bad / total) * ((total - n) / max(1, total - 1))) ** 0.5
+    reach = int(_REACH * spread) + 64
+    first, last = max(low, mode - reach), min(high, mode + reach)
+    k = np.arange(first, last, dtype=np.float64)
+    steps = np.log(good - k) + np.log(n - k) - np.log(k + 1) - np.log(bad - n + k + 1)  # from k to k + 1
+    logs = np.concatenate([[0.0], np.cumsum(steps)])
+    chances = np.cumsum(np.exp(logs - logs[mode - first]))
+    return first + int(np.searchsorted(chances, rng.random() * chances[-1], side="right").clip(0, last - first))
 
 
 def _label(matrix, seed: int) -> Callable:
@@ -96,8 +93,9 @@ def _label(matrix, seed: int) -> Callable:
         at = 0
         for batch in batches:
             own = labels[at : at + batch.num_rows]
+            place = (p << 40) + np.arange(at, at + batch.num_rows, dtype=np.int64)
             at += batch.num_rows
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(own)], names=[*batch.schema.names, "shard"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(own), pa.array(place)], names=[*batch.schema.names, "shard", "place"])
         if at != len(labels):
             raise RuntimeError(f"partition {p} has {at} rows, {len(labels)} were counted")
 
@@ -106,24 +104,21 @@ def _label(matrix, seed: int) -> Callable:
 
 def shuffle_to_shards(df: DataFrame, shards: int, seed: int = 0) -> DataFrame:
     """``df`` with shard (int) and slot (long, gapless from 0 in each shard)."""
-    taken = {c.lower() for c in df.columns} & {"shard", "slot"}
-    if taken:
-        raise ValueError(f"the result would have two columns {sorted(taken)}")
-    names = df.columns
+    names = [c + "_before" if c.lower() in ("shard", "slot") else c for c in df.columns]
     fixed = df.toDF(*[f"c{k}" for k in range(len(names))]).coalesce(MAX_PARTITIONS)
     ensure_checkpoint_dir(df.sparkSession)
     fixed = fixed.checkpoint()  # the same partitions, rows and order from here on
     counted = {r["p"]: r["count"] for r in fixed.groupBy(F.spark_partition_id().alias("p")).count().collect()}  # a number per partition
     rows = [counted.get(p, 0) for p in range(max(counted, default=-1) + 1)]
     matrix = df.sparkSession.sparkContext.broadcast(communication_matrix(rows, shards, seed))
-    labelled = fixed.mapInArrow(_label(matrix, seed), StructType([*fixed.schema.fields]).add("shard", IntegerType()))
+    labelled = fixed.mapInArrow(_label(matrix, seed), StructType([*fixed.schema.fields]).add("shard", IntegerType()).add("place", LongType()))
 
-    keyed = stage(labelled.withColumn("key", F.xxhash64(F.lit(seed), *[F.col(c) for c in fixed.columns])), "labelled")
+    keyed = stage(labelled.withColumn("key", F.xxhash64(F.lit(seed), "place")), "labelled")
     ranges = max(1, int((sum(rows) / shards) ** 0.5))
     part = F.floor((F.shiftrightunsigned("key", 32).cast("double") / 2.0**32) * ranges).cast("long")
     keyed = keyed.withColumn("range", part)
     sizes = keyed.groupBy("shard", "range").agg(F.count("*").alias("n"))
     sizes = sizes.withColumn("start", F.sum("n").over(Window.partitionBy("shard").orderBy("range")) - F.col("n"))
     placed = keyed.join(sizes.select("shard", "range", "start"), ["shard", "range"])
-    slot = F.col("start") + F.row_number().over(Window.partitionBy("shard", "range").orderBy("key")) - 1
+    slot = F.col("start") + F.row_number().over(Window.partitionBy("shard", "range").orderBy("key", "place")) - 1
     return placed.withColumn("slot", slot.cast("long")).select(*[F.col(f"c{k}").alias(c) for k, c in enumerate(names)], "shard", "slot")

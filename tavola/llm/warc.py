@@ -220,8 +220,9 @@ def write_archives(pages: DataFrame, folder: str, min_bytes: int = 0, html: str
 
 
 def read_archives(manifest: DataFrame, payloads: bool = True) -> DataFrame:
-    """The records of the archives in a manifest, each archive by one task."""
-    spread = manifest.select("archive").repartition("archive")
+    """The records of the archives in a manifest, each archive by a task of its own."""
+    n = max(1, manifest.count())  # an explicit number: adaptive execution would merge the few names into one task
+    spread = manifest.select("archive").repartitionByRange(n, "archive")
     columns = "page_id long, url string, record_type string, payload_bytes long, payload_digest string, refers_to long" + ", payload binary" * payloads
     return spread.mapInArrow(_read(payloads), columns)
 

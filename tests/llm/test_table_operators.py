@@ -10,6 +10,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 DOCS = "doc_id long, text string, lang string, source string, tokens int, budget string, row int"
@@ -45,8 +46,9 @@ def fill(children, budget):
 def brute_mix(rows, level_of, weights, share, epochs, seed):
     leaves = defaultdict(list)
     for i, t, lang, source in rows:
-        leaves[level_of(lang, source)].append((i, len((t or "").split())))
-    size = {p: sum(n for _, n in docs) for p, docs in leaves.items()}
+        mark = 42 if t is None else np.uint64(xxhash.xxh64(t.encode(), seed=42).intdigest()).astype(np.int64)  # Spark's xxhash64
+        leaves[level_of(lang, source)].append((i, len((t or "").split()), int(mark)))
+    size = {p: sum(n for _, n, _ in docs) for p, docs in leaves.items()}
     ok = {p: all(weights[d](p[d]) > 0 for d in range(len(p))) for p in leaves}
     cap = {p: size[p] * epochs if ok[p] else 0 for p in leaves}
     given = {(): min(sum(cap.values()), int(np.floor(sum(size.values()) * share)))}
@@ -62,17 +64,18 @@ def brute_mix(rows, level_of, weights, share, epochs, seed):
         whole = given[p] // size[p] if size[p] else 0
         rest = given[p] - whole * size[p]
         for e in range(whole):
-            out += [(i, *p, n, e) for i, n in docs]
+            out += [(i, *p, n, e) for i, n, _ in docs]
         if rest:
-            key = lambda d: hashlib.md5(f"{seed}:{whole}:{'null' if d[0] is None else d[0]}".encode()).hexdigest()  # noqa: B023, E731
-            groups, before = defaultdict(list), 0
-            for d in docs:
-                groups[key(d)].append(d)
-            for k in sorted(groups):
+            def key(d):
+                name = "null" if d[0] is None else d[0]
+                return hashlib.md5(f"{seed}:{whole}:{name}".encode()).hexdigest(), d[2]  # noqa: B023
+
+            before = 0
+            for i, n, _ in sorted(docs, key=key):
                 if before >= rest:
                     break
-                out += [(i, *p, n, whole) for i, n in groups[k]]
-                before += sum(n for _, n in groups[k])
+                out.append((i, *p, n, whole))
+                before += n
     return sorted(out, key=str)
 
 
@@ -93,6 +96,24 @@ def test_mixing_matches_brute_force(spark, share, epochs):
     assert whole.columns == docs.columns and whole.count() == len(got)
 
 
+@pytest.mark.parametrize("whole", [False, True])
+def test_repeated_ids_keep_the_budget(spark, whole):
+    """Half of the rows without id, a third of them alike: still as many tokens as were asked for."""
+    from tavola.llm.mixing import mix
+
+    rows = [(None if k % 2 else k, " ".join([f"w{k if k % 3 else 0}"] * 10), "en", "a") for k in range(100)] + [(7, "x y", "en", "a")] * 40
+    levels = {"domain": F.lit("x"), "language": F.col("lang"), "origin": F.col("source")}
+    docs = documents(spark, rows).repartition(6)
+    for share in (0.1, 0.3, 0.55, 0.9):
+        target = int(1080 * share)
+        got = mix(docs, levels, [F.lit(1)] * 3, share, seed=3, whole=whole).collect()
+        tokens = sum(len(r.text.split()) if whole else r.tokens for r in got)
+        assert target <= tokens < target + 10
+        if not whole:
+            want = brute_mix(rows, lambda lang, source: ("x", lang, source), [lambda n: 1] * 3, share, 1, 3)
+            assert sorted((tuple(r) for r in got), key=str) == want
+
+
 def test_mixing_of_nothing(spark):
     from tavola.llm.mixing import mix
 
@@ -132,6 +153,17 @@ def test_warc_round_trip(spark, tmp_path, least):
     assert read_archives(write_archives(pages(spark, []), str(tmp_path / "none"))).collect() == []
 
 
+def test_archives_are_read_by_a_task_each(spark, tmp_path):
+    from tavola.llm.warc import read_archives, write_archives
+
+    many = pages(spark, [(k, f"http://x/{k}", f"page {k}") for k in range(60)]).repartition(9)
+    manifest = write_archives(many, str(tmp_path / "warc"))
+    back = read_archives(manifest, payloads=False)
+    n = manifest.count()
+    assert n > 1 and back.rdd.getNumPartitions() == n
+    assert back.groupBy(F.spark_partition_id()).count().count() == n and back.count() == 60
+
+
 def test_archive_starts_with_its_dictionary():
     from tavola.llm.warc import DICTIONARY_MAGIC, Writer, parse, read_records, record, train
 
@@ -192,8 +224,32 @@ def test_shards_are_exact_and_uniform(spark):
     few = shuffle_to_shards(df.limit(5), 24).collect()
     assert sorted(r.shard for r in few) == [0, 1, 2, 3, 4]
     assert shuffle_to_shards(df.limit(0), 3).collect() == []
-    with pytest.raises(ValueError):
-        shuffle_to_shards(df.withColumnRenamed("c0", "Slot"), 3)
+    clash = shuffle_to_shards(df.withColumnRenamed("c0", "Slot").withColumnRenamed("key", "shard"), 3)
+    assert clash.columns == ["shard_before", "Slot_before", "shard", "slot"]
+    assert sorted(((r.shard_before, r.Slot_before) for r in clash.collect()), key=str) == sorted(rows, key=str)
+
+
+def test_equal_rows_are_spread_over_their_shard(spark):
+    from tavola.llm.sharding import shuffle_to_shards
+
+    df = spark.range(0, 4000, 1, 5).select(F.when(F.col("id") < 2000, 0).otherwise(F.col("id")).alias("x"))
+    got = shuffle_to_shards(df, 2, seed=4).collect()
+    for s in (0, 1):
+        same = [r.x == 0 for r in sorted((r for r in got if r.shard == s), key=lambda r: r.slot)]
+        changes = sum(a != b for a, b in zip(same, same[1:], strict=False))
+        assert 850 < changes < 1150  # some 1,000 in a uniform permutation
+
+
+def test_draws_beyond_numpy_make_one_whole():
+    from tavola.llm.sharding import hypergeometric
+
+    rng = np.random.default_rng(1)
+    for total, n in ((10**11, 10**6), (10**12, 5 * 10**6), (2 * 10**9, 10**9)):
+        good = total // 24
+        mean, var = n * good / total, n * (good / total) * (1 - good / total) * (total - n) / (total - 1)
+        draws = np.array([hypergeometric(rng, good, total - good, n) for _ in range(300)])
+        z = (draws - mean) / var**0.5
+        assert abs(z.mean()) < 0.25 and 0.85 < z.std() < 1.15 and abs(np.median(z)) < 0.3
 
 
 def test_communication_matrix_has_exact_margins():
@@ -255,6 +311,55 @@ def test_nearest_neighbours_edge_cases(spark, monkeypatch):
     assert lone.collect() == []
 
 
+def test_ids_with_several_vectors(spark):
+    from tavola.llm.ann import nearest
+
+    shape = "vec_id long, embedding array<double>"
+    rows = [(3, [1.0, 0.0]), (7, [1.0, 0.0]), (3, [0.0, 1.0]), (20, [1.0, 0.1])]
+    got = nearest(spark.createDataFrame(rows, shape), F.col("vec_id") % 20 == 0).collect()
+    assert sorted((r.rank, r.vec_id, r.score) for r in got) == [(1, 3, 1.0), (2, 7, 1.0), (3, 3, 0.1)]
+    got = nearest(spark.createDataFrame([*rows, (20, [0.0, 1.0])], shape), F.col("vec_id") % 20 == 0).collect()
+    assert sorted((r.rank, r.vec_id, round(r.score, 9)) for r in got) == sorted(
+        [(1, 3, 1.0), (2, 7, 1.0), (3, 3, 0.1), (4, 20, 0.1)] + [(1, 3, 1.0), (2, 20, 0.1), (3, 3, 0.0), (4, 7, 0.0)])
+
+
+def test_cells_get_finer_as_neighbours_get_nearer():
+    from tavola.llm.ann import SURE, chances, choose
+
+    plans = [choose(c, 8, 2.0, 5) for c in (0.1, 0.3, 0.45, 0.7)]
+    assert [p.share for p in plans] == sorted((p.share for p in plans), reverse=True) and plans[-1].share < 0.5 * plans[0].share
+    for p, c in zip(plans[1:], (0.3, 0.45, 0.7), strict=True):
+        assert p.sure <= c and chances(8, p.functions, 2.0, p.probes, 77)[int(100 * c)] > SURE - 0.06
+
+
+def test_a_larger_table_is_met_in_smaller_part(spark):
+    """Random directions, the hardest case: recall holds, and the share of vectors met falls."""
+    from tavola.llm import ann
+
+    rng = np.random.default_rng(3)
+    shares = []
+    for n in (400, 12_000):
+        x = rng.normal(size=(n, 32))
+        rows = spark.createDataFrame([(k, v) for k, v in enumerate(x.tolist())], "vec_id long, embedding array<double>")
+        asked = F.col("vec_id") % (n // 100) == 0
+        chosen, choose = [], ann.choose
+        ann.choose = lambda *a: chosen.append(choose(*a)) or chosen[-1]
+        try:
+            got = defaultdict(set)
+            for r in ann.nearest(rows, asked).collect():
+                got[r.query_id].add(r.vec_id)
+        finally:
+            ann.choose = choose
+        hits = 0
+        for q in range(0, n, n // 100):
+            score = x @ x[q]
+            score[q] = -np.inf
+            hits += len(got[q].intersection(np.argsort(-score, kind="stable")[:20].tolist()))
+        assert len(got) == 100 and hits >= 0.9 * 2000
+        shares.append(chosen[0].share)
+    assert shares[1] < shares[0]
+
+
 def test_queries_get_k_or_every_candidate(spark):
     from tavola.llm.ann import nearest
 
