@@ -101,3 +101,32 @@ def test_quality_query(spark, small_dir):
     got = E.queries()["op5_quality_scores"](spark, small_dir).collect()
     assert len(got) == spark.read.parquet(f"{small_dir}/documents.parquet").count()
     assert all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.7) and r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2) for r in got)
+
+
+CLASH = ["row", "node", "h", "sha", "place", "took", "key", "mark", "n", "tokens", "epoch", "limit", "dropped", "row_hash", "kept", "label_id", "score"]
+
+
+def test_stages_with_odd_rows_and_clashing_columns(spark, small_dir):
+    """Null ids and texts, repeated rows, and columns with the names that the operators use inside."""
+    from pyspark.sql import functions as F
+
+    docs = spark.read.parquet(f"{small_dir}/documents.parquet").limit(40)
+    odd = spark.createDataFrame(
+        [(None, "words of a text without id " * 9, "en", "src1", 1), (None, None, None, None, None), (None, "words of a text without id " * 9, "en", "src1", 1), (10**6, "", "de", "src2", 0)],
+        docs.schema,
+    )
+    docs = docs.unionByName(odd).unionByName(docs.limit(5)).withColumns({c: F.lit(c) for c in CLASH})
+    total = docs.count()
+    for name, step in corpus_pipeline.STAGES:
+        if name == "tokens":
+            out = step(spark, docs, small_dir)
+            assert out.count() == total and out.where("n_tokens is null").count() == 0
+            continue
+        out = step(spark, docs, small_dir)
+        assert out.dtypes == docs.dtypes
+        found = Counter(map(str, out.collect()))
+        given = Counter(map(str, docs.collect()))
+        assert all(found[r] <= given[r] for r in found) and sum(found.values()) > 0
+        if name == "exact_dedup":
+            assert len({_lower(r.text or "") for r in docs.collect()}) == sum(found.values())
+        assert step(spark, docs.limit(0), small_dir).collect() == []
