@@ -63,15 +63,17 @@ def filter_bits(rows: int) -> int:
 def mark_duplicates(docs: DataFrame, text: str = "text", id: str = "doc_id") -> DataFrame:  # noqa: A002
     """One row per input row: doc_id, keep_id, group_size, kept, text_sha256."""
     same = lower_ascii(F.col(text))
-    rows = stage(docs.select(F.col(id).alias("doc_id"), F.sha2(same, 256).alias("sha"), F.xxhash64(same).alias("h")), "digests")
+    rows = docs.select(F.col(id).alias("doc_id"), F.sha2(same, 256).alias("sha"), F.xxhash64(same).alias("h"), F.monotonically_increasing_id().alias("place"))
+    rows = stage(rows, "digests")  # places are fixed from here on
     bits = filter_bits(rows.count())
-    rows = maybe_in(rows, stage(position_filter(rows, bits), "filter"), bits)
+    rows = maybe_in(rows, stage(position_filter(rows.select("h"), bits), "filter"), bits)
     alone = rows.where("not maybe").select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), F.col("sha").alias("text_sha256"))
-    ids = rows.where("maybe").groupBy("sha", "doc_id").agg(F.count("*").alias("copies"))
-    group = ids.groupBy("sha").agg(F.max("doc_id").alias("keep_id"), F.sum("copies").alias("group_size"))
-    found = ids.join(group, "sha").withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "copies")))
-    kept = F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("copy") == 1)
-    return alone.unionByName(found.select("doc_id", "keep_id", "group_size", kept.alias("kept"), F.col("sha").alias("text_sha256")))
+    # of the rows with the largest id (null if all are) the one of the first place stays
+    some = rows.where("maybe")
+    first = F.max(F.struct(F.col("doc_id").isNotNull().alias("known"), "doc_id", (-F.col("place")).alias("back"))).alias("top")
+    group = some.groupBy("sha").agg(first, F.count("*").alias("group_size"))
+    found = some.join(group.select("sha", F.col("top.doc_id").alias("keep_id"), F.col("top.back").alias("back"), "group_size"), "sha")
+    return alone.unionByName(found.select("doc_id", "keep_id", "group_size", (F.col("place") == -F.col("back")).alias("kept"), F.col("sha").alias("text_sha256")))
 
 
 def drop_duplicates(docs: DataFrame, text: str = "text", id: str = "doc_id") -> DataFrame:  # noqa: A002

@@ -112,17 +112,28 @@ def _spans(text: Column, rule: Rule) -> Column:
     sized = F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(rule.group)) if rule.group else whole
     steps = F.zip_with(F.slice(between, 1, F.size(whole)), whole, lambda gap, m: F.struct(F.char_length(gap).alias("gap"), F.char_length(m).alias("length")))
     steps = F.zip_with(steps, sized, lambda s, m: F.struct(s["gap"].alias("gap"), s["length"].alias("length"), F.char_length(m).alias("sized")))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<kind:string,start:int,end:int>>").alias("spans"))
+    none = F.array().cast("array<struct<kind:string,start:int,end:int>>")
 
     def step(acc, s):
         begin = acc["at"] + s["gap"]
         end = begin + s["length"]
         span = F.array(F.struct(F.lit(rule.kind).alias("kind"), begin.alias("start"), end.alias("end")))
-        none = F.array().cast("array<struct<kind:string,start:int,end:int>>")
         return F.struct(end.alias("at"), F.concat(acc["spans"], F.when(s["sized"] >= rule.least, span).otherwise(none)).alias("spans"))
 
-    found = F.aggregate(steps, start, step, lambda acc: acc["spans"])
-    return F.when(text.rlike(rule.pattern), found).otherwise(F.array().cast("array<struct<kind:string,start:int,end:int>>"))
+    def walk(every):
+        """The steps in about sqrt(n) turns of as many steps, so that appending copies short arrays only."""
+        width = F.greatest(F.lit(1), F.ceil(F.sqrt(F.size(every))).cast("int"))
+        turns = F.sequence(F.lit(0), F.greatest(F.lit(0), F.ceil(F.size(every) / width).cast("int") - 1))
+
+        def turn(done, k):
+            begin = F.struct(F.element_at(done, -1)["at"].alias("at"), none.alias("spans"))
+            return F.concat(done, F.array(F.aggregate(F.slice(every, k * width + 1, width), begin, step)))
+
+        start = F.array(F.struct(F.lit(0).alias("at"), none.alias("spans")))
+        return F.flatten(F.transform(F.aggregate(turns, start, turn), lambda t: t["spans"]))
+
+    found = F.transform(F.array(steps), walk)[0]  # the matches are made once, and then have a name
+    return F.when(text.rlike(rule.pattern), found).otherwise(none)
 
 
 def scan(docs: DataFrame, rules: tuple[Rule, ...] = BASE + MORE, text: str = "text", id: str = "doc_id") -> DataFrame:  # noqa: A002
