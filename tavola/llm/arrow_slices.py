@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -22,3 +23,21 @@ def by_bytes(batches: Iterator[pa.RecordBatch], column: str, most: int = SLICE_B
             last = max(first + 1, int(np.searchsorted(ends, done + most, side="right")))
             yield batch.slice(first, last - first)
             first, done = last, int(ends[last - 1])
+
+
+def releasing(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable:
+    """``run`` for ``mapInArrow``, giving freed memory back to the system when its task ends.
+
+    Python workers live on between tasks and stages; what their allocators keep adds up beside the executor's heap.
+    """
+
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+            if trim is not None:
+                trim(0)
+
+    return wrapped

@@ -4,7 +4,7 @@ A text is cut by the tokenizer's pattern.  Tier 1: a minimal perfect hash over t
 finds a whole pre-token in one probe and one comparison.  Tier 2, for the others: the
 bytes become a linked list, and a heap of mergeable neighbours gives the pair of lowest
 rank, leftmost first, until none merges.  That costs O(n log n) for a pre-token of n
-bytes.  Recent pre-tokens are remembered in two generations of bounded size, so memory does not
+bytes.  Recent pre-tokens are remembered in two generations of bounded bytes, so memory does not
 grow with the corpus.
 
 Ranks are read on the driver from the given file (its path is a parameter) and
@@ -22,7 +22,7 @@ import hashlib
 import re
 from collections.abc import Callable, Iterator
 from heapq import heapify, heappop, heappush
-from itertools import chain
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -31,8 +31,16 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Pre-tokens remembered in a generation.
-REMEMBERED = 400_000
+from tavola.llm.arrow_slices import by_bytes, releasing
+
+#: Bytes of pre-tokens and their ids remembered in a generation; there are two.
+REMEMBERED = 8 << 20
+#: What a remembered pre-token costs beside its characters and ids, in bytes.
+_ENTRY = 250
+#: Characters of a text cut into pre-tokens at once.
+_PIECES = 1 << 18
+#: Bytes of text whose results are held at once.
+_BATCH = 1 << 20
 _MASK = (1 << 64) - 1
 
 
@@ -135,22 +143,28 @@ class PerfectHash:
 
 
 class Recent(dict):
-    """Pre-token to ids, computed when absent; the generation before the last is forgotten."""
+    """Pre-token to ids, computed when absent; a full generation becomes the older one of the next."""
 
-    def __init__(self, compute: Callable[[str], tuple[int, ...]], most: int = REMEMBERED):
+    def __init__(self, compute: Callable[[str], tuple[int, ...]], most: int = REMEMBERED, older: dict | None = None):
         super().__init__()
-        self.compute, self.most, self.older = compute, most, {}
+        self.compute, self.most, self.older, self.bytes = compute, most, older or {}, 0
 
     def __missing__(self, piece: str) -> tuple[int, ...]:
         ids = self.older.get(piece)
         if ids is None:
             ids = self.compute(piece)
-        if len(self) >= self.most:
-            self.older = dict(self)
-            self.clear()
-        self[piece] = ids
+        if len(piece) <= _ENTRY:  # longer ones hardly come again
+            self.bytes += _ENTRY + 4 * len(piece) + 8 * len(ids)
+            self[piece] = ids
         return ids
 
+    def next(self) -> Recent:
+        """The generation to go on with; this one, without its older one, if it is full."""
+        if self.bytes < self.most:
+            return self
+        self.older = {}
+        return Recent(self.compute, self.most, self)
+
 
 class Codec:
     """Encoder and decoder of one vocabulary."""
@@ -171,6 +185,7 @@ class Codec:
                     self.joins[left][right] = r
         self.number = list(range(len(tokens)))  # one object per id
         self.find = splitter(pattern)
+        self.matches = regex.compile(pattern).finditer
         self.recent = Recent(self.piece_ids)
 
     def piece_ids(self, piece: str) -> tuple[int, ...]:
@@ -209,7 +224,19 @@ class Codec:
         return tuple([self.number[x] for x in ids if x >= 0])
 
     def encode(self, text: str) -> list[int]:
-        return list(chain.from_iterable(map(self.recent.__getitem__, self.find(text))))
+        if len(text) > _PIECES:
+            return list(chain.from_iterable(self.ids_of(pieces) for pieces in self.pieces(text)))
+        return list(chain.from_iterable(self.ids_of(self.find(text))))
+
+    def ids_of(self, pieces: list[str]) -> Iterator[tuple[int, ...]]:
+        self.recent = self.recent.next()
+        return map(self.recent.__getitem__, pieces)
+
+    def pieces(self, text: str) -> Iterator[list[str]]:
+        """The pre-tokens of a long text, some at a time."""
+        found = self.matches(text)
+        while some := [m.group() for m in islice(found, _PIECES // 4)]:
+            yield some
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.tokens.__getitem__, ids))
@@ -231,7 +258,7 @@ def codec_of(shared) -> Codec:
 
 
 def _texts(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[tuple[pa.RecordBatch, Iterator[str]]]:
-    for batch in batches:
+    for batch in by_bytes(batches, column, _BATCH):
         yield batch, (x.as_py() or "" for x in batch.column(column))
 
 
@@ -245,7 +272,7 @@ def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", id: str
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array((own.encode(t) for t in texts), pa.list_(pa.int32()))], names=["doc_id", "ids"])
 
     rows = docs.select(F.col(id).alias("doc_id"), F.col(text).cast("string").alias("text"))
-    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, ids array<int>")
+    return rows.mapInArrow(releasing(run), f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, ids array<int>")
 
 
 def decode(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
@@ -257,7 +284,7 @@ def decode(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array((own.decode(x.as_py() or []) for x in batch.column("ids")), pa.binary())], names=["doc_id", "data"])
 
-    return encoded.select("doc_id", "ids").mapInArrow(run, f"doc_id {encoded.schema['doc_id'].dataType.simpleString()}, data binary")
+    return encoded.select("doc_id", "ids").mapInArrow(releasing(run), f"doc_id {encoded.schema['doc_id'].dataType.simpleString()}, data binary")
 
 
 def round_trip(docs: DataFrame, path: str, pattern: str, text: str = "text", id: str = "doc_id", with_ids: bool = False) -> DataFrame:  # noqa: A002
@@ -267,23 +294,21 @@ def round_trip(docs: DataFrame, path: str, pattern: str, text: str = "text", id:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec_of(codec)
         number = [str(k) for k in range(len(own.tokens))].__getitem__
-        for whole in batches:
-            for at in range(0, whole.num_rows, 512):
-                batch = whole.slice(at, 512)
-                every, n, said, back = [], [], [], []
-                for t in batch.column("text").to_pylist():
-                    ids = own.encode(t or "")
-                    n.append(len(ids))
-                    said.append(hashlib.sha256(" ".join(map(number, ids)).encode()).hexdigest())
-                    back.append(hashlib.sha256(own.decode(ids)).hexdigest())
-                    if with_ids:
-                        every.append(np.array(ids, dtype=np.int32))
-                columns = [batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(said, pa.string()), pa.array(back, pa.string())]
-                names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
+        for batch in by_bytes(batches, "text", _BATCH):
+            every, n, said, back = [], [], [], []
+            for text in batch.column("text"):
+                ids = own.encode(text.as_py() or "")
+                n.append(len(ids))
+                said.append(hashlib.sha256(" ".join(map(number, ids)).encode()).hexdigest())
+                back.append(hashlib.sha256(own.decode(ids)).hexdigest())
                 if with_ids:
-                    columns.append(pa.array(every, pa.list_(pa.int32())))
-                    names.append("ids")
-                yield pa.RecordBatch.from_arrays(columns, names=names)
+                    every.append(np.array(ids, dtype=np.int32))
+            columns = [batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(said, pa.string()), pa.array(back, pa.string())]
+            names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
+            if with_ids:
+                columns.append(pa.array(every, pa.list_(pa.int32())))
+                names.append("ids")
+            yield pa.RecordBatch.from_arrays(columns, names=names)
 
     rows = docs.select(F.col(id).alias("doc_id"), F.col(text).cast("string").alias("text"))
-    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids)
+    return rows.mapInArrow(releasing(run), f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids)

@@ -238,9 +238,15 @@ def test_perfect_hash_is_minimal():
     keys = [str(k).encode() for k in range(5000)]
     found = PerfectHash(keys)
     assert [found[k] for k in keys] == list(range(5000)) and sorted(found.at) == list(range(5000))
-    recent = Recent(lambda s: (len(s),), most=3)
-    assert [recent["x" * k] for k in range(1, 9)] == [(k,) for k in range(1, 9)]
-    assert len(recent) + len(recent.older) <= 6
+    recent, asked = Recent(lambda s: (len(s),), most=800), 0
+    for _ in range(3):
+        for k in range(1, 30):
+            recent = recent.next()
+            assert recent["x" * k] == (k,)
+            asked += 1
+            assert len(recent) + len(recent.older) <= 8 and not getattr(recent.older, "older", None)
+    recent["y" * 1000]
+    assert "y" * 1000 not in recent  # long ones are not remembered
 
 
 SECRETS = [
@@ -270,6 +276,16 @@ def test_secret_scan_matches_plain_regular_expressions(spark):
     assert scan(table(spark, [])).collect() == []
 
 
+def test_very_many_matches_in_one_text(spark):
+    """The cost of a text grows hardly faster than its matches: appending spans one by one would take minutes here."""
+    from tavola.llm.secret_scan import scan
+
+    text = "secret=abcdef0 x " * 60_000
+    got = scan(table(spark, [(1, text)])).first().spans
+    assert len(got) == 60_000
+    assert [(s.start, s.end) for s in got[:2] + got[-1:]] == [(0, 14), (17, 31), (17 * 59_999, 17 * 59_999 + 14)]
+
+
 def test_trigram_queries():
     from tavola.llm.secret_scan import BASE, trigram_query
 
