@@ -12,8 +12,9 @@ Two texts link when the Jaccard similarity of their sets of word shingles is at
 3. Each member is first compared with its tile's smallest node only.  What is linked by
    that is a component; tiles within one component are done.  This keeps a group of
    near copies linear in its rows.
-4. Of the others, those of more than ``BLOCK`` members are cut by size band (bands two apart
-   can't link) and into blocks, so a tile of any size becomes bounded tasks.  Inside, bit counts
+4. The others are banded by size.  Those of more than ``BLOCK`` members are cut by band (bands two apart
+   can't link) and into blocks for tasks of bounded size; in a task a set meets only the sets from its own size
+   up to that size over the threshold.  Inside, bit counts
    of the bitmaps bound the overlap from above; pairs of two components that pass are
    verified on the sorted arrays.
 
@@ -26,6 +27,7 @@ Shingles and sets are known by 64-bit hashes: among n different sets some two ar
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -36,15 +38,16 @@ from pyspark.sql import functions as F
 
 from tavola.llm import textvec
 from tavola.llm.arrow_runs import runs
+from tavola.llm.arrow_slices import releasing
 from tavola.llm.components import components
 from tavola.llm.exact_dedup import filter_bits, maybe_in, position_filter
 from tavola.llm.staging import stage
 
-#: Shingles of more than one in HOT_SHARE texts come last in the order of shingles, by their counts;
-#: there are at most HOT_SHARE times the mean set size of them.
+#: Shingles of more than about one in HOT_SHARE texts come last in the order of shingles, by their counts;
+#: there are at most 8 * HOT_SHARE times the mean set size of them.
 HOT_SHARE = 10_000
 #: Bits of a bitmap for each shingle, before rounding up to a power of two.
-BITS = 4
+BITS = 2
 #: Members of a tile that meet in one task.
 BLOCK = 1024
 #: Ratio of the sizes in a band; over 1 / 0.8, so linked sets are at most a band apart.
@@ -53,6 +56,8 @@ _SLACK = 1.0001
 PART = 64
 _TOKENS = 2 << 20
 _ROWS = 1024
+#: Nodes of a task whose copies are known at once.
+_SEEN = 1 << 16
 
 
 def _sets(batch: pa.RecordBatch, width: int) -> Iterator[np.ndarray]:
@@ -72,18 +77,30 @@ def _lists(arrays: list[np.ndarray]) -> pa.Array:
 
 
 def _hot_counts(width: int) -> Callable:
-    """Counts of the shingles that many texts of a task share; each task gives no more than a bounded number."""
+    """Counts of the shingles that many texts of a task share; each task gives no more than a bounded number.
+
+    A task folds the shingles of some texts at a time and leaves out what it meets once.  Of a shingle in one of HOT_SHARE texts
+    a fold of n texts meets m = n / HOT_SHARE, and counts m - m * exp(-m) of them on average.  The sum of those, in millionths,
+    goes with the null shingle: from that count on a shingle is frequent, however the texts are dealt to tasks.
+    """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
         tokens, totals, texts, size = np.zeros(0, np.uint64), np.zeros(0, np.int64), 0, 0
+        folded, due = 0, 0.0
 
         def fold() -> tuple[np.ndarray, np.ndarray]:
-            new, n = np.unique(np.concatenate([*held, tokens[:0]]), return_counts=True)
-            both, at = np.unique(np.concatenate([tokens, new]), return_inverse=True)
-            sums = np.bincount(at, np.concatenate([totals, n])).astype(np.int64) if len(both) else totals
+            """Counts of the known shingles and of those that the held texts repeat, without the rarer ones."""
+            new = np.concatenate([*held, tokens[:0]])
+            held.clear()
+            new.sort()
+            same = new[1:] == new[:-1]
+            same[1:] &= ~same[:-1]  # a repeated shingle stands once in each two of its places
+            known = np.union1d(new[1:][same], tokens)
+            sums = np.searchsorted(new, known, "right") - np.searchsorted(new, known)
+            sums[np.searchsorted(known, tokens)] += totals
             often = sums >= max(2, texts / HOT_SHARE / 2)
-            return both[often], sums[often]
+            return known[often], sums[often]
 
         for batch in batches:
             for own in _sets(batch, width):
@@ -92,30 +109,41 @@ def _hot_counts(width: int) -> Callable:
                 size += len(own)
                 if size >= _TOKENS:
                     tokens, totals = fold()
-                    held, size = [], 0
+                    m = (texts - folded) / HOT_SHARE
+                    folded, due, size = texts, due + m - m * math.exp(-m), 0
         tokens, totals = fold()
+        m = (texts - folded) / HOT_SHARE
+        due += m - m * math.exp(-m)
         yield pa.RecordBatch.from_arrays([pa.array(tokens.view(np.int64)), pa.array(totals)], names=["token", "n"])
+        yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.array([round(due * 1e6)], pa.int64())], names=["token", "n"])
 
     return count
 
 
 def _prefixes(width: int, percent: int, hot) -> Callable:
-    """id, hash of the text, set, size, bitmap, and the rare and the frequent part of the prefix."""
+    """id, hash of the text, set, size, bitmap, and the rare and the frequent part of the prefix.
+
+    Within a task only the first row of a set has bitmap and prefix, the other rows of it have nulls.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         often, rank = hot.value
+        seen: set[int] = set()
         for batch in (whole.slice(at, _ROWS) for whole in batches for at in range(0, whole.num_rows, _ROWS)):
             nodes, sizes, maps, rare, frequent = [], [], [], [], []
             for own in _sets(batch, width):
                 n = len(own)
                 sizes.append(n)
-                if not n:
-                    nodes.append(None)
+                node = _node(own) if n else None
+                nodes.append(node)
+                if node is None or node in seen:
                     maps.append(None)
-                    rare.append(own)
-                    frequent.append(own)
+                    rare.append(own[:0])
+                    frequent.append(own[:0])
                     continue
-                nodes.append(_node(own))
+                if len(seen) >= _SEEN:
+                    seen.clear()
+                seen.add(node)
                 bits = np.zeros(max(64, 1 << (BITS * n - 1).bit_length()), dtype=bool)
                 bits[(own % np.uint64(len(bits))).astype(np.int64)] = True
                 maps.append(np.packbits(bits, bitorder="little").tobytes())
@@ -133,10 +161,20 @@ def _prefixes(width: int, percent: int, hot) -> Callable:
 
 
 def _arrays(width: int) -> Callable:
+    """Each set for every block that asks for it: (component, i, j, a, own)."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            own = [s for s in _sets(batch, width) if len(s)]
-            yield pa.RecordBatch.from_arrays([pa.array([_node(s) for s in own], pa.int64()), _lists(own)], names=["node", "own"])
+            asked = batch.column("asked")
+            for row, own in enumerate(_sets(batch, width)):
+                if not len(own):
+                    continue
+                node = _node(own)
+                blocks = [x for x in asked[row].as_py() if x["node"] == node]
+                if blocks:
+                    keys = [pa.array([x[k] for x in blocks], pa.int64()) for k in ("component", "i", "j", "node")]
+                    sets = pa.DictionaryArray.from_arrays(pa.array(np.zeros(len(blocks), np.int32)), _lists([own])).dictionary_decode()
+                    yield pa.RecordBatch.from_arrays([*keys, sets], names=["component", "i", "j", "a", "own"])
 
     return run
 
@@ -181,24 +219,26 @@ def _tile_pairs(percent: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for tile in runs(batches, ["tile", "band", "cross", "i", "j"]):
             name, cross, i, j = (tile.column(c)[0].as_py() for c in ("tile", "cross", "i", "j"))
+            tile = tile.sort_by("n")  # a set's band is the run of sets from its own size up
             places = [set(x) for x in tile.column("tiles").to_pylist()]
             node, n, root = (tile.column(c).to_numpy() for c in ("node", "n", "root"))
+            reached = np.searchsorted(n, n * 100 // percent, side="right")
             side = np.asarray(tile.column("side").to_numpy(zero_copy_only=False), dtype=bool)
             maps = [np.frombuffer(x, np.uint64) for x in tile.column("bits").to_pylist()]
             width = np.array([len(x) for x in maps])
             apart = cross or i != j
             a, b = [], []
             for words in np.unique(width):  # sets that can link have bitmaps of one width or of nearly one
-                own = np.flatnonzero(width == words)
-                held = np.concatenate([own, np.flatnonzero((width > words) & (width <= reach * words))])
+                held = np.flatnonzero((width >= words) & (width <= reach * words))
                 bits = np.stack([_fold(maps[k], words) for k in held])
-                for at, row in enumerate(own):
-                    to = held[at + 1 :]
-                    lo, hi = np.minimum(n[to], n[row]), np.maximum(n[to], n[row])
-                    fits = (root[to] != root[row]) & (100 * lo >= percent * hi) & (not apart or side[to] != side[row])
+                for at in np.flatnonzero(width[held] == words):
+                    row = held[at]
+                    last = int(np.searchsorted(held, reached[row]))
+                    to = held[at + 1 : last]
+                    fits = (root[to] != root[row]) & (not apart or side[to] != side[row])
                     if fits.any():
                         to = to[fits]
-                        to = to[_bound(int(n[row]), bits[at], n[to], bits[at + 1 :][fits], percent)]
+                        to = to[_bound(int(n[row]), bits[at], n[to], bits[at + 1 : last][fits], percent)]
                         to = to[[min(places[row] & places[k]) == name for k in to]] if len(to) else to
                         a.append(np.full(len(to), node[row]))
                         b.append(node[to])
@@ -240,39 +280,42 @@ def _linked(percent: int) -> Callable:
     return run
 
 
-def _sets_of(ends: DataFrame, docs: DataFrame, width: int) -> DataFrame:
-    """(node, own): the sorted arrays of the nodes in ``ends`` (node, rep), made anew from their texts.
-
-    A Bloom filter of the ids, of bounded size, goes to the scan, so few other texts are moved.
-    """
-    bits = filter_bits(ends.count())
-    seen = stage(position_filter(ends.select(F.xxhash64("rep").alias("h")), bits, least=1), "wanted")
-    some = maybe_in(docs.withColumn("h", F.xxhash64("doc_id")), seen, bits).where("maybe").select("doc_id", "text")
-    reps = ends.select("rep").distinct()
-    texts = some.join(reps, some["doc_id"].eqNullSafe(reps["rep"]), "left_semi").select("text")
-    own = texts.mapInArrow(_arrays(width), "node long, own array<long>")
-    return stage(own.join(ends.select("node"), "node", "left_semi").dropDuplicates(["node"]), "sets")
+def _id_key(id: str):  # noqa: A002
+    """An id as a text that is never null, so that grouping and joining by it deal rows alike."""
+    return F.coalesce(F.concat(F.lit("="), F.col(id).cast("string")), F.lit(""))
 
 
 def _verify(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, width: int, percent: int) -> DataFrame:
     """Links among the pairs (a, b) that connect whatever the pairs' links connect.
 
-    Pairs meet in blocks: a component of the pairs is cut into parts of about ``PART`` nodes, and a block
-    holds the pairs between two parts with the arrays of their nodes.  So an array moves once for
-    a part it has pairs with, not once for a pair.
+    Pairs meet in blocks: the nodes that share the smallest node around them are cut into parts of about ``PART``
+    nodes, and a block holds the pairs between two parts with the arrays of their nodes.  So an array moves once for
+    a part it has pairs with, not once for a pair.  Arrays are made anew from the texts of the nodes'
+    representatives and go from there to their blocks: a Bloom filter of the representatives, of bounded size,
+    is applied at the scan, so few other texts are moved.
     """
-    roots = stage(components(pairs, "a", "b"), "blocks")
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("node"), F.least("a", "b").alias("near"))
+    roots = ends.groupBy("node").agg(F.min("near").alias("root"))
     parts = roots.groupBy("root").agg(F.ceil(F.count("*") / PART).alias("parts"))
-    part = stage(roots.join(parts, "root").select(F.col("vertex").alias("node"), "root", F.pmod(F.xxhash64("vertex"), F.col("parts")).alias("part")), "parts")
-    ends = stage(part.select("node").join(nodes.select("node", "rep"), "node"), "ends")
-    own = _sets_of(ends, docs, width)
-    met = pairs.join(part.select(F.col("node").alias("a"), F.col("root").alias("component"), F.col("part").alias("x")), "a").join(part.select(F.col("node").alias("b"), F.col("part").alias("y")), "b")
-    met = stage(met.select("component", F.least("x", "y").alias("i"), F.greatest("x", "y").alias("j"), "a", "b"), "met")
+    part = stage(roots.join(parts, "root").select("node", "root", F.pmod(F.xxhash64("node"), F.col("parts")).alias("part")), "parts")
+    met = pairs.join(part.select(F.col("node").alias("a"), F.col("root").alias("ra"), F.col("part").alias("x")), "a").join(part.select(F.col("node").alias("b"), F.col("root").alias("rb"), F.col("part").alias("y")), "b")
+    mine, its = F.struct(F.col("ra").alias("root"), F.col("x").alias("part")), F.struct(F.col("rb").alias("root"), F.col("y").alias("part"))
+    block = F.xxhash64(F.least("ra", "rb"), F.greatest("ra", "rb")).alias("component")
+    met = stage(met.select(block, F.least(mine, its)["part"].alias("i"), F.greatest(mine, its)["part"].alias("j"), "a", "b"), "met")
+
     keys = ["component", "i", "j"]
-    members = met.select(*keys, F.explode(F.array("a", "b")).alias("a")).distinct()
-    members = members.join(own.withColumnRenamed("node", "a"), "a").select(*keys, "a", F.lit(None).cast("long").alias("b"), "own")
+    asked = met.select(*keys, F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", _id_key("rep").alias("id_key"), F.col("rep_hash").alias("row_hash")), "node")
+    asked = stage(asked.groupBy("id_key", "row_hash").agg(F.collect_list(F.struct(*keys, "node")).alias("asked")), "asked")
+    bits = filter_bits(asked.count())
+    seen = stage(position_filter(asked.select(F.xxhash64("id_key").alias("h")), bits, least=1), "wanted")
+    texts = docs.select(_id_key("doc_id").alias("id_key"), F.xxhash64("text").alias("row_hash"), "text")
+    texts = maybe_in(texts.withColumn("h", F.xxhash64("id_key")), seen, bits).where("maybe")
+    texts = texts.groupBy("id_key", "row_hash").agg(F.first("text").alias("text"))  # repeated rows once
+    kinds = "component long, i long, j long, a long, own array<long>"
+    members = texts.join(asked, ["id_key", "row_hash"]).select("text", "asked").mapInArrow(releasing(_arrays(width)), kinds)
+    members = members.select(*keys, "a", F.lit(None).cast("long").alias("b"), "own")
     rows = members.unionByName(met.withColumn("own", F.lit(None).cast("array<long>")))
-    return rows.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(_linked(percent), "a long, b long")
+    return rows.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(releasing(_linked(percent)), "a long, b long")
 
 
 def _bands(open_tiles: DataFrame, percent: int) -> DataFrame:
@@ -305,9 +348,11 @@ def near_duplicates(docs: DataFrame, text: str = "text", id: str = "doc_id", wid
     """
     spark = docs.sparkSession
     docs = docs.select(F.col(id).alias("doc_id"), F.col(text).cast("string").alias("text"))
-    counts = docs.select("text").mapInArrow(_hot_counts(width), "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
-    least = max(10, docs.count() // HOT_SHARE)
-    found = counts.where(F.col("n") >= least).toArrow()  # at most HOT_SHARE times the mean set size
+    counts = docs.select("text").mapInArrow(releasing(_hot_counts(width)), "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
+    counts = stage(counts, "counts")
+    due = counts.where("token is null").select("n").first()
+    least = max(10.0, docs.count() / HOT_SHARE / 8, (due["n"] if due else 0) / 1e6)
+    found = counts.where(F.col("token").isNotNull() & (F.col("n") >= least)).toArrow()  # at most 8 * HOT_SHARE times the mean set size
     often = found.column("token").to_numpy().view(np.uint64)
     order = np.argsort(often)
     rank = np.argsort(np.lexsort((often, found.column("n").to_numpy())))  # one order for all texts: by count, then by hash
@@ -315,17 +360,20 @@ def near_duplicates(docs: DataFrame, text: str = "text", id: str = "doc_id", wid
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = docs.withColumn("row_hash", F.xxhash64("text")).mapInArrow(
-        _prefixes(width, percent, hot), f"doc_id {kind}, row_hash long, node long, n long, bits binary, rare array<long>, frequent array<long>"
+        releasing(_prefixes(width, percent, hot)), f"doc_id {kind}, row_hash long, node long, n long, bits binary, rare array<long>, frequent array<long>"
     )
     rows = stage(rows, "prefixes")
-    nodes = rows.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("bits").alias("bits"), F.first("rare").alias("rare"), F.first("frequent").alias("frequent"))
-    nodes = stage(nodes, "nodes")
+    heavy = rows.where("bits is not null")  # a node has one such row in a task or a few
+    nodes = rows.where("node is not null").groupBy("node").agg(
+        F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_hash")).alias("first"), F.first("n").alias("n"), F.first("bits", ignorenulls=True).alias("bits")
+    )
+    nodes = stage(nodes.select("node", F.col("first.doc_id").alias("rep"), F.col("first.row_hash").alias("rep_hash"), "n", "bits"), "nodes")
 
     # tiles: the nodes of a shared prefix shingle; the rare ones are few each, the frequent ones join a grouped minimum
     by_token = _window("token")
-    rare = nodes.select("node", F.explode("rare").alias("token"))
+    rare = heavy.select("node", F.explode("rare").alias("token")).repartition("token").dropDuplicates(["token", "node"])
     rare = rare.select("token", "node", F.count("*").over(by_token).alias("members"), F.min("node").over(by_token).alias("leader")).where("members > 1")
-    often = nodes.select("node", F.explode("frequent").alias("token"))
+    often = heavy.select("node", F.explode("frequent").alias("token")).distinct()
     often = often.join(often.groupBy("token").agg(F.count("*").alias("members"), F.min("node").alias("leader")).where("members > 1"), "token")
     tiles = stage(rare.unionByName(often), "tiles")
 
@@ -335,7 +383,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", id: str = "doc_id", wid
     stars = stars.join(nodes.select(F.col("node").alias("a"), F.col("n").alias("an")), "a").join(nodes.select(F.col("node").alias("b"), F.col("n").alias("bn")), "b")
     stars = stars.where(F.lit(100) * F.least("an", "bn") >= F.lit(percent) * F.greatest("an", "bn")).select("a", "b", "an", "bn")
     stars = stars.join(ends.select(F.col("node").alias("a"), F.col("bits").alias("abits")), "a").join(ends.select(F.col("node").alias("b"), F.col("bits").alias("bbits")), "b")
-    stars = stage(stars.mapInArrow(_filter_pairs(percent), "a long, b long"), "pairs")
+    stars = stage(stars.mapInArrow(releasing(_filter_pairs(percent)), "a long, b long"), "pairs")
     links = stage(_verify(stars, docs, nodes, width, percent), "links")
     first = stage(components(links, "a", "b"), "roots")
 
@@ -350,10 +398,19 @@ def near_duplicates(docs: DataFrame, text: str = "text", id: str = "doc_id", wid
     places = held.groupBy("node").agg(F.collect_list("tile").alias("tiles"))  # at most one for each shingle of a prefix
     dealt = _bands(held, percent).join(ends.select("node", "bits").join(places, "node"), "node")
     keys = ["tile", "band", "cross", "i", "j"]
-    pairs = dealt.repartition(*keys).sortWithinPartitions(*keys).select(*keys, "side", "node", "n", "root", "bits", "tiles").mapInArrow(_tile_pairs(percent), "a long, b long")
+    pairs = dealt.repartition(*keys).sortWithinPartitions(*keys).select(*keys, "side", "node", "n", "root", "bits", "tiles").mapInArrow(releasing(_tile_pairs(percent)), "a long, b long")
     more = stage(_verify(stage(pairs.distinct(), "pairs"), docs, nodes, width, percent), "links")
 
-    roots = components(links.union(more), "a", "b").join(nodes.select(F.col("node").alias("vertex"), "rep"), "vertex")
+    # links found later join components found first
+    root_of = first.select("vertex", "root")
+    joins = more.join(root_of.toDF("a", "ra"), "a", "left").join(root_of.toDF("b", "rb"), "b", "left").select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b"))
+    joins = stage(joins, "joins")
+    roots = first
+    if not joins.isEmpty():
+        upper = components(joins, "a", "b").toDF("root", "upper")
+        alone = upper.join(first, upper["root"] == first["root"], "left_anti").select(F.col("root").alias("vertex"), "upper")  # in no link found first
+        roots = first.join(upper, "root", "left").select("vertex", F.coalesce("upper", "root").alias("root")).union(alone)
+    roots = roots.join(nodes.select(F.col("node").alias("vertex"), "rep"), "vertex")
     smallest = roots.groupBy("root").agg(F.min("rep").alias("component"))
     linked = stage(roots.join(smallest, "root").select(F.col("vertex").alias("node"), "component", "root"), "components")
     # a node outside any link is its own component; the row that stays is the first of the smallest id

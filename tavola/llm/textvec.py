@@ -16,8 +16,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Bytes of text handled at once; bounds the temporary arrays of a task (about 60 bytes a byte).
-CHUNK_BYTES = 1 << 20
+#: Bytes of texts handled at once, and bytes of words hashed at once, which takes some 40 bytes a byte.
+CHUNK_BYTES, HASHED_BYTES = 1 << 19, 1 << 18
 
 _U = np.uint64
 _SPACE = np.zeros(256, dtype=bool)
@@ -84,10 +84,18 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     before[1:] = inside[:-1]
     starts = np.flatnonzero(inside & (edge | ~before))
     ends = np.flatnonzero(before & (edge | ~inside))
-    up, down = _Powers.of(size + 1)
-    sums = np.zeros(size + 1, dtype=np.uint64)
-    np.cumsum(_BYTE[_LOWER[data]] * up[:size], out=sums[1:])
-    hashes = mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+    hashes = np.empty(len(starts), dtype=np.uint64)
+    first = 0
+    while first < len(starts):  # a long text is hashed some words at a time
+        last = max(first + 1, int(np.searchsorted(ends, starts[first] + HASHED_BYTES, side="right")))
+        at = int(starts[first])
+        own = data[at : int(ends[last - 1])]
+        up, down = _Powers.of(len(own) + 1)
+        sums = np.zeros(len(own) + 1, dtype=np.uint64)
+        np.cumsum(_BYTE[_LOWER[own]] * up[: len(own)], out=sums[1:])
+        a, b = starts[first:last] - at, ends[first:last] - at
+        hashes[first:last] = mix((sums[b] - sums[a]) * down[a] + (b - a).astype(np.uint64))
+        first = last
     return starts, ends, hashes, np.searchsorted(starts, offsets)
 
 
