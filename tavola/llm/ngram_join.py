@@ -47,7 +47,7 @@ from tavola.llm.staging import stage
 #: there are at most 8 * HOT_SHARE times the mean set size of them.
 HOT_SHARE = 10_000
 #: Bits of a bitmap for each shingle, before rounding up to a power of two.
-BITS = 2
+BITS = 4
 #: Members of a tile that meet in one task.
 BLOCK = 1024
 #: Ratio of the sizes in a band; over 1 / 0.8, so linked sets are at most a band apart.
