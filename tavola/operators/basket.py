@@ -21,7 +21,7 @@ hint (adaptive execution broadcasts it only when it is actually small).
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tavola.functions.scalar import MONEY_SUM
@@ -167,35 +167,68 @@ def min_orders(orders: int, per_10k: int = PER_10K) -> int:
 def frequent_sets(baskets: DataFrame, least: int, max_items: int = MAX_ITEMS) -> DataFrame:
     """(items, orders): the sets of up to ``max_items`` items that ``least`` baskets or more hold.
 
-    ``baskets`` has distinct rows (order_id, item).  Level by level: a candidate of k + 1 items joins two frequent sets
-    of k items that differ in the last one, and stays when all its subsets of k items are frequent; only the orders that
-    hold the first k items are looked at for the last one.  ``items`` is a sorted array.  A level is written
-    once and read by the next, so rows shrink with the frequent sets, not with the baskets.
+    ``baskets`` has distinct rows (order_id, item).  A basket becomes one row, the sorted array of the numbers of its
+    frequent items.  Level by level: a candidate of k + 1 items joins two frequent sets of k items that differ in the last
+    one, and stays when all its subsets of k items are frequent.  Each level grows the sets of a basket again from the
+    basket, through the frequent sets of the levels before, and counts them in the tasks that grow them: what is written
+    is the baskets, once, and counts of sets, never the sets of each order.  ``items`` is a sorted array.
     """
-    counts = baskets.groupBy("item").agg(F.count(F.lit(1)).alias("orders")).where(F.col("orders") >= least)
-    single = staged(baskets.join(counts, "item", "left_semi").select("order_id", "item"), "items")
-    level = staged(counts.select(F.array("item").alias("items"), "orders"), "sets")
-    levels, held = [level], None
+    counts = staged(baskets.groupBy("item").agg(F.count(F.lit(1)).alias("orders")).where(F.col("orders") >= least), "counts")
+    out = counts.select(F.array("item").alias("items"), "orders")
+    # at most (items of a basket) / (least share of the baskets) items are frequent, so one window numbers them
+    numbers = staged(counts.select("item", F.row_number().over(Window.orderBy("item")).alias("number")), "numbers")
+    numbered = baskets.where(F.col("order_id").isNotNull()).join(numbers, "item").select("order_id", "number")
+    rows = staged(_basket_rows(numbered), "rows")
+    level, levels = None, []
     for size in range(2, max_items + 1):
-        if size == 2:  # pairs of an order; every pair of frequent items is a candidate
-            found = order_pairs(single, {"first": "item"}, {"last": "item"}, lambda a, b: a["first"] < b["last"])
-            found = found.select("order_id", F.array("first", "last").alias("items"))
-        else:
-            wanted = _candidates(level, size - 1)
-            found = held.join(wanted, "items").join(single.withColumnRenamed("item", "last"), ["order_id", "last"], "left_semi")
-            found = found.select("order_id", F.concat("items", F.array("last")).alias("items"))
-        found = staged(found, "found")
-        level = staged(found.groupBy("items").agg(F.count(F.lit(1)).alias("orders")).where(F.col("orders") >= least), "sets")
-        levels.append(level)
+        wanted = None if level is None else staged(_candidates(level, size - 1).select(F.concat("items", F.array("last")).alias("items")), "wanted")
+        found = _grown(rows, size, levels, wanted).groupBy("items").agg(F.count(F.lit(1)).alias("orders")).where(F.col("orders") >= least)
+        level = staged(found, "sets")
         if level.isEmpty():
             break
-        held = found.join(level, "items", "left_semi")
-    out = levels[0]
-    for more in levels[1:]:
-        out = out.unionByName(more)
+        levels.append(level)
+    for level in levels:
+        out = out.unionByName(_with_names(level, numbers))
     return out
 
 
+def _basket_rows(numbered: DataFrame, hot_items: int = HOT_ITEMS, buckets: int = SALT_BUCKETS) -> DataFrame:
+    """(numbers, first): the sorted item numbers of a basket and the places its sets may start at.
+
+    A basket of more than ``hot_items`` items is dealt over ``buckets`` rows, each with its share of the places.
+    """
+    rows = numbered.groupBy("order_id").agg(F.array_sort(F.collect_list("number")).alias("numbers")).where(F.size("numbers") > 1)
+    rows = rows.select("numbers", F.size("numbers").alias("n"))
+    cold = rows.where(F.col("n") <= hot_items).select("numbers", F.sequence(F.lit(1), F.col("n")).alias("first"))
+    shares = F.sequence(F.lit(1), F.lit(buckets))
+    hot = rows.where(F.col("n") > hot_items).select("numbers", "n", F.explode(shares).alias("share")).repartition(buckets, "share")
+    return cold.unionByName(hot.select("numbers", F.sequence(F.col("share"), F.col("n"), F.lit(buckets)).alias("first")))
+
+
+def _grown(rows: DataFrame, size: int, levels: list[DataFrame], wanted: DataFrame | None) -> DataFrame:
+    """(items): the sets of ``size`` items of each basket, a row each; those of ``wanted`` alone, where it is given."""
+
+    def rest(place: str) -> Column:  # the places after this one; none after the last
+        return F.when(F.col(place) < F.size("numbers"), F.sequence(F.col(place) + 1, F.size("numbers")))
+
+    sets = rows.select("numbers", F.explode("first").alias("place"))
+    sets = sets.select("numbers", "place", F.array(F.element_at("numbers", F.col("place"))).alias("items"))
+    for k in range(2, size + 1):
+        sets = sets.select("numbers", "items", F.explode(rest("place")).alias("place"))
+        sets = sets.select("numbers", "place", F.concat("items", F.array(F.element_at("numbers", F.col("place")))).alias("items"))
+        known = wanted if k == size else levels[k - 2]
+        if known is not None:
+            sets = sets.join(known.select("items"), "items", "left_semi")
+    return sets.select("items")
+
+
+def _with_names(level: DataFrame, numbers: DataFrame) -> DataFrame:
+    """The sets with the items' own values for their numbers."""
+    single = level.select("items", "orders", F.explode("items").alias("number")).join(numbers, "number")
+    named = single.groupBy("items", "orders").agg(F.array_sort(F.collect_list("item")).alias("named"))
+    return named.select(F.col("named").alias("items"), "orders")
+
+
 def _candidates(level: DataFrame, size: int) -> DataFrame:
     """(items, last): sets of ``size`` items and a larger item, all of whose subsets of ``size`` items are in ``level``."""
     parts = level.select("items", F.slice("items", 1, size - 1).alias("head"), F.element_at("items", -1).alias("last"))
