@@ -157,6 +157,8 @@ def top_rules(d: Domain, k: int = 2, facts: DataFrame | None = None) -> DataFram
 # ------------------------------------------------- D12: sets of three and more dishes
 #: Orders in ten thousand that must hold a set, and the most dishes of a set.
 PER_10K, MAX_ITEMS = 2, 4
+#: Baskets of a task that builds FP-trees; its trees are walked again and again to estimate their size, so they stay small.
+TREE_BASKETS = 20_000
 
 
 def min_orders(orders: int, per_10k: int = PER_10K) -> int:
@@ -296,10 +298,26 @@ def basket_fpgrowth(d: Domain, min_support: float = 0.001, min_confidence: float
     )
 
 
+def fpgrowth_baskets(d: Domain) -> DataFrame:
+    """(items, ranks): the distinct dishes of each order and their ranks, the most frequent dish first; written once."""
+    items = staged(item_baskets(d), "items")
+    counts = items.groupBy("dish_name").agg(F.count(F.lit(1)).alias("orders"))
+    ranks = staged(counts.select("dish_name", F.row_number().over(Window.orderBy(F.col("orders").desc(), "dish_name")).alias("rank")), "ranks")
+    ranked = items.join(ranks, items["dish_name"].eqNullSafe(ranks["dish_name"])).select("order_id", "rank", items["dish_name"])
+    baskets = ranked.groupBy("order_id").agg(F.array_sort(F.collect_list(F.struct("rank", "dish_name"))).alias("b"))
+    named = F.filter("b", lambda x: x["dish_name"].isNotNull())
+    return staged(baskets.select(named["dish_name"].alias("items"), named["rank"].alias("ranks")), "fpgrowth-baskets")
+
+
 def fpgrowth_model(d: Domain, min_support: float = 0.001, min_confidence: float = 0.0):
+    return _fitted(fpgrowth_baskets(d), min_support, min_confidence)
+
+
+def _fitted(baskets: DataFrame, min_support: float, min_confidence: float):
+    """FP-Growth in tasks of ``TREE_BASKETS`` baskets with common first dishes, so that they share the branches of their trees."""
     from pyspark.ml.fpm import FPGrowth
 
-    baskets = basket_lines(d).groupBy("order_id").agg(F.array_sort(F.collect_set("dish_name")).alias("items"))
-    parts = int(d.spark.conf.get("spark.sql.shuffle.partitions"))
-    return FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence,
-                    numPartitions=parts).fit(baskets)
+    parts = int(baskets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    tasks = max(parts, -(-baskets.count() // TREE_BASKETS))
+    growth = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence, numPartitions=parts)
+    return growth.fit(baskets.repartitionByRange(tasks, "ranks").select("items"))

@@ -47,3 +47,30 @@ def test_null_items_and_orders_make_no_larger_sets(spark, rows):
     got = {tuple(r["items"]): r["orders"] for r in B.frequent_sets(spark.createDataFrame(rows, "order_id long, item string"), 2, 3).collect()}
     single = Counter((i,) for _, i in rows)
     assert got == dict(single) | ({("a", "b"): 2} if (1, "b") in rows else {})
+
+
+def test_fp_growth_builds_its_trees_in_bounded_tasks_of_common_first_dishes(spark, monkeypatch):
+    from pyspark.ml import fpm
+
+    from tests.conftest import make_domain
+
+    rng = random.Random(9)
+    orders = [set(rng.choices(range(8), weights=range(1, 9), k=rng.choice([1, 3, 5]))) for _ in range(120)]
+    d = make_domain(spark, menu_items=spark.createDataFrame([(k, 1, f"dish {k}" if k else None) for k in range(8)], "dish_id long, category_id long, dish_name string"),
+                    order_details=spark.createDataFrame([(o, k) for o, ks in enumerate(orders) for k in ks], "order_id long, dish_id long"))
+    seen = []
+
+    def fit(self, df, plain=fpm.FPGrowth.fit):
+        seen.append([p for p in df.rdd.map(lambda r: tuple(r["items"])).glom().collect() if p])
+        return plain(self, df)
+
+    monkeypatch.setattr(B, "TREE_BASKETS", 10)
+    monkeypatch.setattr(fpm.FPGrowth, "fit", fit)
+    got = {tuple(sorted(r["items"])): r["freq"] for r in B.fpgrowth_model(d, 0.05).freqItemsets.collect()}
+    named = [tuple(sorted(f"dish {k}" for k in ks if k)) for ks in orders]
+    assert got == {c: n for size in range(1, 6) for c, n in Counter(c for b in named for c in itertools.combinations(b, size)).items() if n >= 6}
+    (parts,) = seen
+    assert len(parts) > 8 and sum(map(len, parts)) == 120
+    counts = Counter(x for b in named for x in b)
+    assert all(list(b) == sorted(b, key=lambda x: (-counts[x], x)) for p in parts for b in p)
+    assert max(len(ps) for ps in ({k for k, p in enumerate(parts) if b in p} for b in {b for p in parts for b in p})) == 1  # equal baskets meet
