@@ -2,10 +2,11 @@
 
 Parquet enforces none of them.  Every table is scanned once: a row gives one fact for each rule that it
 breaks, one for each key that must be unique, one for each reference and, where others refer to the
-table, one for its primary key.  Facts are counted by (table, rule, key) with partial sums before the only
-shuffle of the rows, so a key of very many rows is one row there.  The counts are written once, and from
-them come broken rows (their sum), repeated keys (counts over one) and orphans (references without a
-primary key).  The result has a row for each rule (0 = clean).
+table, one for its primary key.  A fact is two small numbers and a key: the space of the key (a table's primary
+key and the references to it share one) and the slot of the rule there.  Facts are counted by (space, key), a
+count for each slot, with partial sums before the only shuffle, so a key of very many rows is one row there
+and a reference meets its primary key without a join.  From the counts come broken rows (their sum), repeated
+keys (counts over one) and orphans (references without a primary key).  The result has a row for each rule (0 = clean).
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from tavola.sources.domain import (
     INVOICE_STATUSES, ORDER_STATUSES, PAYMENT_METHODS, RESERVATION_STATUSES, STAFF_ROLES, TABLE_STATUSES, Domain,
 )
 
-ROW, UNIQUE, REFERENCE, PRIMARY = "row", "unique", "fk", "pk"
+ROW, UNIQUE, REFERENCE, PRIMARY = "broken", "repeated", "orphans", "pk"
 
 
 @dataclass
@@ -36,19 +37,33 @@ class Rules:
     def names(self) -> list[tuple[str, str]]:
         return [(self.table, name) for name, _ in self.rows] + [(self.table, f"unique:{c}") for c in self.unique] + [(self.table, f"fk:{c}->{t}") for c, t in self.references]
 
-    def facts(self, df: DataFrame) -> DataFrame:
-        """(kind, parent, rule, key) of every row, from one scan."""
+    def facts(self, df: DataFrame, places: dict[tuple[str, str], tuple[int, int]]) -> DataFrame:
+        """(space, slot, key) of every row, from one scan."""
 
-        def fact(kind: str, parent: str, rule: str, key: Column) -> Column:
-            return F.struct(F.lit(kind).alias("kind"), F.lit(parent).alias("parent"), F.lit(rule).alias("rule"), key.cast("string").alias("key"))
+        def fact(rule: str, key: Column) -> Column:
+            space, slot = places[self.table, rule]
+            return F.struct(F.lit(space).alias("space"), F.lit(slot).alias("slot"), key.cast("string").alias("key"))
 
-        keys = [fact(UNIQUE, "", f"unique:{c}", F.col(c)) for c in self.unique]
-        keys += [fact(REFERENCE, t, f"fk:{c}->{t}", F.col(c)) for c, t in self.references]
-        keys += [fact(PRIMARY, "", PRIMARY, F.col(self.primary))] if self.primary else []
-        parts = [F.filter(F.array(*keys), lambda f: f["key"].isNotNull())] if keys else []
-        if self.rows:
-            parts.append(F.array_compact(F.array(*[F.when(bad, fact(ROW, "", name, F.lit(""))) for name, bad in self.rows])))
-        return df.select(F.explode(F.concat(*parts)).alias("f")).select(F.lit(self.table).alias("table_name"), "f.*")
+        keys = [fact(f"unique:{c}", F.col(c)) for c in self.unique]
+        keys += [fact(f"fk:{c}->{t}", F.col(c)) for c, t in self.references]
+        keys += [fact(PRIMARY, F.col(self.primary))] if self.primary else []
+        keys += [fact(name, F.when(bad, "")) for name, bad in self.rows]  # no key, no fact
+        return df.select(F.inline(F.array(*keys))).where(F.col("key").isNotNull())
+
+
+def fact_places(rules: list[Rules]) -> dict[tuple[str, str], tuple[int, int]]:
+    """(table, rule) -> (space, slot).  A table's primary key (slot 0) and the references to it share a space; others have their own."""
+    parents = {t: k for k, t in enumerate(dict.fromkeys([r.table for r in rules] + [t for r in rules for _, t in r.references]))}
+    places, taken, spaces = {}, dict.fromkeys(parents, 0), len(parents)
+    for r in rules:
+        places[r.table, PRIMARY] = (parents[r.table], 0)
+        for c, t in r.references:
+            taken[t] += 1
+            places[r.table, f"fk:{c}->{t}"] = (parents[t], taken[t])
+        for name in [name for name, _ in r.rows] + [f"unique:{c}" for c in r.unique]:
+            places[r.table, name] = (spaces, 0)
+            spaces += 1
+    return places
 
 
 def _nn(col: str) -> tuple[str, Column]:
@@ -108,26 +123,33 @@ def schema_tables(d: Domain) -> dict[str, DataFrame]:
 
 
 def fact_counts(tables: dict[str, DataFrame], rules: list[Rules]) -> DataFrame:
-    """(table_name, kind, parent, rule, key, n): the facts of all tables, counted; one scan for each table."""
+    """(space, key, n0, n1, ...): the facts of all tables, counted by slot; one scan for each table, one shuffle."""
+    places = fact_places(rules)
     facts = None
     for r in rules:
-        own = r.facts(tables[r.table])
+        own = r.facts(tables[r.table], places)
         facts = own if facts is None else facts.unionByName(own)
-    return facts.groupBy("table_name", "kind", "parent", "rule", "key").agg(F.count(F.lit(1)).alias("n"))
+    slots = 1 + max(slot for _, slot in places.values())
+    return facts.groupBy("space", "key").agg(*[F.count(F.when(F.col("slot") == k, 1)).alias(f"n{k}") for k in range(slots)])
 
 
 def violations(counts: DataFrame, rules: list[Rules]) -> DataFrame:
     """(check_name, table_name, violations) of every rule."""
-    broken = counts.where((F.col("kind") == ROW) | ((F.col("kind") == UNIQUE) & (F.col("n") > 1))).select("table_name", "rule", "n")
-    known = counts.where(F.col("kind") == PRIMARY).select(F.col("table_name").alias("parent"), "key")
-    orphans = counts.where(F.col("kind") == REFERENCE).join(known, ["parent", "key"], "left_anti").select("table_name", "rule", "n")
-    found = broken.unionByName(orphans).groupBy("table_name", "rule").agg(F.sum("n").cast("long").alias("n"))
-    names = counts.sparkSession.createDataFrame([n for r in rules for n in r.names()], "table_name string, rule string")
-    return names.join(found, ["table_name", "rule"], "left").select(
-        F.col("rule").alias("check_name"), "table_name", F.coalesce("n", F.lit(0).cast("long")).alias("violations")
+    slots = [c for c in counts.columns if c not in ("space", "key")][1:]
+    found = counts.groupBy("space").agg(
+        F.sum("n0").alias(ROW), F.sum(F.when(F.col("n0") > 1, F.col("n0"))).alias(UNIQUE),
+        F.array(F.lit(0).cast("long"), *[F.sum(F.when(F.col("n0") == 0, F.col(n))) for n in slots]).alias(REFERENCE),  # by slot
+    )
+    places = fact_places(rules)
+    kinds = {"unique": UNIQUE, "fk": REFERENCE}
+    named = [(t, rule, kinds.get(rule.split(":")[0], ROW), *places[t, rule]) for r in rules for t, rule in r.names()]
+    names = counts.sparkSession.createDataFrame(named, "table_name string, rule string, kind string, space int, slot int")
+    n = F.when(F.col("kind") == ROW, F.col(ROW)).when(F.col("kind") == UNIQUE, F.col(UNIQUE)).otherwise(F.get(REFERENCE, F.col("slot")))
+    return names.join(found, "space", "left").select(
+        F.col("rule").alias("check_name"), "table_name", F.coalesce(n, F.lit(0).cast("long")).alias("violations")
     )
 
 
 def constraint_report(d: Domain) -> DataFrame:
     rules = schema_rules()
-    return violations(staged(fact_counts(schema_tables(d), rules), "facts"), rules)
+    return violations(fact_counts(schema_tables(d), rules), rules)

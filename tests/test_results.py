@@ -268,3 +268,17 @@ def test_broadcasts_stop_at_rows_and_at_bytes(spark):
     df = spark.range(100).select("id", F.repeat(F.lit("x"), 50).alias("t"))
     assert hinted(sized_broadcast(df)) and not hinted(sized_broadcast(df, max_rows=99)) and not hinted(sized_broadcast(df, max_bytes=3000))
     assert hinted(sized_broadcast(df.limit(0)))
+
+
+def test_references_meet_primary_keys_in_the_shuffle_that_counts_them(spark):
+    from tavola.operators import quality as Q
+    from tests.test_plans import plan
+
+    rules = [Q.Rules("parent", [], "id"), Q.Rules("child", [Q._nn("x")], None, ["x"], [("a", "parent"), ("b", "parent"), ("c", "absent")])]
+    tables = {"parent": spark.createDataFrame([(1,), (1,), (None,)], "id long"),
+              "child": spark.createDataFrame([(1, 1, 1, "u"), (2, 1, None, None), (2, 3, 5, "u"), (None, 4, 5, None)], "a int, b long, c long, x string")}
+    out = Q.violations(Q.fact_counts(tables, rules), rules)
+    assert {(r.table_name, r.check_name): r.violations for r in out.collect()} == {
+        ("child", "not_null:x"): 2, ("child", "unique:x"): 2, ("child", "fk:a->parent"): 2, ("child", "fk:b->parent"): 2, ("child", "fk:c->absent"): 3}
+    text = plan(out)
+    assert "LeftAnti" not in text and "lambda" not in text
