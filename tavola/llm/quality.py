@@ -39,6 +39,7 @@ THRESHOLD = 0.7
 _CUTS = 12
 _RIDGE = 1e-3
 _SPREAD = 6.0
+_PAIRS_AT_ONCE = 1024
 
 _CLASSES = {
     "upper": [*range(0x41, 0x5B)],
@@ -140,14 +141,17 @@ def fit_pairs(x: np.ndarray, good: np.ndarray, weight: np.ndarray, seed: int = 1
     n = PAIRS * max(len(a), len(b))
     better = np.concatenate([rng.permutation(a) for _ in range(-(-n // len(a)))])[:n]
     worse = np.concatenate([rng.permutation(b) for _ in range(-(-n // len(b)))])[:n]
-    gap = wide[better] - wide[worse]
     times = weight / np.where(good, weight[a].mean(), weight[b].mean())
     often = times[better] * times[worse]
     ridge = _RIDGE * n
     for _ in range(25):
-        p = 1 / (1 + np.exp(np.clip(gap @ weights, -30, 30)))  # chance that the pair is ordered wrongly
-        slope = gap.T @ (often * p) - ridge * weights
-        curve = (gap * (often * p * (1 - p))[:, None]).T @ gap + ridge * np.eye(len(weights))
+        slope, curve = -ridge * weights, ridge * np.eye(len(weights))
+        for k in range(0, n, _PAIRS_AT_ONCE):  # the differences of all pairs would be several times the features
+            some = slice(k, k + _PAIRS_AT_ONCE)
+            gap = wide[better[some]] - wide[worse[some]]
+            p = 1 / (1 + np.exp(np.clip(gap @ weights, -30, 30)))  # chance that the pair is ordered wrongly
+            slope += gap.T @ (often[some] * p)
+            curve += (gap * (often[some] * p * (1 - p))[:, None]).T @ gap
         step = np.linalg.solve(curve, slope)
         weights = weights + step
         if np.abs(step).max() < 1e-6:

@@ -97,3 +97,16 @@ def test_accuracy_on_labels_held_out(spark):
     assert len(held) > 50 and all(got[r["doc_id"]].held_out for r in held)
     right = sum(got[r["doc_id"]].predicted == r["quality"] for r in held)
     assert right >= 0.97 * len(held)
+
+
+def test_the_fit_holds_the_differences_of_some_pairs_at_a_time():
+    import tracemalloc
+
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(4000, 33))
+    good = x[:, 0] + rng.normal(size=4000) > 0
+    tracemalloc.start()
+    quality.fit_pairs(x, good, np.ones(4000))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 3.5 * 4000 * 33 * 12 * 8  # the expanded features, once and as parts of themselves
