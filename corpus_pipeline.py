@@ -23,7 +23,7 @@ MIX_SHARE, MIX_SEED = 0.9, 7
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose Bradley-Terry score reaches the threshold (operator 5)."""
-    return quality.keep_good(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
+    return quality.keep_good(docs, quality.fit_all(docs, table(spark, sf_dir, "labels")))
 
 
 def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

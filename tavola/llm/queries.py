@@ -263,10 +263,10 @@ def op5_quality_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality score of every document, learnt from the labels that are not held out."""
     from pyspark.sql import functions as F
 
-    from tavola.llm.quality import THRESHOLD, fit, held_out, score
+    from tavola.llm.quality import THRESHOLD, fit_all, held_out, score
 
     docs = table(spark, sf_dir, "documents")
-    scored = docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), score(F.col("text"), fit(docs, table(spark, sf_dir, "labels"))).alias("score"))
+    scored = docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), score(F.col("text"), fit_all(docs, table(spark, sf_dir, "labels"))).alias("score"))
     return scored.select("*", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
 
 

@@ -110,3 +110,62 @@ def test_the_fit_holds_the_differences_of_some_pairs_at_a_time():
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert peak < 3.5 * 4000 * 33 * 12 * 8  # the expanded features, once and as parts of themselves
+
+
+def labelled_rows(folder):
+    """(text, good) of the labelled documents that are not held out."""
+    texts = {r["doc_id"]: r["text"] for r in pq.read_table(f"{folder}/documents.parquet", columns=["doc_id", "text"]).to_pylist()}
+    labels = {(r["doc_id"], r["quality"]) for r in pq.read_table(f"{folder}/labels.parquet").to_pylist() if r["quality"] is not None}
+    return [(texts[i], good) for i, good in sorted(labels) if i in texts and zlib.crc32(str(i).encode()) % 4 != 2]
+
+
+def test_the_query_learns_from_all_labelled_rows(spark, small_dir, monkeypatch):
+    """Cuts, means and threshold are those of every labelled row, whatever a sample would hold and however the rows are dealt."""
+    from tavola.llm.queries import QUERIES
+
+    seen, score = [], quality.score
+    monkeypatch.setattr(quality, "SAMPLE", 1)
+    monkeypatch.setattr(quality, "GROUP", 5, raising=False)
+    monkeypatch.setattr(quality, "score", lambda text, ranker: seen.append(ranker) or score(text, ranker))
+    QUERIES["op5_quality_scores"](spark, small_dir).count()
+    (ranker,), rows = seen, labelled_rows(small_dir)
+    x, bad = quality.features(pa.array([t for t, _ in rows], pa.string())), sum(not good for _, good in rows)
+    assert len(rows) > 50 and bad > 5
+    np.testing.assert_array_equal(ranker.cuts, np.quantile(x, np.arange(1, 12) / 12, axis=0).T)
+    np.testing.assert_allclose(ranker.mean, x.mean(axis=0), rtol=1e-12, atol=1e-12)
+    np.testing.assert_allclose(ranker.scale, np.where(x.std(axis=0) > 0, x.std(axis=0), 1), rtol=1e-9, atol=1e-12)
+    got = ranker.score(x)
+    assert (got < quality.THRESHOLD - 1e-9).sum() <= bad <= (got < quality.THRESHOLD + 1e-9).sum()
+    assert np.mean([(s >= quality.THRESHOLD) == good for s, (_, good) in zip(got, rows, strict=True)]) > 0.95
+
+
+def test_whole_fit_equals_the_quick_one_where_that_holds_all(spark):
+    rng = random.Random(3)
+    docs = [(i, " ".join(rng.choices("one two Three! #4 |five| six".split(), k=rng.randint(0, 30)))) for i in range(60)] + [(None, "no id"), (7, None), (7, "again"), (9, "")]
+    labels = [(i, int(rng.random() < 0.7)) for i in range(70)] + [(3, 1), (3, 0), (3, 0), (5, None), (None, 1)]
+    docs, labels = spark.createDataFrame(docs + docs[:9], "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int")
+    some, every = quality.fit(docs, labels), quality.fit_all(docs, labels)
+    for field in ("cuts", "mean", "scale", "weights", "shift"):
+        np.testing.assert_allclose(getattr(every, field), getattr(some, field), rtol=1e-8, atol=1e-9)
+
+
+@pytest.mark.parametrize("number", [{0: 3, 1: 200}, {0: 90, 1: 40}])
+def test_every_row_is_dealt_to_rows_of_the_other_label(spark, monkeypatch, number):
+    monkeypatch.setattr(quality, "GROUP", 20)
+    rows = spark.createDataFrame([(g, k, g) for g, n in number.items() for k in range(n)], "of long, same long, good int")
+    dealt = [tuple(r) for r in quality._deal(rows, number).select("good", "same", "part").collect()]
+    most = max(number, key=number.get)
+    times = Counter(r[:2] for r in dealt)
+    assert len(times) == sum(number.values()) and {n for (g, _), n in times.items() if g == most} == {1}
+    labels = {p: {g for g, _, part in dealt if part == p} for *_, p in dealt}
+    assert all(most not in found or len(found) == 2 for found in labels.values())
+    assert len(labels) > 1 and max(Counter((g, p) for g, _, p in dealt).values()) <= 40
+
+
+def test_values_reached_by_weight(spark):
+    rng = np.random.default_rng(8)
+    x, weight = np.column_stack([rng.normal(size=300), rng.integers(-3, 3, 300) * 1.0]), rng.integers(1, 4, 300) * 1.0
+    rows = spark.createDataFrame([(a.tolist(), float(w)) for a, w in zip(x, weight, strict=True)], "x array<double>, weight double").repartition(5)
+    targets = np.array([[1.0, 77.0, weight.sum()]] * 2)
+    want = [[min(v for v in c if weight[c <= v].sum() >= t) for t in row] for c, row in zip(x.T, targets, strict=True)]
+    assert quality.reached(rows, targets).tolist() == want
