@@ -4,8 +4,8 @@ A text is cut by the tokenizer's pattern.  Tier 1: a minimal perfect hash over t
 finds a whole pre-token in one probe and one comparison.  Tier 2, for the others: the
 bytes become a linked list, and a heap of mergeable neighbours gives the pair of lowest
 rank, leftmost first, until none merges.  That costs O(n log n) for a pre-token of n
-bytes.  Recent pre-tokens are remembered in two generations of bounded bytes, so memory does not
-grow with the corpus.
+bytes.  Recent pre-tokens are remembered, with their ids packed to bytes, in two generations of bounded bytes, so memory
+does not grow with the corpus; a text's ids are its pre-tokens' bytes joined.
 
 Ranks are read on the driver from the given file (its path is a parameter) and
 broadcast; their size is that of the vocabulary.
@@ -20,9 +20,11 @@ from __future__ import annotations
 import base64
 import hashlib
 import re
+from array import array
 from collections.abc import Callable, Iterator
 from heapq import heapify, heappop, heappush
-from itertools import chain, islice
+from itertools import islice
+from sys import getsizeof
 
 import numpy as np
 import pyarrow as pa
@@ -35,8 +37,10 @@ from tavola.llm.arrow_slices import by_bytes, releasing
 
 #: Bytes of pre-tokens and their ids remembered in a generation; there are two.
 REMEMBERED = 8 << 20
-#: What a remembered pre-token costs beside its characters and ids, in bytes.
-_ENTRY = 250
+#: What a remembered pre-token costs at most beside its two objects, in bytes: its place in the dictionary.
+_ENTRY = 112
+#: Longer pre-tokens, in characters, hardly come again.
+_LONG = 250
 #: Characters of a text cut into pre-tokens at once.
 _PIECES = 1 << 18
 #: Bytes of text whose results are held at once.
@@ -145,16 +149,16 @@ class PerfectHash:
 class Recent(dict):
     """Pre-token to ids, computed when absent; a full generation becomes the older one of the next."""
 
-    def __init__(self, compute: Callable[[str], tuple[int, ...]], most: int = REMEMBERED, older: dict | None = None):
+    def __init__(self, compute: Callable, most: int = REMEMBERED, older: dict | None = None):
         super().__init__()
         self.compute, self.most, self.older, self.bytes = compute, most, older or {}, 0
 
-    def __missing__(self, piece: str) -> tuple[int, ...]:
+    def __missing__(self, piece: str):
         ids = self.older.get(piece)
         if ids is None:
             ids = self.compute(piece)
-        if len(piece) <= _ENTRY:  # longer ones hardly come again
-            self.bytes += _ENTRY + 4 * len(piece) + 8 * len(ids)
+        if len(piece) <= _LONG:
+            self.bytes += _ENTRY + getsizeof(piece) + getsizeof(ids)
             self[piece] = ids
         return ids
 
@@ -183,54 +187,69 @@ class Codec:
                     if self.joins[left] is none:
                         self.joins[left] = {}
                     self.joins[left][right] = r
-        self.number = list(range(len(tokens)))  # one object per id
         self.find = splitter(pattern)
         self.matches = regex.compile(pattern).finditer
-        self.recent = Recent(self.piece_ids)
+        self.recent = Recent(self.packed_ids)
 
-    def piece_ids(self, piece: str) -> tuple[int, ...]:
+    def packed_ids(self, piece: str) -> bytes:
         data = piece.encode("utf-8")
         k = self.whole[data]
-        return (k,) if self.tokens[k] == data else self.merge(data)
+        return array("i", [k] if self.tokens[k] == data else self.merge(data)).tobytes()
 
-    def merge(self, data: bytes) -> tuple[int, ...]:
+    def merge(self, data: bytes) -> list[int]:
         """Tier 2: merges of lowest rank first, leftmost of equal ones, from a heap over linked bytes."""
-        joins = self.joins
-        ids = list(map(self.byte.__getitem__, data))
-        n = len(ids)
-        due = [joins[a].get(b) for a, b in zip(ids, ids[1:], strict=False)]  # rank at which each place merges with the next
+        joins, n = self.joins, len(data)
+        width = n.bit_length()
+        places = (1 << width) - 1
+        ids = [self.byte[b] for b in data]
+        due, heap, i, left = [], [], 0, joins[ids[0]]
+        for x in ids[1:]:
+            r = left.get(x)  # rank at which each place merges with the next
+            due.append(r)
+            left = joins[x]
+            if r is not None:
+                heap.append(r << width | i)
+            i += 1
         due.append(None)
-        heap = [r * n + i for i, r in enumerate(due) if r is not None]
         heapify(heap)
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
         while heap:
-            r, i = divmod(heappop(heap), n)
+            top = heappop(heap)
+            i = top & places
+            r = top >> width
             if due[i] != r:
                 continue  # one of the two has merged since
             j = after[i]
             after[i] = k = after[j]
-            ids[i], ids[j], due[j], s = r, -1, None, None
+            ids[i] = r
+            ids[j] = -1
+            due[j] = None
             if k < n:
                 before[k] = i
-                s = joins[r].get(ids[k])
+                due[i] = s = joins[r].get(ids[k])
                 if s is not None:
-                    heappush(heap, s * n + i)
-            due[i] = s
+                    heappush(heap, s << width | i)
+            else:
+                due[i] = None
             if i:
                 h = before[i]
                 due[h] = s = joins[ids[h]].get(r)
                 if s is not None:
-                    heappush(heap, s * n + h)
-        return tuple([self.number[x] for x in ids if x >= 0])
+                    heappush(heap, s << width | h)
+        return [x for x in ids if x >= 0]
 
-    def encode(self, text: str) -> list[int]:
+    def packed(self, text: str) -> np.ndarray:
+        """The text's ids as an array."""
         if len(text) > _PIECES:
-            return list(chain.from_iterable(self.ids_of(pieces) for pieces in self.pieces(text)))
-        return list(chain.from_iterable(self.ids_of(self.find(text))))
+            return np.frombuffer(b"".join(map(self.joined, self.pieces(text))), dtype=np.int32)
+        return np.frombuffer(self.joined(self.find(text)), dtype=np.int32)
+
+    def encode(self, text: str) -> list[int]:
+        return self.packed(text).tolist()
 
-    def ids_of(self, pieces: list[str]) -> Iterator[tuple[int, ...]]:
+    def joined(self, pieces: list[str]) -> bytes:
         self.recent = self.recent.next()
-        return map(self.recent.__getitem__, pieces)
+        return b"".join(map(self.recent.__getitem__, pieces))
 
     def pieces(self, text: str) -> Iterator[list[str]]:
         """The pre-tokens of a long text, some at a time."""
@@ -269,7 +288,7 @@ def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", id: str
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec_of(codec)
         for batch, texts in _texts(batches, "text"):
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array((own.encode(t) for t in texts), pa.list_(pa.int32()))], names=["doc_id", "ids"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([own.packed(t) for t in texts], pa.list_(pa.int32()))], names=["doc_id", "ids"])
 
     rows = docs.select(F.col(id).alias("doc_id"), F.col(text).cast("string").alias("text"))
     return rows.mapInArrow(releasing(run), f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, ids array<int>")
@@ -297,12 +316,13 @@ def round_trip(docs: DataFrame, path: str, pattern: str, text: str = "text", id:
         for batch in by_bytes(batches, "text", _BATCH):
             every, n, said, back = [], [], [], []
             for text in batch.column("text"):
-                ids = own.encode(text.as_py() or "")
+                packed = own.packed(text.as_py() or "")
+                ids = packed.tolist()
                 n.append(len(ids))
                 said.append(hashlib.sha256(" ".join(map(number, ids)).encode()).hexdigest())
                 back.append(hashlib.sha256(own.decode(ids)).hexdigest())
                 if with_ids:
-                    every.append(np.array(ids, dtype=np.int32))
+                    every.append(packed)
             columns = [batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(said, pa.string()), pa.array(back, pa.string())]
             names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
             if with_ids:
