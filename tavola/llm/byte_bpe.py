@@ -173,7 +173,7 @@ class Recent(dict):
 class Codec:
     """Encoder and decoder of one vocabulary."""
 
-    def __init__(self, tokens: list[bytes], pattern: str, whole: PerfectHash):
+    def __init__(self, tokens: list[bytes], pattern: str, whole: PerfectHash, remembered: int = REMEMBERED):
         self.tokens, self.whole = tokens, whole
         rank = {t: r for r, t in enumerate(tokens)}
         self.byte = [rank.get(bytes([b]), -1) for b in range(256)]
@@ -189,7 +189,7 @@ class Codec:
                     self.joins[left][right] = r
         self.find = splitter(pattern)
         self.matches = regex.compile(pattern).finditer
-        self.recent = Recent(self.packed_ids)
+        self.recent = Recent(self.packed_ids, remembered)
 
     def packed_ids(self, piece: str) -> bytes:
         data = piece.encode("utf-8")
@@ -261,18 +261,18 @@ class Codec:
         return b"".join(map(self.tokens.__getitem__, ids))
 
 
-def broadcast_codec(spark: SparkSession, path: str, pattern: str):
+def broadcast_codec(spark: SparkSession, path: str, pattern: str, remembered: int = REMEMBERED):
     """Vocabulary and perfect hash as plain values, so executors need no copy of this package."""
     tokens = read_ranks(path)
     whole = PerfectHash(tokens)
-    return spark.sparkContext.broadcast({"tokens": tokens, "pattern": pattern, "hash": (whole.buckets, whole.shift, whole.at)})
+    return spark.sparkContext.broadcast({"tokens": tokens, "pattern": pattern, "hash": (whole.buckets, whole.shift, whole.at), "remembered": remembered})
 
 
 def codec_of(shared) -> Codec:
     """The codec of a broadcast vocabulary, made once in each Python worker."""
     value = shared.value
     if "codec" not in value:
-        value["codec"] = Codec(value["tokens"], value["pattern"], PerfectHash.of(*value["hash"]))
+        value["codec"] = Codec(value["tokens"], value["pattern"], PerfectHash.of(*value["hash"]), value["remembered"])
     return value["codec"]
 
 
@@ -306,9 +306,12 @@ def decode(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
     return encoded.select("doc_id", "ids").mapInArrow(releasing(run), f"doc_id {encoded.schema['doc_id'].dataType.simpleString()}, data binary")
 
 
-def round_trip(docs: DataFrame, path: str, pattern: str, text: str = "text", id: str = "doc_id", with_ids: bool = False) -> DataFrame:  # noqa: A002
-    """doc_id, n_tokens, ids_sha256 and decoded_sha256, and the ids if asked for: encodes, then decodes, in one pass over the texts."""
-    codec = broadcast_codec(docs.sparkSession, path, pattern)
+def round_trip(docs: DataFrame, path: str, pattern: str, text: str = "text", id: str = "doc_id", with_ids: bool = False, remembered: int = REMEMBERED) -> DataFrame:  # noqa: A002
+    """doc_id, n_tokens, ids_sha256 and decoded_sha256, and the ids if asked for: encodes, then decodes, in one pass over the texts.
+
+    ``remembered`` bounds the bytes of pre-tokens in each of two generations of a Python worker: more of them, fewer merges.
+    """
+    codec = broadcast_codec(docs.sparkSession, path, pattern, remembered)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec_of(codec)

@@ -282,7 +282,7 @@ def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token ids of every document and what they decode to, as digests."""
     from tavola.llm.byte_bpe import round_trip
 
-    return round_trip(table(spark, sf_dir, "documents"), *tokenizer())
+    return round_trip(table(spark, sf_dir, "documents"), *tokenizer(), remembered=32 << 20)  # no other stage's memory stands beside it
 
 
 @query

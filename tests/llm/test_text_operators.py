@@ -249,6 +249,25 @@ def test_perfect_hash_is_minimal():
     assert "y" * 1000 not in recent  # long ones are not remembered
 
 
+def test_more_memory_of_pretokens_means_fewer_merges(spark, tokenizer):
+    from tavola.llm import byte_bpe
+
+    tokens = byte_bpe.read_ranks(tokenizer[0])
+    whole = byte_bpe.PerfectHash(tokens)
+    text, asked = " ".join(f"w{k % 4000:05d}x" for k in range(12_000)), []
+    for remembered in (1 << 14, 1 << 20, 1 << 24):
+        codec, n = byte_bpe.Codec(tokens, tokenizer[1], whole, remembered), []
+        compute = codec.packed_ids
+        codec.recent.compute = lambda piece, n=n, compute=compute: n.append(piece) or compute(piece)
+        ids = [codec.encode(text[k : k + 1600]) for k in range(0, len(text), 1600)]
+        assert b"".join(map(codec.decode, ids)).decode() == text
+        asked.append(len(n))
+    assert asked[0] > 2 * asked[1] >= asked[1] >= asked[2] == asked[1]  # 1 MB holds some 4,000 words and their ids
+    docs = table(spark, list(enumerate([*BPE, text])))
+    few, many = (sorted(map(tuple, byte_bpe.round_trip(docs, *tokenizer, remembered=n).collect())) for n in (1000, 1 << 24))
+    assert few == many
+
+
 SECRETS = [
     (1, None), (2, ""), (3, "password = 'hunter22' and Token:abcdef"), (4, "token=abc token=token:abcdefgh"), (5, "AKIA" + "A" * 16 + " AKIAxx " + "0123456789abcdef" * 2),
     (6, "é\U0001f600 api_key=\"zzzzzz\" secret: ======x"), (7, "deadbeef" * 2 + "x" + "cafe" * 6), (8, "-----BEGIN RSA PRIVATE KEY-----"), (9, "ghp_" + "a1B2" * 9),
