@@ -12,10 +12,12 @@ Two texts link when the Jaccard similarity of their sets of word shingles is at
 3. Each member is first compared with its tile's smallest node only.  What is linked by
    that is a component; tiles within one component are done.  This keeps a group of
    near copies linear in its rows.
-4. The others are banded by size.  Those of more than ``BLOCK`` members are cut by band (bands two apart
+4. The others go on without that smallest node and without members whose size is far from all others' of the tile.
+   Tiles of one smallest node are put together up to ``BLOCK`` members, so a bitmap moves once for those, not once
+   for each shingle.  Tiles of more members are cut by bands of size (bands two apart
    can't link) and into blocks for tasks of bounded size; in a task a set meets only the sets from its own size
    up to that size over the threshold.  Inside, bit counts
-   of the bitmaps bound the overlap from above; pairs of two components that pass are
+   of the bitmaps bound the overlap from above; pairs of two components that share a tile and pass are
    verified on the sorted arrays.
 
 Defined cases: a null or empty text, or one of white space, has no shingles, links with nothing and
@@ -33,7 +35,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tavola.llm import textvec
@@ -213,12 +215,12 @@ def _filter_pairs(percent: int) -> Callable:
 
 
 def _tile_pairs(percent: int) -> Callable:
-    """Pairs of different components in each tile that the bitmaps let pass, each in the first tile that it shares."""
+    """Pairs of different components that share one of the tiles put together and that the bitmaps let pass."""
     reach = 1 << (-(-100 // percent) - 1).bit_length()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for tile in runs(batches, ["tile", "band", "cross", "i", "j"]):
-            name, cross, i, j = (tile.column(c)[0].as_py() for c in ("tile", "cross", "i", "j"))
+            cross, i, j = (tile.column(c)[0].as_py() for c in ("cross", "i", "j"))
             tile = tile.sort_by("n")  # a set's band is the run of sets from its own size up
             places = [set(x) for x in tile.column("tiles").to_pylist()]
             node, n, root = (tile.column(c).to_numpy() for c in ("node", "n", "root"))
@@ -239,7 +241,7 @@ def _tile_pairs(percent: int) -> Callable:
                     if fits.any():
                         to = to[fits]
                         to = to[_bound(int(n[row]), bits[at], n[to], bits[at + 1 : last][fits], percent)]
-                        to = to[[min(places[row] & places[k]) == name for k in to]] if len(to) else to
+                        to = to[[not places[row].isdisjoint(places[k]) for k in to]] if len(to) else to
                         a.append(np.full(len(to), node[row]))
                         b.append(node[to])
             if a:
@@ -318,6 +320,33 @@ def _verify(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, width: int, per
     return rows.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(releasing(_linked(percent)), "a long, b long")
 
 
+def _open(member: DataFrame) -> DataFrame:
+    """(token, members, lead) of the tiles that hold two components, those of the same members once; lead is the smallest node."""
+    mark = F.xxhash64("node").cast("decimal(38,0)")
+    still = member.groupBy("token").agg(
+        F.min("root").alias("lo"), F.max("root").alias("hi"), F.sum(mark).alias("total"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("marks"), F.count("*").alias("members"), F.min("node").alias("lead")
+    )
+    return still.where("lo <> hi").groupBy("total", "marks", "members").agg(F.min("token").alias("token"), F.min("lead").alias("lead")).select("token", "members", "lead")
+
+
+def _together(held: DataFrame, percent: int) -> DataFrame:
+    """Open tiles (token, members, node, n, root) put together: (tile, members, node, n, root, tiles).
+
+    In a tile of up to ``BLOCK`` members those stay that have another one near their size, and tiles of one smallest node
+    become one until they have some ``BLOCK`` members.  So a node is there once for many tiles that it shares with the same
+    nodes; ``tiles`` are their tokens.  Larger tiles stay as they are.
+    """
+    by_size = Window.partitionBy("token").orderBy("n", "node")
+    small = held.where(F.col("members") <= BLOCK).withColumns({"under": F.lag("n").over(by_size), "over": F.lead("n").over(by_size)})
+    small = small.where((percent * F.col("n") <= 100 * F.col("under")) | (percent * F.col("over") <= 100 * F.col("n")))
+    small = stage(small.select("token", "node", "n", "root"), "near")
+    before = F.sum("members").over(Window.partitionBy("lead").orderBy("token")) - F.col("members")
+    tile = _open(small).select("token", F.xxhash64("lead", F.floor(before / BLOCK)).alias("tile"))
+    small = small.join(tile, "token").groupBy("tile", "node").agg(F.first("n").alias("n"), F.first("root").alias("root"), F.collect_list("token").alias("tiles"))
+    large = held.where(F.col("members") > BLOCK).select(F.col("token").alias("tile"), "members", "node", "n", "root", F.array("token").alias("tiles"))
+    return large.unionByName(small.withColumn("members", F.lit(0).cast("long")))
+
+
 def _bands(open_tiles: DataFrame, percent: int) -> DataFrame:
     """Members of open tiles dealt to tasks: (tile, band, cross, i, j, side) and the member."""
     ratio = 100 / percent * _SLACK
@@ -336,7 +365,7 @@ def _bands(open_tiles: DataFrame, percent: int) -> DataFrame:
     within = F.transform(span("own"), lambda k: F.struct(F.col("band").alias("band"), F.lit(False).alias("cross"), F.least(k, block).alias("i"), F.greatest(k, block).alias("j"), (k < block).alias("side")))
     up = F.transform(span("above"), lambda k: F.struct(F.col("band").alias("band"), F.lit(True).alias("cross"), block.alias("i"), k.alias("j"), F.lit(False).alias("side")))
     down = F.transform(span("below"), lambda k: F.struct((F.col("band") - 1).alias("band"), F.lit(True).alias("cross"), k.alias("i"), block.alias("j"), F.lit(True).alias("side")))
-    return m.select("tile", "node", "n", "root", F.explode(F.concat(within, up, down)).alias("at")).select("tile", "at.*", "node", "n", "root")
+    return m.select("tile", "node", "n", "root", "tiles", F.explode(F.concat(within, up, down)).alias("at")).select("tile", "at.*", "node", "n", "root", "tiles")
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", id: str = "doc_id", width: int = 5, percent: int = 80) -> DataFrame:  # noqa: A002
@@ -370,7 +399,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", id: str = "doc_id", wid
     nodes = stage(nodes.select("node", F.col("first.doc_id").alias("rep"), F.col("first.row_hash").alias("rep_hash"), "n", "bits"), "nodes")
 
     # tiles: the nodes of a shared prefix shingle; the rare ones are few each, the frequent ones join a grouped minimum
-    by_token = _window("token")
+    by_token = Window.partitionBy("token")
     rare = heavy.select("node", F.explode("rare").alias("token")).repartition("token").dropDuplicates(["token", "node"])
     rare = rare.select("token", "node", F.count("*").over(by_token).alias("members"), F.min("node").over(by_token).alias("leader")).where("members > 1")
     often = heavy.select("node", F.explode("frequent").alias("token")).distinct()
@@ -387,16 +416,12 @@ def near_duplicates(docs: DataFrame, text: str = "text", id: str = "doc_id", wid
     links = stage(_verify(stars, docs, nodes, width, percent), "links")
     first = stage(components(links, "a", "b"), "roots")
 
-    # the rest: tiles that still hold two components, each set of members once
-    member = tiles.where("members > 2").select("token", "node").join(first.select(F.col("vertex").alias("node"), "root"), "node", "left")
+    # the rest: tiles that still hold two components beside their smallest node, which has met all others
+    member = tiles.where("members > 2 and node <> leader").select("token", "node").join(first.select(F.col("vertex").alias("node"), "root"), "node", "left")
     member = stage(member.select("token", "node", F.coalesce("root", "node").alias("root")), "members")
-    mark = F.xxhash64("node").cast("decimal(38,0)")
-    still = member.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.sum(mark).alias("total"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("marks"), F.count("*").alias("members"))
-    still = still.where("lo <> hi").groupBy("total", "marks", "members").agg(F.min("token").alias("token"))
-    held = member.join(still.select("token", "members"), "token").join(nodes.select("node", "n"), "node").select(F.col("token").alias("tile"), "members", "node", "n", "root")
-    held = stage(held, "held")
-    places = held.groupBy("node").agg(F.collect_list("tile").alias("tiles"))  # at most one for each shingle of a prefix
-    dealt = _bands(held, percent).join(ends.select("node", "bits").join(places, "node"), "node")
+    held = member.join(_open(member).select("token", "members"), "token").join(nodes.select("node", "n"), "node")
+    held = stage(held.select("token", "members", "node", "n", "root"), "held")
+    dealt = _bands(stage(_together(held, percent), "together"), percent).join(ends.select("node", "bits"), "node")
     keys = ["tile", "band", "cross", "i", "j"]
     pairs = dealt.repartition(*keys).sortWithinPartitions(*keys).select(*keys, "side", "node", "n", "root", "bits", "tiles").mapInArrow(releasing(_tile_pairs(percent)), "a long, b long")
     more = stage(_verify(stage(pairs.distinct(), "pairs"), docs, nodes, width, percent), "links")
@@ -421,9 +446,3 @@ def near_duplicates(docs: DataFrame, text: str = "text", id: str = "doc_id", wid
     chief = out.where(F.col("node").isNotNull() & first).groupBy("group").agg(F.min("row_hash").alias("chief"))
     out = out.join(chief.withColumnRenamed("group", "of"), F.col("group") == F.col("of"), "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), "component_id", (F.col("node").isNull() | (first & (F.col("row_hash") == F.col("chief")))).alias("kept"), "row_hash")
-
-
-def _window(key: str):
-    from pyspark.sql import Window
-
-    return Window.partitionBy(key)

@@ -88,6 +88,32 @@ def test_ngram_join_cuts_large_tiles_into_bands_and_blocks(spark, monkeypatch):
     assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in got), key=str) == sorted(brute_components(rows), key=str)
 
 
+def test_ngram_join_moves_a_set_once_for_many_tiles(spark, monkeypatch):
+    """Texts that share many shingles without links: rows that get a bitmap are a few a text, not one a shared shingle."""
+    from tavola.llm import ngram_join
+
+    rng = random.Random(11)
+    rows = []
+    for _ in range(5):
+        passage = rng.choices(WORDS, k=400)
+        for k in range(8):  # a shingle of 10 texts would count as frequent
+            kept = [w if rng.random() > 0.02 else rng.choice(WORDS) for w in passage]
+            rows.append(kept + rng.choices(WORDS, k=60 + 10 * k))
+        rows.append(rows[-1][:-9])
+    rows = [(k, " ".join(w)) for k, w in enumerate(rows)]
+    dealt, bands = [], ngram_join._bands
+
+    def counted(held, percent):
+        out = bands(held, percent)
+        dealt.append(out.count())
+        return out
+
+    monkeypatch.setattr(ngram_join, "_bands", counted)
+    got = ngram_join.near_duplicates(table(spark, rows)).collect()
+    assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in got), key=str) == brute_components(rows)
+    assert 0 < dealt[0] <= 4 * len(rows)
+
+
 def test_ngram_join_of_nothing(spark):
     from tavola.llm.ngram_join import near_duplicates
 
