@@ -17,7 +17,7 @@ Two texts link when the Jaccard similarity of their sets of word shingles is at
    for each shingle.  Tiles of more members are cut by bands of size (bands two apart
    can't link) and into blocks for tasks of bounded size; in a task a set meets only the sets from its own size
    up to that size over the threshold.  Inside, bit counts
-   of the bitmaps bound the overlap from above; pairs of two components that share a tile and pass are
+   of the bitmaps bound the overlap from above; pairs of two components that pass are
    verified on the sorted arrays.
 
 Defined cases: a null or empty text, or one of white space, has no shingles, links with nothing and
@@ -215,12 +215,12 @@ def _filter_pairs(percent: int) -> Callable:
 
 
 def _tile_pairs(percent: int) -> Callable:
-    """Pairs of different components that share one of the tiles put together and that the bitmaps let pass."""
+    """Pairs of different components that share a tile or tiles put together and that the bitmaps let pass, each in the first that it shares."""
     reach = 1 << (-(-100 // percent) - 1).bit_length()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for tile in runs(batches, ["tile", "band", "cross", "i", "j"]):
-            cross, i, j = (tile.column(c)[0].as_py() for c in ("cross", "i", "j"))
+            name, cross, i, j = (tile.column(c)[0].as_py() for c in ("tile", "cross", "i", "j"))
             tile = tile.sort_by("n")  # a set's band is the run of sets from its own size up
             places = [set(x) for x in tile.column("tiles").to_pylist()]
             node, n, root = (tile.column(c).to_numpy() for c in ("node", "n", "root"))
@@ -241,7 +241,7 @@ def _tile_pairs(percent: int) -> Callable:
                     if fits.any():
                         to = to[fits]
                         to = to[_bound(int(n[row]), bits[at], n[to], bits[at + 1 : last][fits], percent)]
-                        to = to[[not places[row].isdisjoint(places[k]) for k in to]] if len(to) else to
+                        to = to[[min(places[row] & places[k]) == name for k in to]] if len(to) else to
                         a.append(np.full(len(to), node[row]))
                         b.append(node[to])
             if a:
@@ -330,11 +330,11 @@ def _open(member: DataFrame) -> DataFrame:
 
 
 def _together(held: DataFrame, percent: int) -> DataFrame:
-    """Open tiles (token, members, node, n, root) put together: (tile, members, node, n, root, tiles).
+    """Open tiles (token, members, node, n, root) put together: (tile, members, node, n, root).
 
     In a tile of up to ``BLOCK`` members those stay that have another one near their size, and tiles of one smallest node
     become one until they have some ``BLOCK`` members.  So a node is there once for many tiles that it shares with the same
-    nodes; ``tiles`` are their tokens.  Larger tiles stay as they are.
+    nodes.  Larger tiles stay as they are.
     """
     by_size = Window.partitionBy("token").orderBy("n", "node")
     small = held.where(F.col("members") <= BLOCK).withColumns({"under": F.lag("n").over(by_size), "over": F.lead("n").over(by_size)})
@@ -342,8 +342,8 @@ def _together(held: DataFrame, percent: int) -> DataFrame:
     small = stage(small.select("token", "node", "n", "root"), "near")
     before = F.sum("members").over(Window.partitionBy("lead").orderBy("token")) - F.col("members")
     tile = _open(small).select("token", F.xxhash64("lead", F.floor(before / BLOCK)).alias("tile"))
-    small = small.join(tile, "token").groupBy("tile", "node").agg(F.first("n").alias("n"), F.first("root").alias("root"), F.collect_list("token").alias("tiles"))
-    large = held.where(F.col("members") > BLOCK).select(F.col("token").alias("tile"), "members", "node", "n", "root", F.array("token").alias("tiles"))
+    small = small.join(tile, "token").groupBy("tile", "node").agg(F.first("n").alias("n"), F.first("root").alias("root"))
+    large = held.where(F.col("members") > BLOCK).select(F.col("token").alias("tile"), "members", "node", "n", "root")
     return large.unionByName(small.withColumn("members", F.lit(0).cast("long")))
 
 
@@ -365,7 +365,7 @@ def _bands(open_tiles: DataFrame, percent: int) -> DataFrame:
     within = F.transform(span("own"), lambda k: F.struct(F.col("band").alias("band"), F.lit(False).alias("cross"), F.least(k, block).alias("i"), F.greatest(k, block).alias("j"), (k < block).alias("side")))
     up = F.transform(span("above"), lambda k: F.struct(F.col("band").alias("band"), F.lit(True).alias("cross"), block.alias("i"), k.alias("j"), F.lit(False).alias("side")))
     down = F.transform(span("below"), lambda k: F.struct((F.col("band") - 1).alias("band"), F.lit(True).alias("cross"), k.alias("i"), block.alias("j"), F.lit(True).alias("side")))
-    return m.select("tile", "node", "n", "root", "tiles", F.explode(F.concat(within, up, down)).alias("at")).select("tile", "at.*", "node", "n", "root", "tiles")
+    return m.select("tile", "node", "n", "root", F.explode(F.concat(within, up, down)).alias("at")).select("tile", "at.*", "node", "n", "root")
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", id: str = "doc_id", width: int = 5, percent: int = 80) -> DataFrame:  # noqa: A002
@@ -421,7 +421,9 @@ def near_duplicates(docs: DataFrame, text: str = "text", id: str = "doc_id", wid
     member = stage(member.select("token", "node", F.coalesce("root", "node").alias("root")), "members")
     held = member.join(_open(member).select("token", "members"), "token").join(nodes.select("node", "n"), "node")
     held = stage(held.select("token", "members", "node", "n", "root"), "held")
-    dealt = _bands(stage(_together(held, percent), "together"), percent).join(ends.select("node", "bits"), "node")
+    held = stage(_together(held, percent), "together")
+    places = held.groupBy("node").agg(F.collect_list("tile").alias("tiles"))
+    dealt = _bands(held, percent).join(ends.select("node", "bits").join(places, "node"), "node")
     keys = ["tile", "band", "cross", "i", "j"]
     pairs = dealt.repartition(*keys).sortWithinPartitions(*keys).select(*keys, "side", "node", "n", "root", "bits", "tiles").mapInArrow(releasing(_tile_pairs(percent)), "a long, b long")
     more = stage(_verify(stage(pairs.distinct(), "pairs"), docs, nodes, width, percent), "links")
